@@ -43,6 +43,7 @@ class BlockIssue:
     remediation: str | None = None
     element: str = "block_id"
     page: str = "page_num"
+    evidence: str = "''"
 
 
 class sql(str):
@@ -86,13 +87,16 @@ def _block_issues() -> list[BlockIssue]:
         BlockIssue("1.3.1", "list_empty", f"{LIST} AND {empty('items')}", True),
         BlockIssue("1.3.1", "list_blank_items", f"{LIST} AND NOT {empty('items')} AND {blank_items}", False),
         BlockIssue("1.3.1", "heading_level_invalid", f"{HEADING} AND NOT coalesce(level BETWEEN 1 AND 6, false)", True),
-        BlockIssue("1.3.3", "sensory_reference", like("content", text.SENSORY), False, "manual_review"),
+        BlockIssue("1.3.3", "sensory_reference", like("content", text.SENSORY), False, "manual_review",
+                   evidence="substr(content, 1, 120)"),
         BlockIssue("1.3.5", "field_name_missing", f"{FIELD} AND {blank(first('name', 'content'))}", False,
                    "manual_review"),
         BlockIssue("1.4.5", "long_image_text", f"{IMAGE} AND {words} > 50", False, "manual_review",
                    element="coalesce(image_id, block_id)"),
-        BlockIssue("2.4.4", "generic_link_text", f"{HAS_URL} AND {generic}", False, "ai_draft"),
-        BlockIssue("2.4.4", "bare_url", f"{HAS_URL} AND NOT {generic} AND {only_url}", False, "ai_draft"),
+        BlockIssue("2.4.4", "generic_link_text", f"{HAS_URL} AND {generic}", False, "ai_draft",
+                   evidence="substr(content, 1, 120)"),
+        BlockIssue("2.4.4", "bare_url", f"{HAS_URL} AND NOT {generic} AND {only_url}", False, "ai_draft",
+                   evidence=f"substr({text.q_strip('content')}, 1, 100)"),
         BlockIssue("2.4.6", "heading_empty", f"{HEADING} AND {blank('content')}", False),
         BlockIssue("2.4.6", "field_label_missing", f"{FIELD} AND {blank(first('label', 'content'))}", False),
         BlockIssue("3.3.2", "field_instructions_missing",
@@ -145,7 +149,7 @@ def block_findings(block: DataFrame, criteria: Iterable[str]) -> DataFrame | Non
     return _explode(block, [
         f"CASE WHEN {i.when} THEN " + _finding(
             i.criterion, "fail", i.issue, element=sql(i.element), page=sql(i.page), auto=i.auto_fixable,
-            remediation=i.remediation) + " END"
+            remediation=i.remediation, evidence=sql(i.evidence)) + " END"
         for i in mine
     ])
 
@@ -426,7 +430,8 @@ def _document_rules() -> dict[str, tuple[set[str], list[str]]]:
     verdict("2.1.2", "has_javascript", "scripted", "NOT has_javascript AND NOT has_forms", element="document",
             remediation="manual_review")
     verdict("2.4.1", "n_heading = 0 AND (pages > 1 OR n_block > 10)", "no_headings", element="document", auto=True)
-    verdict("2.4.2", f"({TITLE_PROBLEM}) IS NOT NULL", sql(TITLE_PROBLEM), element="document", auto=True)
+    verdict("2.4.2", f"({TITLE_PROBLEM}) IS NOT NULL", sql(TITLE_PROBLEM), element="document", auto=True,
+            evidence=sql(_T))
     verdict("2.4.3", "order_breaks > 0", "order_breaks", idle, element="document", severity="serious",
             n=sql("order_breaks"), remediation="manual_review")
     verdict("2.4.5", "n_heading = 0", "no_headings", element="document", auto=True)

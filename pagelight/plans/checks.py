@@ -212,7 +212,7 @@ CHECK_SQL["1.3.2"] = _row("1.3.2", "fail", "cols", "'columns'", "moderate", "con
                           rem="manual_review", where="n >= 3") + _src_pass(
     "1.3.2", "(SELECT * FROM cols WHERE n >= 3)")
 CHECK_SQL["1.3.3"] = _blocks("1.3.3", [("sensory_reference", f"regexp_matches(content, {_SENSORY})",
-                                        {"rem": "manual_review"})])
+                                        {"rem": "manual_review", "ev": "substr(content, 1, 120)"})])
 CHECK_SQL["1.3.4"] = _verdict("1.3.4", "coalesce(meta_rotate, '0') <> '0'", "'rotation'", element="'document'",
                               rem="manual_review", ev="meta_rotate")
 CHECK_SQL["1.3.5"] = _blocks("1.3.5", [("field_name_missing", f"{_FORM} AND {_first('name', 'content')} = ''",
@@ -246,14 +246,15 @@ CHECK_SQL["2.1.2"] = _verdict("2.1.2", "has_javascript", "'scripted'", "NOT has_
                               element="'document'", rem="manual_review")
 CHECK_SQL["2.4.1"] = _verdict("2.4.1", "n_heading = 0 AND (coalesce(nullif(page_count, 0), n_page) > 1 OR n_block > 10)",
                               "'no_headings'", element="'document'", auto="true")
-CHECK_SQL["2.4.2"] = _verdict("2.4.2", "problem IS NOT NULL", "problem", element="'document'", auto="true").replace(
-    "FROM facts", "FROM titled")
+CHECK_SQL["2.4.2"] = _verdict("2.4.2", "problem IS NOT NULL", "problem", element="'document'", auto="true",
+                              ev="t").replace("FROM facts", "FROM titled")
 CHECK_SQL["2.4.3"] = _verdict("2.4.3", "coalesce(breaks, 0) > 0", "'order_breaks'", _IDLE, element="'document'",
                               sev="serious", n="breaks", rem="manual_review").replace(
     "FROM facts", "FROM (FROM facts LEFT JOIN brk USING (doc_id))")
 CHECK_SQL["2.4.4"] = _blocks("2.4.4", [
-    ("generic_link_text", f"{_URL} AND {_GENERIC}", {}),
-    ("bare_url", rf"{_URL} AND NOT {_GENERIC} AND regexp_full_match(trim(content), '(?i)https?://\S+')", {}),
+    ("generic_link_text", f"{_URL} AND {_GENERIC}", {"ev": "substr(content, 1, 120)"}),
+    ("bare_url", rf"{_URL} AND NOT {_GENERIC} AND regexp_full_match(trim(content), '(?i)https?://\S+')",
+     {"ev": "substr(trim(content), 1, 100)"}),
 ])
 CHECK_SQL["2.4.5"] = _verdict("2.4.5", "n_heading = 0", "'no_headings'", element="'document'", auto="true")
 CHECK_SQL["2.4.6"] = _blocks("2.4.6", [
