@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT_ROWS = 50_000
+SEGMENT = "__segment"
 
 
 @dataclass(frozen=True)
@@ -77,21 +78,24 @@ def running(
     order: Sequence[str],
     scans: dict[str, Scan],
     segment: Sequence[Column] | None = None,
+    keep_segment: bool = False,
 ) -> DataFrame:
     """Add one column per scan, ordered by ``order`` within ``keys``.
 
     ``segment`` must be non-decreasing along ``order``; by default it is the
-    first order column divided into ranges of ``SEGMENT_ROWS``.
+    first order column divided into ranges of ``SEGMENT_ROWS``.  A chain of scans
+    over the same keys passes ``keep_segment`` so that the later ones find the
+    segment column, and with it the partitioning, in place.
     """
     keys, order = list(keys), list(order)
-    segment = list(segment) if segment is not None else [segment_of(F.col(order[0]))]
-    seg = [f"__seg{i}" for i in range(len(segment))]
+    if segment is None and SEGMENT in df.columns:
+        seg, added = [SEGMENT], []
+    else:
+        segment = list(segment) if segment is not None else [segment_of(F.col(order[0]))]
+        seg = [SEGMENT] if len(segment) == 1 else [f"{SEGMENT}{i}" for i in range(len(segment))]
+        added = [c.alias(n) for c, n in zip(segment, seg)]
     inp = {name: f"__in_{name}" for name in scans}
-    base = df.select(
-        "*",
-        *[c.alias(n) for c, n in zip(segment, seg)],
-        *[s.expr.alias(inp[n]) for n, s in scans.items()],
-    )
+    base = df.select("*", *added, *[s.expr.alias(inp[n]) for n, s in scans.items()])
     position = F.struct(*order)
 
     def summary(name: str, scan: Scan) -> Column:
@@ -150,10 +154,11 @@ def running(
             out = F.coalesce(here, before)
         return (out["v"] if scan.wrapped else out).alias(name)
 
+    kept = [c for c in df.columns if c not in seg] + (seg if keep_segment else [])
     scanned = joined.select(
-        *df.columns, *carried.values(), *[local(s, n).alias(f"__here_{n}") for n, s in scans.items()]
+        *kept, *carried.values(), *[local(s, n).alias(f"__here_{n}") for n, s in scans.items()]
     )
-    return scanned.select(*df.columns, *[merged(n, s) for n, s in scans.items()])
+    return scanned.select(*kept, *[merged(n, s) for n, s in scans.items()])
 
 
 def with_halo(
@@ -162,8 +167,8 @@ def with_halo(
     """Repeat the rows next to a segment border in the neighbouring segment.
 
     ``position`` must be dense (0, 1, 2, ...) within ``keys``.  The result has
-    ``__seg`` and ``__core``; windows of at most ``before``/``after`` rows
-    partitioned by keys and ``__seg`` are then exact on the core rows.
+    ``__segment`` and ``__core``; windows of at most ``before``/``after`` rows
+    partitioned by keys and ``__segment`` are then exact on the core rows.
     """
     rows = rows or SEGMENT_ROWS
     pos = F.col(position)
@@ -176,8 +181,8 @@ def with_halo(
             F.when(offset >= rows - before, home + 1),
         )
     )
-    return df.select("*", F.explode(copies).alias("__seg")).withColumn(
-        "__core", F.col("__seg") == F.floor(pos / rows)
+    return df.select("*", F.explode(copies).alias(SEGMENT)).withColumn(
+        "__core", F.col(SEGMENT) == F.floor(pos / rows)
     )
 
 

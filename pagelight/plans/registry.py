@@ -12,7 +12,7 @@ PLANS: dict[str, Plan] = {}
 COMPARISONS: dict[str, str] = {}
 
 MODULES = (
-    "checks", "reports",
+    "checks", "reports", "elements",
 )
 _LATER = (
     "scans", "elements", "ordered", "dedupe", "joins", "checks", "reports",

@@ -205,3 +205,57 @@ SQL_CORPUS = f"WITH {SQL_BLOCK},\n{SQL_DOC}\n"
 
 SQL_HTML = f"""html AS (SELECT page_id AS doc_id, {HTML_COLUMN} AS html
  FROM (SELECT *, {HTML_BASE} AS base FROM pages))"""
+
+
+# --- extraction elements derived from the same lines -------------------------
+
+_R = "(seq % 24)"
+ELEMENT_COLUMNS = {
+    "Path": f"""CASE WHEN {_R} BETWEEN 4 AND 15 AND doc_id % 3 <> 1 THEN concat('//Document/Table[',
+  CAST(CAST(floor(seq / 24) AS INT) + CASE WHEN doc_id % 5 = 2 AND {_R} > 9 THEN 2 ELSE 1 END AS STRING), ']/TR[',
+  CAST(CAST(floor(({_R} - 4) / 3) AS INT) + 1 AS STRING), ']/', CASE WHEN {_R} < 7 AND doc_id % 4 = 0 THEN 'TH'
+  WHEN {_R} % 3 = 1 AND doc_id % 4 = 2 THEN 'TH' ELSE 'TD' END,
+  CASE WHEN doc_id % 7 = 0 AND {_R} < 7 THEN '[1]' ELSE concat('[', CAST(1 + {_R} % 3 AS STRING), ']') END)
+ WHEN h % 9 = 0 THEN concat('//Document/H', CAST(1 + h % 3 AS STRING)) WHEN h % 9 = 1 THEN '//Document/Figure'
+ WHEN h % 9 = 2 THEN '//Document/L/LI/LBody' WHEN h % 27 = 3 THEN '//Document/L/LI/Lbl'
+ WHEN h % 23 = 4 THEN '//Document/Artifact/P' WHEN h % 29 = 5 THEN '//Document/TOC/TOCI'
+ WHEN h % 31 = 6 THEN '//Document/Footnote' WHEN h % 37 = 7 THEN '//Document/Link' WHEN h % 41 = 8 THEN '//Document'
+ WHEN h % 43 = 9 THEN '//Document/Table/TR/TD/Table/TR/TD/Table' ELSE '//Document/P' END""",
+    "Text": f"""CASE WHEN {_R} BETWEEN 4 AND 15 AND doc_id % 3 <> 1 THEN CASE
+   WHEN h % 47 = 0 THEN '[1] see above' WHEN h % 53 = 1 THEN 'Note: rounded' WHEN h % 59 = 2 THEN 'equation x'
+   WHEN {_R} < 5 AND doc_id % 6 = 0 THEN 'Table 4: Fees' WHEN h % 4 = 3 THEN '$12.50' ELSE {_W['w1']} END
+ WHEN h % 61 = 0 THEN '' WHEN h % 5 = 3 AND seq % 3 <> 0 THEN 'I' WHEN h % 7 = 3 THEN concat('• ', substr(line, 1, 30))
+ WHEN h % 7 = 5 THEN concat('1) ', substr(line, 1, 30)) WHEN h % 67 = 6 THEN '12'
+ WHEN h % 10 = 7 THEN concat('Figure 2 ', substr(line, 1, 20))
+ WHEN h % 11 = 4 THEN concat('I N F R A, JANU ARY. FOO BAR, NEW S; PROGR E S. (<>) ', substr(line, 1, 20))
+ WHEN h % 13 = 5 THEN concat(substr(line, 1, 20), ' 1/2/2024 10:30 AM Page 3 of 10') WHEN h % 17 = 4 THEN
+  CASE h % 4 WHEN 0 THEN '1. Scope' WHEN 1 THEN '1.2.3 Scope' WHEN 2 THEN 'A.1 Scope' ELSE '(a) scope' END
+ ELSE line END""",
+    "Page": "CAST(floor(seq / 8) AS INT)",
+    "TextSize": "CAST(CASE WHEN h % 8 <> 0 THEN 10 + (h % 9) * 1.25 END AS DOUBLE)",
+    "weight": "CAST(400 + (h % 2) * 300 AS DOUBLE)",
+    "family": "CASE WHEN h % 3 = 0 THEN 'Arial' WHEN h % 3 = 1 THEN '' END",
+    "italic": "h % 5 = 0",
+    "role": "CASE WHEN h % 10 = 9 THEN 'Artifact' END",
+    "alt_attr": "CASE WHEN h % 18 = 1 THEN 'A map of the district' END",
+    "align_attr": "CASE h % 4 WHEN 0 THEN 'Center' WHEN 1 THEN 'Start' WHEN 2 THEN 'Odd' END",
+}
+
+
+def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = lines(spark, sf_dir).selectExpr(
+        "doc_id", "seq", "line", "h", *[f"{_spark(e)} AS {n}" for n, e in ELEMENT_COLUMNS.items()]
+    )
+    return flat.selectExpr(
+        "doc_id", "seq", "Path", "Text", "Page", "TextSize",
+        "named_struct('weight', weight, 'family_name', family, 'name', 'Plain', 'italic', italic) AS Font",
+        """map_filter(map('role', CASE WHEN role IS NOT NULL AND Path = '//Document/P' THEN role END, 'Alt', alt_attr,
+         'TextAlign', align_attr), (k, v) -> v IS NOT NULL) AS attributes""",
+    )
+
+
+SQL_ELEMENT = f"""WITH {SQL_LINES},
+el0 AS (SELECT doc_id, seq, line, h, {", ".join(f"{_duck(e)} AS {n}" for n, e in ELEMENT_COLUMNS.items())} FROM lines),
+el AS (SELECT doc_id, seq, h, line, Path, Text, Page, TextSize, weight, family, italic, alt_attr, align_attr,
+ CASE WHEN Path = '//Document/P' THEN role END AS role FROM el0)
+"""
