@@ -15,6 +15,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEGMENT_ROWS = 50_000
 SEGMENT = "__segment"
@@ -78,24 +79,23 @@ def running(
     order: Sequence[str],
     scans: dict[str, Scan],
     segment: Sequence[Column] | None = None,
-    keep_segment: bool = False,
 ) -> DataFrame:
     """Add one column per scan, ordered by ``order`` within ``keys``.
 
     ``segment`` must be non-decreasing along ``order``; by default it is the
-    first order column divided into ranges of ``SEGMENT_ROWS``.  A chain of scans
-    over the same keys passes ``keep_segment`` so that the later ones find the
-    segment column, and with it the partitioning, in place.
+    first order column divided into ranges of ``SEGMENT_ROWS``.
+
+    Rows are shuffled once, by key and segment.  The summary branch reads that same
+    exchange, so a chain of scans costs one shuffle each and nothing is computed twice.
     """
     keys, order = list(keys), list(order)
-    if segment is None and SEGMENT in df.columns:
-        seg, added = [SEGMENT], []
-    else:
-        segment = list(segment) if segment is not None else [segment_of(F.col(order[0]))]
-        seg = [SEGMENT] if len(segment) == 1 else [f"{SEGMENT}{i}" for i in range(len(segment))]
-        added = [c.alias(n) for c, n in zip(segment, seg)]
+    segment = list(segment) if segment is not None else [segment_of(F.col(order[0]))]
+    seg = [f"s{i}" for i in range(len(segment))]
     inp = {name: f"__in_{name}" for name in scans}
-    base = df.select("*", *added, *[s.expr.alias(inp[n]) for n, s in scans.items()])
+    home = F.struct(
+        *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[c.alias(n) for c, n in zip(segment, seg)]
+    )
+    base = df.select("*", home.alias(SEGMENT), *[s.expr.alias(inp[n]) for n, s in scans.items()]).repartition(SEGMENT)
     position = F.struct(*order)
 
     def summary(name: str, scan: Scan) -> Column:
@@ -105,39 +105,34 @@ def running(
             return pick(value, F.when(value.isNotNull(), position)).alias(name)
         return getattr(F, scan.kind)(value).alias(name)
 
-    per_segment = base.groupBy(*keys, *seg).agg(*[summary(n, s) for n, s in scans.items()])
-    ahead = Window.partitionBy(*keys).orderBy(*seg).rowsBetween(Window.unboundedPreceding, -1)
-    behind = (
-        Window.partitionBy(*keys)
-        .orderBy(*[F.col(s).desc() for s in seg])
-        .rowsBetween(Window.unboundedPreceding, -1)
+    # Reading every column keeps column pruning from splitting the shared exchange in two.
+    whole = F.max(F.xxhash64(*[_hashable(f) for f in base.schema])).alias("__whole")
+    per_segment = base.groupBy(SEGMENT).agg(*[summary(n, s) for n, s in scans.items()], whole).filter(
+        "__whole IS NOT NULL"
     )
+    by_key = Window.partitionBy(*[f"{SEGMENT}.k{i}" for i in range(len(keys))])
+    earlier = by_key.orderBy(*[f"{SEGMENT}.{s}" for s in seg]).rowsBetween(Window.unboundedPreceding, -1)
+    later = by_key.orderBy(*[F.col(f"{SEGMENT}.{s}").desc() for s in seg]).rowsBetween(Window.unboundedPreceding, -1)
     carried = {n: f"__carry_{n}" for n in scans}
 
     def carry(name: str, scan: Scan) -> Column:
         value = F.col(name)
-        if scan.kind == "last":
-            return F.last(value, ignorenulls=True).over(ahead)
-        if scan.kind == "next":
-            return F.last(value, ignorenulls=True).over(behind)
-        return getattr(F, scan.kind)(value).over(ahead)
+        if scan.kind in ("last", "next"):
+            return F.last(value, ignorenulls=True).over(earlier if scan.kind == "last" else later)
+        return getattr(F, scan.kind)(value).over(earlier)
 
-    # Only keys longer than one segment leave rows here, so the join side is
-    # small and AQE can ship it instead of the main table.
-    carries = per_segment.select(*keys, *seg, *[carry(n, s).alias(carried[n]) for n, s in scans.items()])
+    # Only keys longer than one segment leave rows here: usually none, and then AQE drops the join.
+    carries = per_segment.select(SEGMENT, *[carry(n, s).alias(carried[n]) for n, s in scans.items()])
     carries = carries.filter(reduce(or_, [F.col(c).isNotNull() for c in carried.values()]))
-    joined = base.join(carries, keys + seg, "left")
-
-    parts = keys + seg
+    joined = base.join(carries, SEGMENT, "left")
+    inside = Window.partitionBy(SEGMENT).orderBy(*order)
 
     def local(scan: Scan, name: str) -> Column:
         value = F.col(inp[name])
-        frame_end = -1 if scan.exclusive else Window.currentRow
         if scan.kind == "next":
             start = 1 if scan.exclusive else Window.currentRow
-            w = Window.partitionBy(*parts).orderBy(*order).rowsBetween(start, Window.unboundedFollowing)
-            return F.first(value, ignorenulls=True).over(w)
-        w = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
+            return F.first(value, ignorenulls=True).over(inside.rowsBetween(start, Window.unboundedFollowing))
+        w = inside.rowsBetween(Window.unboundedPreceding, -1 if scan.exclusive else Window.currentRow)
         if scan.kind == "last":
             return F.last(value, ignorenulls=True).over(w)
         return getattr(F, scan.kind)(value).over(w)
@@ -154,11 +149,33 @@ def running(
             out = F.coalesce(here, before)
         return (out["v"] if scan.wrapped else out).alias(name)
 
-    kept = [c for c in df.columns if c not in seg] + (seg if keep_segment else [])
     scanned = joined.select(
-        *kept, *carried.values(), *[local(s, n).alias(f"__here_{n}") for n, s in scans.items()]
+        *df.columns, *carried.values(), *[local(s, n).alias(f"__here_{n}") for n, s in scans.items()]
+    )
+    return scanned.select(*df.columns, *[merged(n, s) for n, s in scans.items()])
+
+
+def _hashable(field: T.StructField) -> Column:
+    col = F.col(f"`{field.name}`")
+    return F.map_entries(col) if isinstance(field.dataType, T.MapType) else col
+
+
+def neighbours(
+    df: DataFrame, keys: Sequence[str], position: str, picks: dict[str, tuple[int, Column]]
+) -> DataFrame:
+    """Values a fixed number of rows away; ``position`` must be dense.
+
+    ``picks`` maps a new column to (offset, value): -1 is the row before, 1 the row after.
+    One shuffle by key and segment, no join.
+    """
+    before = max([-o for o, _ in picks.values()] + [0])
+    after = max([o for o, _ in picks.values()] + [0])
+    spread = with_halo(df, keys, position, before, after)
+    w = Window.partitionBy(*keys, SEGMENT).orderBy(position)
+    looked = spread.select(
+        "*", *[(F.lag(v, -o) if o < 0 else F.lead(v, o)).over(w).alias(n) for n, (o, v) in picks.items()]
     )
-    return scanned.select(*kept, *[merged(n, s) for n, s in scans.items()])
+    return looked.filter("__core").drop(SEGMENT, "__core")
 
 
 def with_halo(

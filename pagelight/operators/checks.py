@@ -238,9 +238,8 @@ def doc_features(corpus: Corpus, flags: DataFrame | None = None) -> DataFrame:
 
 def order_breaks(block: DataFrame) -> DataFrame:
     """Times the page number falls or the text jumps up by more than 20 within a page."""
-    seen = scan.running(
-        block.select("doc_id", "seq", "page_num", "y1"), ["doc_id"], ["seq"],
-        {"before": scan.previous(F.struct("page_num", "y1"))},
+    seen = scan.neighbours(
+        block.select("doc_id", "seq", "page_num", "y1"), ["doc_id"], "seq", {"before": (-1, F.struct("page_num", "y1"))}
     )
     back = "page_num < before.page_num OR (page_num = before.page_num AND y1 < before.y1 - 20)"
     return seen.groupBy("doc_id").agg(F.expr(f"count_if({back}) AS order_breaks"))

@@ -213,17 +213,21 @@ def merge_fragments(element: DataFrame) -> DataFrame:
         "__fragment": F.expr(f"length({t}) <= 2 AND {t} rlike r'(?U)\\p{{Lu}}' AND upper({t}) = {t} AND {plain}"),
         "__receives": F.expr(f"{t} rlike r'^\\p{{Lu}}' AND {plain}"),
     })
-    ahead = scan.running(
-        marked, ["doc_id"], ["seq"],
-        {"__next": scan.following(F.col("__receives")), "__pos": scan.row_position()}, keep_segment=True,
-    ).withColumn("__pair", F.expr("__fragment AND coalesce(__next, false)"))
+    ahead = scan.neighbours(
+        marked, ["doc_id"], "seq",
+        {"__next": (1, F.col("__receives")), "__above": (-1, F.struct("__t", "__fragment"))},
+    ).withColumns({
+        "__pair": F.expr("__fragment AND coalesce(__next, false)"),
+        "__pair_above": F.expr("coalesce(__above.__fragment, false) AND __receives"),
+    })
+    stop = F.expr("CASE WHEN NOT __pair THEN seq END")
     runs = scan.running(
-        ahead, ["doc_id"], ["seq"], {"__stop": scan.last_value(F.expr("CASE WHEN NOT __pair THEN __pos END"))},
-        keep_segment=True,
-    ).withColumn("__merge", F.expr("__pair AND (__pos - coalesce(__stop, 0)) % 2 = 1"))
-    out = scan.running(
-        runs, ["doc_id"], ["seq"],
-        {"__prefix": scan.previous(F.expr("CASE WHEN __merge THEN __t END"))},
+        ahead, ["doc_id"], ["seq"],
+        {"__stop": scan.last_value(stop), "__stop_above": scan.last_value(stop, exclusive=True)},
+    )
+    out = runs.selectExpr(
+        "*", "__pair AND (seq - coalesce(__stop, -1)) % 2 = 1 AS __merge",
+        "CASE WHEN __pair_above AND (seq - 1 - coalesce(__stop_above, -1)) % 2 = 1 THEN __above.__t END AS __prefix",
     ).filter("NOT __merge")
     merged = out.withColumn("Text", F.expr("CASE WHEN __prefix IS NOT NULL THEN concat(__prefix, __t) ELSE Text END"))
     return merged.select(*element.columns)
@@ -249,7 +253,7 @@ def table_ranges(element: DataFrame) -> DataFrame:
     tools do, would also absorb a neighbour whose path merely starts the same.)
     """
     based = element.withColumn("base", F.expr(f"nullif(regexp_extract(coalesce(Path, ''), {q(TABLE_BASE)}, 1), '')"))
-    seen = scan.running(based, ["doc_id"], ["seq"], {"__before": scan.previous(F.col("base"))}, keep_segment=True)
+    seen = scan.neighbours(based, ["doc_id"], "seq", {"__before": (-1, F.col("base"))})
     starts = seen.withColumn(
         "__start", F.expr("CASE WHEN base IS NOT NULL AND NOT coalesce(__before = base, false) THEN 1 ELSE 0 END"))
     numbered = scan.running(starts, ["doc_id"], ["seq"], {"table_no": scan.running_sum(F.col("__start"))})
@@ -267,7 +271,8 @@ def table_cells(element: DataFrame) -> DataFrame:
         f"coalesce(try_cast(regexp_extract(Path, {q(TABLE_CELL)}, 3) AS INT), 0) AS col",
     ).filter("text <> '' AND at <> ''")
     keyed = cells.withColumn("sort_key", F.expr("col * 2 + CASE WHEN cell_type = 'TH' THEN 0 ELSE 1 END"))
-    return keyed.groupBy("doc_id", "table_no", "page", "row", "sort_key").agg(
+    # One shuffle by table page serves the cells, the rows and the header choice.
+    return keyed.repartition(*TABLE_KEYS).groupBy("doc_id", "table_no", "page", "row", "sort_key").agg(
         F.expr("min_by(cell_type, seq) AS cell_type"),
         F.expr("array_join(transform(array_sort(collect_list(struct(seq, text))), x -> x.text), ' ') AS text"),
     )
@@ -306,45 +311,45 @@ def split_tables(rows: DataFrame) -> DataFrame:
     directly above it, which extends it.  The first footnote row turns everything
     below it into footnotes.
     """
-    first = "texts[0]"
-    keyed = rows.join(header_rows(rows), TABLE_KEYS)
-    above = keyed.filter("row < header_row").groupBy(*TABLE_KEYS).agg(
-        F.expr("max_by(CASE WHEN array_contains(types, 'TD') THEN row END, row) AS extra_row"))
-    keyed = keyed.join(above, TABLE_KEYS, "left")
-    marked = keyed.selectExpr(
+    page = "PARTITION BY doc_id, table_no, page"
+    running = f"({page} ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    th, td = "array_contains(types, 'TH')", "array_contains(types, 'TD')"
+    numeric = f"size(filter(texts, t -> t rlike {q(CURRENCY)}))"
+    rules = [f"{th} AND NOT {td} AND size(texts) >= 2", f"{th} AND {td}",
+             f"size(texts) >= 2 AND NOT {numeric} > size(texts) / 2", "size(texts) >= 2", "true"]
+    header = ", ".join(f"min(CASE WHEN {r} THEN row END) OVER ({page})" for r in rules)
+    headed = rows.selectExpr("*", f"coalesce({header}) AS header_row")
+    above = headed.selectExpr("*", f"max(CASE WHEN row < header_row THEN row END) OVER ({page}) AS above_row")
+    extra = above.selectExpr("*", f"max(CASE WHEN row = above_row AND {td} THEN row END) OVER ({page}) AS extra_row")
+    marked = extra.selectExpr(
         "*",
         "array_join(filter(texts, t -> trim(t) <> ''), ' — ') AS joined",
-        f"row > header_row AND size(texts) = 1 AND startswith(lower({first}), 'equation') AS dropped",
-        f"""row > header_row AND ({first} rlike r'^\\[\\d+\\]' OR (size(texts) = 1
-         AND {first} rlike r'(?i)^(?:Source|Note|Notes)\\s*:')) AS opens_notes""",
+        "row > header_row AND size(texts) = 1 AND startswith(lower(texts[0]), 'equation') AS dropped",
+        """row > header_row AND (texts[0] rlike r'^\[\d+\]' OR (size(texts) = 1
+         AND texts[0] rlike r'(?i)^(?:Source|Note|Notes)\s*:')) AS opens_notes""",
         "row < header_row AND NOT coalesce(row = extra_row, false) AS lead",
     ).withColumn("captions", F.expr(r"lead AND joined rlike r'(?i)^Table\s+\d+[A-Za-z]?\s*[-:.]\s*.+$'"))
-    scanned = scan.running(
-        marked, TABLE_KEYS, ["row"],
-        {
-            "__notes": scan.running_max(F.expr("CASE WHEN opens_notes AND NOT dropped THEN 1 ELSE 0 END")),
-            "__captions": scan.running_sum(F.expr("CASE WHEN captions THEN 1 ELSE 0 END")),
-        },
-        keep_segment=True,
-    ).withColumn("candidate", F.expr("row > header_row AND NOT dropped AND __notes = 0"))
-    totals = scanned.groupBy(*TABLE_KEYS).agg(
-        F.expr("count_if(candidate AND size(texts) >= 2) AS n_multi"),
-        F.expr("count_if(candidate AND size(texts) = 1) AS n_single"),
-        F.expr("""max(CASE WHEN row = header_row THEN size(texts) WHEN row = extra_row
-         THEN 0 END) + coalesce(max(CASE WHEN row = extra_row THEN size(filter(types, t -> t = 'TD')) END), 0) AS n_head"""),
+    noted = marked.selectExpr(
+        "*", f"coalesce(bool_or(opens_notes AND NOT dropped) OVER {running}, false) AS notes",
+        f"count_if(captions) OVER {running} AS n_caption",
+    ).withColumn("candidate", F.expr("row > header_row AND NOT dropped AND NOT notes"))
+    counted = noted.selectExpr(
+        "*",
+        f"coalesce(bool_or(candidate AND size(texts) >= 2) OVER {running}, false) AS seen",
+        f"count_if(candidate AND size(texts) >= 2) OVER ({page}) AS n_multi",
+        f"count_if(candidate AND size(texts) = 1) OVER ({page}) AS n_single",
+        f"""max(CASE WHEN row = header_row THEN size(texts) END) OVER ({page})
+         + coalesce(max(CASE WHEN row = extra_row THEN size(filter(types, t -> t = 'TD')) END) OVER ({page}), 0)
+         AS n_head""",
     )
-    wide = scan.running(
-        scanned, TABLE_KEYS, ["row"],
-        {"__seen": scan.running_max(F.expr("CASE WHEN candidate AND size(texts) >= 2 THEN 1 ELSE 0 END"), True)},
-    ).join(totals, TABLE_KEYS)
-    return wide.selectExpr(
+    return counted.selectExpr(
         *TABLE_KEYS, "row", "texts", "types", "joined",
         """CASE WHEN row = header_row THEN 'header' WHEN coalesce(row = extra_row, false) THEN 'extra_header'
-         WHEN lead THEN CASE WHEN captions AND __captions = 1 THEN 'caption' WHEN trim(joined) = '' THEN 'dropped'
+         WHEN lead THEN CASE WHEN captions AND n_caption = 1 THEN 'caption' WHEN trim(joined) = '' THEN 'dropped'
           ELSE 'heading' END
-         WHEN dropped THEN 'dropped' WHEN __notes = 1 THEN 'footnote'
+         WHEN dropped THEN 'dropped' WHEN notes THEN 'footnote'
          WHEN n_head >= 2 AND n_multi = 0 AND n_single > 0 THEN 'data'
-         WHEN n_head >= 2 AND size(texts) = 1 THEN CASE WHEN coalesce(__seen, 0) = 1 THEN 'footnote' ELSE 'paragraph' END
+         WHEN n_head >= 2 AND size(texts) = 1 THEN CASE WHEN seen THEN 'footnote' ELSE 'paragraph' END
          ELSE 'data' END AS part""",
     )
 
@@ -379,7 +384,7 @@ def list_items(element: DataFrame) -> DataFrame:
          WHEN {text.q_like('text', NUMBERED)} THEN 'number' WHEN in_list THEN 'bullet' END AS kind""",
         q_strip(f"regexp_replace(text, {q('(?:' + BULLET + ')|(?:' + NUMBERED + ')')}, '')") + " AS item",
     ).filter("kind IS NULL OR item <> ''")
-    seen = scan.running(kinds, ["doc_id"], ["seq"], {"__before": scan.previous(F.col("kind"))}, keep_segment=True)
+    seen = scan.running(kinds, ["doc_id"], ["seq"], {"__before": scan.previous(F.col("kind"))})
     breaks = seen.withColumn("__break", F.expr("CASE WHEN kind IS NOT NULL AND NOT coalesce(__before = kind, false) THEN 1 ELSE 0 END"))
     numbered = scan.running(breaks, ["doc_id"], ["seq"], {"list_no": scan.running_sum(F.col("__break"))})
     return numbered.filter("kind IS NOT NULL").selectExpr(
@@ -398,8 +403,7 @@ def figure_captions(element: DataFrame) -> DataFrame:
     """Figures with the caption that directly follows them; that element is used up."""
     marked = element.selectExpr("doc_id", "seq", "Page", "Path", f"{CLEAN_TEXT} AS text",
                                 f"{text.q_like('Path', FIGURE_PATH)} AS figure")
-    seen = scan.running(marked, ["doc_id"], ["seq"],
-                        {"__next": scan.following(F.struct("seq", "text"))})
+    seen = scan.neighbours(marked, ["doc_id"], "seq", {"__next": (1, F.struct("seq", "text"))})
     return seen.filter("figure").selectExpr(
         "doc_id", "seq", "Page",
         f"CASE WHEN {text.q_like('__next.text', FIGURE_CAPTION)} THEN __next.text END AS caption",

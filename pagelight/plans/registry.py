@@ -12,7 +12,7 @@ PLANS: dict[str, Plan] = {}
 COMPARISONS: dict[str, str] = {}
 
 MODULES = (
-    "checks", "reports", "elements",
+    "checks", "reports", "elements", "ordered", "dedupe",
 )
 _LATER = (
     "scans", "elements", "ordered", "dedupe", "joins", "checks", "reports",
