@@ -325,7 +325,7 @@ def split_tables(rows: DataFrame) -> DataFrame:
         "*",
         "array_join(filter(texts, t -> trim(t) <> ''), ' — ') AS joined",
         "row > header_row AND size(texts) = 1 AND startswith(lower(texts[0]), 'equation') AS dropped",
-        """row > header_row AND (texts[0] rlike r'^\[\d+\]' OR (size(texts) = 1
+        r"""row > header_row AND (texts[0] rlike r'^\[\d+\]' OR (size(texts) = 1
          AND texts[0] rlike r'(?i)^(?:Source|Note|Notes)\s*:')) AS opens_notes""",
         "row < header_row AND NOT coalesce(row = extra_row, false) AS lead",
     ).withColumn("captions", F.expr(r"lead AND joined rlike r'(?i)^Table\s+\d+[A-Za-z]?\s*[-:.]\s*.+$'"))

@@ -12,7 +12,7 @@ PLANS: dict[str, Plan] = {}
 COMPARISONS: dict[str, str] = {}
 
 MODULES = (
-    "checks", "reports", "elements", "ordered", "dedupe",
+    "checks", "reports", "elements", "ordered", "dedupe", "html", "gates",
 )
 _LATER = (
     "scans", "elements", "ordered", "dedupe", "joins", "checks", "reports",
