@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelight.functions.text import q, q_blank, q_empty
 
 # Fixed values.
-ELEMENT_TYPES = ("table", "image", "heading", "link", "paragraph", "list", "form_field")
+ELEMENT_TYPES = ("table", "image", "heading", "paragraph", "link", "form_field")
 CONDITIONS = {
     "missing_headers": f"type = 'table' AND {q_empty('headers')}",
     "no_alt": f"{q_blank('alt')}",

@@ -149,10 +149,14 @@ def review_item_elements(item: DataFrame) -> DataFrame:
 
 def manual_review_rows(item: DataFrame) -> DataFrame:
     """Rows of the manual review file; items without a decision are pending."""
-    return item.filter("decision IS NULL OR decision NOT IN ('approve', 'edit')").selectExpr(
-        "item_id", "doc_id", "element_type", "coalesce(decision, 'pending') AS decision",
-        """CASE WHEN decision IS NULL THEN 'Awaiting human review' WHEN decision = 'reject' THEN 'Rejected by reviewer'
-         ELSE 'Requires manual remediation' END AS reason""")
+    decision = "coalesce(nullif(reviewer_decision, ''), 'pending')"
+    return item.filter(f"{decision} NOT IN ('approve', 'edit')").selectExpr(
+        "item_id", "document_id", "element_type", "finding_id", "ai_suggestion", f"{decision} AS reviewer_decision",
+        "coalesce(reviewer_edit, '') AS reviewer_edit", "coalesce(reviewed_by, '') AS reviewed_by",
+        "coalesce(CAST(reviewed_at AS STRING), '') AS reviewed_at",
+        f"""CASE {decision} WHEN 'reject' THEN 'Reviewer rejected AI suggestion — requires manual remediation.'
+         WHEN 'pending' THEN 'Item not yet reviewed — manual review required before recompilation.'
+         ELSE concat('Flagged for manual review (decision: ', {decision}, ').') END AS reason_for_manual_review""")
 
 
 # --- stored tables -------------------------------------------------------------
@@ -183,7 +187,7 @@ def partial_update(row: DataFrame, change: DataFrame) -> DataFrame:
     """Only listed columns change; the resolution time is set for final states."""
     new = change.select("id", *[F.col(c).alias(f"__{c}") for c in UPDATABLE if c in change.columns], F.col("ts").alias("__ts"))
     return row.join(new, "id", "left").selectExpr(
-        "id", *[f"coalesce(__{c}, {c}) AS {c}" for c in UPDATABLE],
+        "id", *[f"coalesce(__{c}, {c}) AS {c}" if c in change.columns else c for c in UPDATABLE],
         "CASE WHEN __status IN ('approved', 'rejected', 'resolved') THEN __ts ELSE resolved_at END AS resolved_at")
 
 

@@ -12,11 +12,8 @@ PLANS: dict[str, Plan] = {}
 COMPARISONS: dict[str, str] = {}
 
 MODULES = (
-    "checks", "reports", "elements", "ordered", "dedupe", "html", "gates",
-)
-_LATER = (
-    "scans", "elements", "ordered", "dedupe", "joins", "checks", "reports",
-    "gates", "html", "fixes", "rules", "workflow", "profiling", "events",
+    "fixes", "scans", "elements", "ordered", "dedupe", "joins", "checks", "reports", "gates", "html", "rules",
+    "workflow", "profiling", "events",
 )
 
 
