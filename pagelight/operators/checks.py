@@ -130,12 +130,14 @@ def _finding(criterion, status, issue=None, severity=None, element="", page=0, n
 
 
 def _explode(df: DataFrame, structs: list[str]) -> DataFrame:
-    """One finding row per non-null struct."""
-    return _as_findings(df.selectExpr("doc_id", f"explode(array_compact(array({', '.join(structs)}))) AS f"))
+    """One finding row per non-null struct.
 
-
-def _as_findings(df: DataFrame) -> DataFrame:
-    return df.selectExpr("doc_id", "concat('wcag_', replace(f.criterion, '.', '_')) AS rule_id", "f.*").select(*FINDING)
+    The outer generator keeps the optimizer from copying the whole list into an extra
+    not-empty filter; documents without findings drop out afterwards.
+    """
+    rows = df.selectExpr("doc_id", f"inline_outer(array_compact(array({', '.join(structs)})))")
+    return rows.filter("criterion IS NOT NULL").withColumn(
+        "rule_id", F.expr("concat('wcag_', replace(criterion, '.', '_'))")).select(*FINDING)
 
 
 # --- block pass -------------------------------------------------------------
@@ -447,6 +449,29 @@ def document_findings(corpus: Corpus, criteria: Iterable[str], flags: DataFrame
     return _explode(facts, [row for _, rows in chosen for row in rows])
 
 
+def audit_documents(corpus: Corpus, flags: DataFrame | None = None) -> DataFrame:
+    """Outcome counts and coverage per document, straight from the facts row.
+
+    The facts count every failure, so a rule without a document row has failed in its
+    rows; neither the findings nor a second grouping are needed.
+    """
+    names = set().union(*[n for n, _ in DOCUMENT_RULES.values()])
+    statuses = []
+    for c in CRITERIA:
+        found = f"array_compact(array({', '.join(f'({row}).status' for row in DOCUMENT_RULES[c][1])}))"
+        statuses.append(found)
+    facts = doc_facts(corpus, names, flags).selectExpr("doc_id", f"array({', '.join(statuses)}) AS found")
+    each = """transform(found, s -> CASE WHEN size(s) = 0 OR array_contains(s, 'fail') THEN 'fail'
+     WHEN array_contains(s, 'not_applicable') THEN 'not_applicable' ELSE 'pass' END)"""
+    counted = facts.selectExpr("doc_id", f"{each} AS s").selectExpr(
+        "doc_id", "CAST(size(s) AS BIGINT) AS rules_checked",
+        *[f"CAST(size(filter(s, x -> x = '{v}')) AS BIGINT) AS {n}" for v, n in (
+            ("pass", "rules_passed"), ("fail", "rules_failed"), ("not_applicable", "rules_not_applicable"))],
+        "0L AS rules_errored")
+    return counted.withColumn("coverage_pct", F.expr(
+        "bround((rules_passed + rules_failed) * 100.0D / greatest(rules_checked - rules_not_applicable, 1), 1)"))
+
+
 Check = Callable[[Corpus], DataFrame]
 _EXTRA_CHECKS: dict[str, Check] = {}
 

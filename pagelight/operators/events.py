@@ -54,7 +54,7 @@ def admission(request: DataFrame, limits: dict[str, int], window: float = WINDOW
             yield pd.DataFrame({"client": batch["client"], "bucket": batch["bucket"], "id": batch["id"], "t": batch["t"],
                                 "admitted": ok, "retry_after": wait})
 
-    schema = stretch.select("client", "bucket", "id", "t").schema.add("admitted", "boolean").add("retry_after", "int")
+    schema = stretch.select("client", "bucket", "id", "t").schema.add("admitted", "boolean").add("retry_after", "integer")
     return ordered.mapInPandas(walk, schema)
 
 

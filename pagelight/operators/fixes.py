@@ -158,12 +158,13 @@ def _clamp_above_zero(heading: DataFrame) -> DataFrame:
 
     A heading after such a level starts anew, so the running minimum restarts there.
     """
-    seen = scan.running(heading, ["doc_id"], ["seq"], {"__before": scan.previous(F.col("shifted"))})
     parts = scan.running(
-        seen, ["doc_id"], ["seq"],
-        {"__part": scan.running_sum(F.expr("CASE WHEN __before <= 0 THEN 1 ELSE 0 END")), "__p": scan.row_position()})
-    low = scan.running(parts, ["doc_id", "__part"], ["seq"], {"__low": scan.running_min(F.expr("shifted - __p"))})
-    return low.withColumn("level", F.expr("CAST(__p + __low AS INT)")).drop("__before", "__part", "__p", "__low")
+        heading, ["doc_id"], ["seq"],
+        {"__p": scan.row_position(),
+         "__part": scan.running_sum(F.expr("CASE WHEN shifted <= 0 THEN 1 ELSE 0 END"), exclusive=True)})
+    # The smallest pair (latest part first) is the minimum since the last restart.
+    low = scan.running(parts, ["doc_id"], ["seq"], {"__low": scan.running_min(F.expr("struct(-__part AS part, shifted - __p AS v)"))})
+    return low.withColumn("level", F.expr("CAST(__p + __low.v AS INT)")).drop("__part", "__p", "__low")
 
 
 def fix_reading_order(block: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -34,7 +34,8 @@ def _only(gate, name, bad, verdict, n="0") -> str:
 
 
 def _emit(df: DataFrame, checks: list[str]) -> DataFrame:
-    return df.selectExpr("doc_id", f"inline(array_compact(array({', '.join(checks)})))").select(*CHECK)
+    rows = df.selectExpr("doc_id", f"inline_outer(array_compact(array({', '.join(checks)})))")
+    return rows.filter("check_name IS NOT NULL").select(*CHECK)
 
 
 def multi_column_pages(block: DataFrame) -> DataFrame:

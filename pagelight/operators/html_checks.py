@@ -114,7 +114,11 @@ def with_gaps(html: DataFrame, only: str | None = None) -> DataFrame:
 
 def html_gaps(html: DataFrame, only: str | None = None) -> DataFrame:
     """One row per gap, of all ten checks or of one."""
-    return with_gaps(html, only).select("doc_id", F.posexplode("gaps").alias("ord", "g")).select("doc_id", "ord", "g.*")
+    fields = "check_id severity classification issue table_no n".split()
+    numbered = "named_struct('ord', i, " + ", ".join(f"'{f}', g.{f}" for f in fields) + ")"
+    # An outer generator over ready structs: the list is built once per page, not once per field.
+    rows = with_gaps(html, only).selectExpr("doc_id", f"inline_outer(transform(gaps, (g, i) -> {numbered}))")
+    return rows.filter("check_id IS NOT NULL")
 
 
 def html_scores(html: DataFrame) -> DataFrame:

@@ -11,9 +11,14 @@ from pagelight.sources import seeded
 _T = "CAST(date_diff('microsecond', TIMESTAMP '2024-01-01', ts) AS DOUBLE) / 1000000.0"
 
 
-@query("sliding_window_admission")
+@query("sliding_window_admission", f"""WITH RECURSIVE rq AS (SELECT user_id AS client, CASE WHEN event_type = 'purchase' THEN 'upload' ELSE 'default' END AS bucket, event_id AS id, {_T} AS t FROM events),
+ev AS (SELECT *, CASE bucket WHEN 'upload' THEN 2 ELSE 5 END AS lim, row_number() OVER (PARTITION BY client, bucket ORDER BY t, id) AS n FROM rq),
+walk AS (SELECT client, bucket, n, id, t, [t] AS kept, true AS admitted, 0 AS retry_after FROM ev WHERE n = 1 UNION ALL
+ SELECT client, bucket, n, id, t, CASE WHEN len(k) >= lim THEN k ELSE list_append(k, t) END, len(k) < lim, CASE WHEN len(k) >= lim THEN CAST(trunc(86400.0 - (t - k[1])) AS INT) + 1 ELSE 0 END
+ FROM (SELECT e.*, list_filter(w.kept, lambda x: e.t - x < 86400.0) AS k FROM walk w JOIN ev e ON e.client = w.client AND e.bucket = w.bucket AND e.n = w.n + 1))
+SELECT client, bucket, id, t, admitted, retry_after FROM walk""")
 def sliding_window_admission(spark, sf_dir):
-    """Daily window with small limits; the greedy rule has no set-based SQL form."""
+    """A daily window with small limits; the comparison walks the requests one by one."""
     req = seeded.read_table(spark, sf_dir, "events").selectExpr(
         "user_id AS client", "CASE WHEN event_type = 'purchase' THEN 'upload' ELSE 'default' END AS bucket", "event_id AS id",
         "timestampdiff(MICROSECOND, TIMESTAMP '2024-01-01', ts) / 1000000.0D AS t")
@@ -64,7 +69,7 @@ def stage_outcome_by_policy(spark, sf_dir):
     return _outcomes(spark, sf_dir).select("event_id", "status")
 
 
-@query("pipeline_overall_status".replace("pipeline", "run"), f"WITH {_ST} SELECT run_id, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status IN ('degraded', 'skipped')) THEN 'degraded' ELSE 'success' END AS overall_status FROM so1 GROUP BY 1")
+@query("run_overall_status", f"WITH {_ST} SELECT run_id, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status IN ('degraded', 'skipped')) THEN 'degraded' ELSE 'success' END AS overall_status FROM so1 GROUP BY 1")
 def run_overall_status(spark, sf_dir):
     return V.overall_status(_outcomes(spark, sf_dir))
 

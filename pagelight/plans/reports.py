@@ -30,7 +30,13 @@ _STATUS = """CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status
   / greatest(count(*) - count(*) FILTER (s = 'not_applicable'), 1), 1) AS coverage_pct
 FROM (SELECT doc_id, criterion, {_STATUS} AS s FROM finding GROUP BY ALL) GROUP BY doc_id""")
 def full_audit(spark, sf_dir):
-    return reports.audit_result(findings(spark, sf_dir))
+    return checks.audit_documents(seeded.corpus(spark, sf_dir), seeded_flags(spark, sf_dir))
+
+
+@query("rule_status", SQL_FINDINGS + f"SELECT doc_id, criterion, {_STATUS} AS status FROM finding GROUP BY doc_id, criterion")
+def rule_status(spark, sf_dir):
+    """Status per document and rule, from the findings."""
+    return reports.rule_status(findings(spark, sf_dir))
 
 
 @query("audit_summary", SQL_FINDINGS + """SELECT doc_id, count(*) AS total_issues,

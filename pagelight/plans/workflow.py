@@ -222,13 +222,13 @@ def remaining_after_delete(spark, sf_dir):
     return W.delete_documents(images, docs)[0]
 
 
-@query("partial_update_whitelist", """WITH ch AS (SELECT l_orderkey AS id, arg_max(CASE l_linestatus WHEN 'O' THEN 'applied' ELSE 'approved' END, l_linenumber) AS s, max(l_shipdate) AS ts FROM lineitem WHERE l_linenumber >= 6 GROUP BY 1)
+@query("partial_update_whitelist", """WITH ch AS (SELECT l_orderkey AS id, arg_max(CASE l_linestatus WHEN 'O' THEN 'applied' ELSE 'approved' END, l_linenumber * 1000000 + l_partkey) AS s, max(l_shipdate) AS ts FROM lineitem WHERE l_linenumber >= 6 GROUP BY 1)
 SELECT o_orderkey AS id, coalesce(s, 'pending') AS status, 'note' AS reviewer_notes, CASE WHEN s IN ('approved', 'rejected', 'resolved') THEN ts END AS resolved_at FROM orders LEFT JOIN ch ON ch.id = o_orderkey""")
 def partial_update_whitelist(spark, sf_dir):
     rows = seeded.read_table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS id", "'pending' AS status", "'note' AS reviewer_notes", "CAST(NULL AS TIMESTAMP) AS resolved_at")
     change = seeded.read_table(spark, sf_dir, "lineitem").filter("l_linenumber >= 6").groupBy(F.col("l_orderkey").alias("id")).agg(
-        F.expr("max_by(CASE l_linestatus WHEN 'O' THEN 'applied' ELSE 'approved' END, l_linenumber) AS status"), F.expr("max(l_shipdate) AS ts"))
+        F.expr("max_by(CASE l_linestatus WHEN 'O' THEN 'applied' ELSE 'approved' END, l_linenumber * 1000000L + l_partkey) AS status"), F.expr("max(l_shipdate) AS ts"))
     return W.partial_update(rows, change.withColumn("owner", F.lit("x")))
 
 
