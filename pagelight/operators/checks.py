@@ -344,7 +344,7 @@ NEVER = ("1.2.4", "2.4.7", "2.5.4", "3.3.3", "3.3.4")
 _STEM = r"CASE WHEN contains(filename, '.') THEN regexp_replace(filename, r'(?s)\.[^.]*$', '') ELSE filename END"
 _T = text.q_strip(f"coalesce(nullif(metadata['title'], ''), nullif(metadata['dc:title'], ''), {_STEM})")
 # Why the title of a document does not describe it, or null.  Fixed values: shapes of titles that are not titles.
-TITLE_PROBLEM = f"""CASE WHEN coalesce({_T}, '') = '' THEN 'missing'
+TITLE_PROBLEM = rf"""CASE WHEN coalesce({_T}, '') = '' THEN 'missing'
  WHEN {_T} rlike r'(?i)^.*\.(pdf|doc|docx|xls|xlsx|ppt|pptx|txt|rtf|odt)$' THEN 'filename'
  WHEN contains({_T}, '/') OR contains({_T}, {text.q(chr(92))}) THEN 'path'
  WHEN {_T} rlike r'(?i)^(untitled|document|doc\d*|page\d*|file\d*|new document|microsoft word)$' THEN 'generic'

@@ -119,18 +119,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Use all cores when a table has fewer input splits than the cluster has cores.
 
     Large tables come in more splits than cores and are left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank lines of every document with their dense position."""
-    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").filter("doc_id % 50 <> 49")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")).filter("doc_id % 50 <> 49")
     kept = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     return docs.select("doc_id", F.posexplode(kept).alias("seq", "line")).withColumn(
         "h", F.col("doc_id") * 31 + F.col("seq")
@@ -184,7 +184,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, html) with seeded table, image and heading defects."""
-    pages = spread(read_table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    pages = spread(read_table(spark, sf_dir, "pages").select("page_id", "html"))
     return pages.withColumn("base", F.expr(HTML_BASE)).select(
         F.col("page_id").alias("doc_id"), F.expr(HTML_COLUMN).alias("html")
     )
