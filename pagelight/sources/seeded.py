@@ -257,7 +257,7 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return flat.selectExpr(
         "doc_id", "seq", "Path", "Text", "Page", "TextSize",
-        "named_struct('weight', weight, 'family_name', family, 'name', 'Plain', 'italic', italic) AS Font",
+        "named_struct('weight', weight, 'alt_family_name', CASE WHEN seq % 11 = 3 THEN 'Times' END, 'family_name', family, 'name', 'Plain', 'italic', italic) AS Font",
         """map_filter(map('role', CASE WHEN role IS NOT NULL AND Path = '//Document/P' THEN role END, 'Alt', alt_attr,
          'TextAlign', align_attr), (k, v) -> v IS NOT NULL) AS attributes""",
     )
