@@ -33,7 +33,9 @@ def valid_rules(rule: DataFrame) -> DataFrame:
 def match_rules(element: DataFrame, rule: DataFrame) -> DataFrame:
     """(element, rule) pairs that match: an equality join on the type, then the condition."""
     tests = " ".join(f"WHEN {q(c)} THEN {e}" for c, e in CONDITIONS.items())
-    return element.join(F.broadcast(rule), element["type"] == rule["rule_type"]).filter(
+    # Few types carry most elements: send the rules to them, unless there are too many.
+    small = rule.limit(MAX_RULES + 1).count() <= MAX_RULES
+    return element.join(F.broadcast(rule) if small else rule, element["type"] == rule["rule_type"]).filter(
         F.expr(f"CASE condition {tests} ELSE false END"))
 
 

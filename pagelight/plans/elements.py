@@ -127,11 +127,9 @@ _CLEAN = r"""trim(regexp_replace(regexp_replace(replace(replace(Text,
  '(?i)\bPage\s+\d+\s+of\s+\d+\b', '', 'g'))"""
 
 
-@query("text_cleanup", SQL_ELEMENT + f"SELECT doc_id, seq, {_CLEAN} AS cleaned FROM el WHERE h % 11 = 4 OR h % 13 = 5")
+@query("text_cleanup", SQL_ELEMENT + f"SELECT doc_id, seq, {_CLEAN} AS cleaned FROM el")
 def text_cleanup(spark, sf_dir):
-    line = seeded.lines(spark, sf_dir).filter("h % 11 = 4 OR h % 13 = 5").select("doc_id", "seq")
-    return seeded.elements(spark, sf_dir).join(line, ["doc_id", "seq"], "left_semi").selectExpr(
-        "doc_id", "seq", f"{E.CLEAN_TEXT} AS cleaned")
+    return seeded.elements(spark, sf_dir).selectExpr("doc_id", "seq", f"{E.CLEAN_TEXT} AS cleaned")
 
 
 @query("numbering_depth", SQL_ELEMENT + r"""SELECT doc_id, seq,

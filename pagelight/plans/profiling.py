@@ -6,13 +6,13 @@ from pagelight.operators import profiling as P
 from pagelight.plans.registry import query
 from pagelight.sources import seeded
 
-_PAGES = f"""WITH {seeded.SQL_LINES}, pg AS (SELECT doc_id, CAST(seq AS INT) AS page_num, CASE h % 7 WHEN 0 THEN '  ' WHEN 1 THEN substr(line, 1, 15) WHEN 2 THEN substr(line, 1, 40) ELSE line END AS text
- FROM lines WHERE doc_id % 4 <> 1 OR h % 7 = 0)"""
+_PAGES = f"""WITH {seeded.SQL_LINES}, pg AS (SELECT doc_id, CAST(seq AS INT) AS page_num, CASE WHEN doc_id % 4 = 1 AND h % 13 <> 0 THEN '' WHEN h % 7 = 0 THEN '  ' WHEN h % 7 = 1 THEN substr(line, 1, 15) WHEN h % 7 = 2 THEN substr(line, 1, 40) ELSE line END AS text
+ FROM lines)"""
 
 
 def _pages(spark, sf_dir):
-    return seeded.lines(spark, sf_dir).filter("doc_id % 4 <> 1 OR h % 7 = 0").selectExpr(
-        "doc_id", "seq AS page_num", "CASE h % 7 WHEN 0 THEN '  ' WHEN 1 THEN substr(line, 1, 15) WHEN 2 THEN substr(line, 1, 40) ELSE line END AS text")
+    return seeded.lines(spark, sf_dir).selectExpr(
+        "doc_id", "seq AS page_num", "CASE WHEN doc_id % 4 = 1 AND h % 13 <> 0 THEN '' WHEN h % 7 = 0 THEN '  ' WHEN h % 7 = 1 THEN substr(line, 1, 15) WHEN h % 7 = 2 THEN substr(line, 1, 40) ELSE line END AS text")
 
 
 _PROFILE = _PAGES + """, pf AS (SELECT doc_id, page_num, length(trim(text)) AS char_count, length(trim(text)) >= 20 AS has_text, round_even(least(1.0, length(trim(text)) / 2000.0), 3) AS text_coverage,

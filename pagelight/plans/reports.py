@@ -374,11 +374,11 @@ QUEUE = [
 
 
 @query("status_rank_sort", f"""WITH {_QUEUE} SELECT item_id, status, decision FROM queue
- ORDER BY decision IS NOT NULL, CASE status WHEN 'pending' THEN 0 WHEN 'approved' THEN 1 ELSE 2 END, item_id LIMIT 100""")
+ ORDER BY decision IS NOT NULL, CASE status WHEN 'pending' THEN 0 WHEN 'approved' THEN 1 ELSE 2 END, item_id""")
 def status_rank_sort(spark, sf_dir):
     rank = F.expr("CASE status WHEN 'pending' THEN 0 WHEN 'approved' THEN 1 ELSE 2 END")
     queue = seeded.read_table(spark, sf_dir, "orders").selectExpr(*QUEUE)
-    return queue.orderBy(F.col("decision").isNotNull(), rank, "item_id").limit(100).select(
+    return queue.orderBy(F.col("decision").isNotNull(), rank, "item_id").select(
         "item_id", "status", "decision")
 
 

@@ -60,13 +60,13 @@ def checker_issue_score(spark, sf_dir):
     return S.scan_checker_issues(raw)[1]
 
 
-@query("ocr_layout_scan", """WITH d AS (SELECT doc_id, replace(replace(replace(replace(text, chr(10), ' '), chr(9), ' '), '"', ''''), chr(92), '/') AS ftxt FROM documents WHERE length(text) >= 60),
+@query("ocr_layout_scan", """WITH d AS (SELECT doc_id, replace(replace(replace(replace(text, chr(10), ' '), chr(9), ' '), '"', ''''), chr(92), '/') AS ftxt FROM documents),
 p AS (SELECT doc_id, 'paragraph' AS block_type, 0 AS ord, trim(substr(ftxt, 1, 12) || substr(ftxt, 21, 10)) AS content, '' AS headers, '' AS rows FROM d UNION ALL SELECT doc_id, 'paragraph', 1, trim(substr(ftxt, 41, 10)), '', '' FROM d),
 t AS (SELECT doc_id, 'table', 0, '', trim(substr(ftxt, 11, 5)) || '|' || trim(substr(ftxt, 16, 5)), trim(substr(ftxt, 31, 5)) FROM d WHERE doc_id % 2 = 0)
 SELECT * FROM p WHERE content <> '' UNION ALL SELECT * FROM t""")
 def ocr_layout_scan(spark, sf_dir):
     clean = "replace(replace(replace(replace(text, '\\n', ' '), '\\t', ' '), '\"', '\\''), '\\\\', '/')"
-    docs = seeded.read_table(spark, sf_dir, "documents").filter("length(text) >= 60").selectExpr("doc_id", f"{clean} AS full")
+    docs = seeded.read_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{clean} AS full")
     cell = '{{"segments":[{{"start":{},"end":{}}}]}}'
     tables = ('[{"headerRows":[{"cells":[' + cell.format(0, 3) + ']},{"cells":[' + cell.format(10, 15) + "," + cell.format(15, 20) + ']}],"bodyRows":[{"cells":['
               + cell.format(30, 35) + ']}]},{"headerRows":[],"bodyRows":[]}]')

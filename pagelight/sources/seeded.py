@@ -130,7 +130,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank lines of every document with their dense position."""
-    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")).filter("doc_id % 50 <> 49")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     return docs.select("doc_id", F.posexplode(kept).alias("seq", "line")).withColumn(
         "h", F.col("doc_id") * 31 + F.col("seq")
@@ -145,9 +145,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     """Documents, pages and blocks with seeded defects."""
     docs = read_table(spark, sf_dir, "documents")
-    n_lines = F.when(
-        F.expr("doc_id % 50 <> 49"), F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
-    ).otherwise(0)
+    n_lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
     pages = F.greatest(F.ceil(n_lines / 8), F.lit(0)) + F.when(F.col("doc_id") % 10 == 0, 1).otherwise(0)
     doc = docs.select(
         "doc_id",
@@ -196,7 +194,7 @@ _BLOCK_LIST = ",\n ".join(f"{_duck(e)} AS {n}" for n, e in BLOCK_COLUMNS.items()
 _DOC_LIST = ",\n ".join(f"{e} AS {n}" for n, e in DOC_COLUMNS.items())
 
 SQL_LINES = """lines0 AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls
- FROM documents WHERE doc_id % 50 <> 49),
+ FROM documents),
 lines AS (SELECT doc_id, CAST(p AS INT) - 1 AS seq, ls[p] AS line, doc_id * 31 + p - 1 AS h
  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM lines0))"""
 
