@@ -21,6 +21,7 @@ SHARD_DIGESTS = 50_000  # mean number of historical digests in a shard
 DIGEST_BYTES = 32
 LOAD = 2  # bits per key at each level of the hash
 LEVELS = 48
+NO_ID = (1 << 63) - 1  # in place of null while groups are resolved
 
 
 def digest(content: str = "content") -> Column:
@@ -99,7 +100,7 @@ def exact_duplicates(block: DataFrame, historical: Column) -> DataFrame:
     ``historical`` tells the rows whose digests make the perfect hash.  Content is equal when it is identical
     after every run of white space became one space; null counts as empty.  The smallest doc_id of a group
     stays, historical or not.  Rows that repeat a doc_id and its content count in ``group_size`` and share
-    one answer.  An empty block gives no rows; without historical rows all digests are grouped as new.
+    one answer; a null doc_id stays only in a group without another.  An empty block gives no rows; without historical rows all digests are grouped as new.
     Further columns of ``block`` are ignored.
 
     Copies are aggregated before they are shuffled, so a shard reads every digest once however often it occurs.
@@ -109,12 +110,13 @@ def exact_duplicates(block: DataFrame, historical: Column) -> DataFrame:
     def distinct(old: bool) -> DataFrame:
         part = block.filter(F.coalesce(historical, F.lit(False)) == old).select("doc_id", digest().alias("digest"))
         part = part.groupBy("digest").agg(
-            F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+            F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         return part.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards))).groupBy("shard")
 
     resolved = distinct(True).cogroup(distinct(False)).applyInPandas(
         _resolve, "digest binary, keep_id long, group_size long, member boolean")
     rows = block.select("doc_id", digest().alias("digest"))
+    keep = F.nullif("keep_id", F.lit(NO_ID))
     return rows.join(resolved, "digest").select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "digest",
+        "doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), "digest",
         F.col("member").alias("historical_digest"))

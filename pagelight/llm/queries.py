@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelight.llm import exact, language, mixing, near
+from pagelight.llm import decontaminate, exact, language, mixing, near
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -86,3 +86,25 @@ SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n
 FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN k ON k.a = class_id LEFT JOIN m ON m.id = class_id""")
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(blocks(spark, sf_dir))
+
+
+def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``benchmark`` as golden passages."""
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("content"))
+
+
+@query("op2_decontamination", r"""
+WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words FROM t),
+i AS (SELECT id, least(5, len(words)) AS width, words FROM w WHERE kind = 'i' AND len(words) > 0),
+s AS (SELECT DISTINCT id AS item_id, array_to_string(list_slice(words, k, k + width - 1), ' ') AS shingle, width
+      FROM (SELECT *, unnest(range(1, len(words) - width + 2)) AS k FROM i)),
+d AS (SELECT DISTINCT id AS doc_id, width, array_to_string(list_slice(words, k, k + width - 1), ' ') AS shingle
+      FROM (SELECT *, unnest(range(1, greatest(len(words) - width + 2, 1))) AS k
+            FROM (SELECT w.id, w.words, x.width FROM w, (SELECT DISTINCT width FROM i) x WHERE kind = 'd'))),
+n AS (SELECT item_id, count(*) AS n_shingles FROM s GROUP BY item_id)
+SELECT doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles AS containment
+FROM d JOIN s USING (shingle, width) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_shingles HAVING count(*) * 5 >= 4 * n_shingles""")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_passages(blocks(spark, sf_dir), golden(spark, sf_dir))

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """``frame`` computed once and stored in ``spark.checkpoint.dir``.
-
-    Lost executors do not lose it.  A folder of our own is set only where the session names none, as in tests.
-    """
-    spark = frame.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a folder of our own is set only where the session names none, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """``frame`` computed once and stored in the shared folder; lost executors do not lose it."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
