@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelight.llm import decontaminate, exact, language, mixing, near
+from pagelight.llm import decontaminate, exact, language, mixing, near, pages, personal, substrings, tokens, toxicity
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -108,3 +109,52 @@ FROM d JOIN s USING (shingle, width) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_shingles HAVING count(*) * 5 >= 4 * n_shingles""")
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_passages(blocks(spark, sf_dir), golden(spark, sf_dir))
+
+
+@query("op3_substring_dedup", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(list_slice(words, i, i + 49), ' ')) AS h
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 48, 1))) AS i FROM w)),
+f AS (SELECT h, min(doc_id) AS first FROM p GROUP BY h HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i FROM p JOIN f USING (h) WHERE doc_id > first), range(50) r(k)),
+n AS (SELECT w.doc_id, i, words[i] AS word, len(words) AS n_words
+      FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM w) w),
+k AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS kept FROM n ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)""")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeated_passages(blocks(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("content", 256).alias("kept_sha256"))
+
+
+@query("op1_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumnRenamed("page_id", "doc_id")
+    found = pages.main_text(page)
+    return found.select(
+        F.col("doc_id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "lines_deleted")
+
+
+@query("op7_toxicity")
+def score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block = blocks(spark, sf_dir)
+    status = F.when(F.col("toxic") == 1, toxicity.FLAGGED).when(F.col("toxic") == 0, toxicity.APPROVED)
+    review = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", status.alias("status"))
+    model = toxicity.fit(block, review.filter(remainder(3) != 1))
+    return toxicity.toxicity(block, model).select(
+        "doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op9_personal_data")
+def find_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.personal_data(blocks(spark, sf_dir))
+    return found.select(
+        "doc_id", *[personal.counted(kind) for kind in personal.BASE_KINDS],
+        F.expr(f"sha2({personal.listed('spans', *personal.BASE_KINDS)}, 256)").alias("base_sha256"),
+        F.expr(personal.listed("spans")).alias("spans"))
+
+
+@query("op10_token_counts")
+def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokens.token_counts(blocks(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 4096)
