@@ -96,6 +96,8 @@ def _open_windows(window: int):
         for batch in batches:
             document, places = words.column(batch, "doc_id"), words.column(batch, "places").to_pylist()
             for texts in words.slices(words.column(batch, "content")):
+                if not any(places[texts.lo : texts.hi]):
+                    continue
                 w = words.split(texts)
                 totals = [(base, _totals(w, base)) for base in (WORD_BASE, SECOND_BASE)]
                 own = [_places(p) for p in places[texts.lo : texts.hi]]
@@ -178,13 +180,14 @@ def remove_repeated_passages(block: DataFrame, window: int = WINDOW) -> DataFram
     # Level 2: equal runs first, then single windows where an anchor's runs differ.
     kind = survivor.groupBy("anchor", "run1", "run2").agg(F.min("doc_id").alias("first"))
     kinds = kind.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    judged = survivor.join(kind, ["anchor", "run1", "run2"]).join(kinds, "anchor").select("doc_id", "place", "first", "kinds")
+    judged = survivor.join(kind.join(kinds, "anchor"), ["anchor", "run1", "run2"]).select("doc_id", "place", "first", "kinds")
     judged = cut(judged.filter("doc_id > first OR kinds > 1"))
     by_document = F.collect_list("place")
     covered = judged.filter("doc_id > first").groupBy("doc_id").agg(by_document.alias("runs"))
     open_run = judged.filter("doc_id = first").groupBy("doc_id").agg(by_document.alias("places"))
-    single = cut(text.join(open_run, "doc_id").mapInArrow(
-        _open_windows(window), "doc_id long, place long, window1 long, window2 long"))
+    # The same left side as below, so that both joins read one exchange of the texts.
+    single = text.join(open_run, "doc_id", "left").mapInArrow(
+        _open_windows(window), "doc_id long, place long, window1 long, window2 long")
     first = single.groupBy("window1", "window2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(
         "first < last").drop("last")
     later = single.join(first, ["window1", "window2"]).filter("doc_id > first").groupBy("doc_id").agg(
