@@ -24,6 +24,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: those without a letter and those of no known language go."""
+    docs = docs.filter(language.has_letters(F.col("text")))
     block = as_blocks(docs)
     return without(docs, language.identify(block, language.fit(block)).filter("rejected"))
 

@@ -41,6 +41,10 @@ class LanguageModel:
     reject_below: float
 
 
+def has_letters(content: Column) -> Column:
+    return F.coalesce(content.rlike(r"\p{L}"), F.lit(False))
+
+
 def _prepared(content: Column) -> Column:
     return F.concat(F.lit(" "), F.lower(F.coalesce(content, F.lit(""))), F.lit(" "))
 
@@ -164,8 +168,7 @@ def identify(block: DataFrame, model: LanguageModel | None) -> DataFrame:
     probabilities go to the first language by code point.  Further columns of ``block`` are ignored.
     """
     text = block.select(
-        "doc_id", F.coalesce(F.col("content").rlike(r"\p{L}"), F.lit(False)).alias("__letters"),
-        _prepared(F.col("content")).alias("__text"))
+        "doc_id", has_letters(F.col("content")).alias("__letters"), _prepared(F.col("content")).alias("__text"))
     shared = block.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, whatever the corpus
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
