@@ -354,7 +354,8 @@ TITLE_PROBLEM = rf"""CASE WHEN coalesce({_T}, '') = '' THEN 'missing'
   THEN 'filename_stem' END"""
 
 _RAW = text.q_strip("coalesce(metadata['language'], '')")
-_TAG = f"coalesce(nullif({_RAW}, ''), {text.q_strip(chr(99) + 'oalesce(language, ' + chr(39) * 2 + ')')})"
+_DECLARED = text.q_strip("coalesce(language, '')")
+_TAG = f"coalesce(nullif({_RAW}, ''), {_DECLARED})"
 LANGUAGE_PROBLEM = f"""CASE WHEN {text.q_first("metadata['language']", "metadata['lang']")} = ''
   AND coalesce(language, '') = 'en' AND {_RAW} = '' THEN 'unverified_default'
  WHEN {_TAG} = '' THEN 'missing' WHEN NOT {text.q_like(_TAG, text.BCP47)} THEN 'invalid_tag' END"""

@@ -21,11 +21,14 @@ BULLET = r"^[•‣◦▪●○–—‐•·\-\*]\s+"
 NUMBERED = r"^(?:\d{1,3}[.)]\s+|\([a-zA-Z0-9]+\)\s+|[a-zA-Z][.)]\s+)"
 FIGURE_CAPTION = r"(?i)^(?:FIGURE|Fig\.?)\s+\d+"
 WORD_SUFFIXES = (
-    "AL AN AR ARY ATE ATED ATION ATIONS C CE CES CTION CTURE D ED ENCE ENT ER ERN ERS ES FUL GE IC ICS IDE IES ILY "
-    "ING ION IONS ISH ISM IST ITY IVE LY MENT MENTS NESS ON ORS OUS OWN RY S SE SES SION SIONS TION TIONS TH TURE "
-    "TURES TY URE URES US Y"
+    "AL", "AN", "AR", "ARY", "ATE", "ATED", "ATION", "ATIONS", "C", "CE", "CES", "CTION", "CTURE", "D", "ED",
+    "ENCE", "ENT", "ER", "ERN", "ERS", "ES", "FUL", "GE", "IC", "ICS", "IDE", "IES", "ILY", "ING", "ION",
+    "IONS", "ISH", "ISM", "IST", "ITY", "IVE", "LY", "MENT", "MENTS", "NESS", "ON", "ORS", "OUS", "OWN", "RY",
+    "S", "SE", "SES", "SION", "SIONS", "TION", "TIONS", "TH", "TURE", "TURES", "TY", "URE", "URES", "US", "Y",
+)
+PAIR_SUFFIXES = (
+    "ES", "ED", "ER", "LY", "AL", "IC", "ON", "RY", "TH", "LE", "RE", "TS", "NS",
 )
-PAIR_SUFFIXES = "ES ED ER LY AL IC ON RY TH LE RE TS NS"
 CRITERION_OF = {"image": "1.1.1", "table": "1.3.1", "heading": "2.4.6", "link": "2.4.4", "list": "1.3.1",
                 "paragraph": "1.3.2"}
 
@@ -150,8 +153,8 @@ def artifact(footers: tuple[str, ...] = ()) -> str:
 
 
 def _clean_text(x: str) -> str:
-    suffixes = "|".join(sorted(WORD_SUFFIXES.split(), key=len, reverse=True))
-    pairs = "|".join(rf"{a}\s{b}" for a, b in PAIR_SUFFIXES.split())
+    suffixes = "|".join(sorted(WORD_SUFFIXES, key=len, reverse=True))
+    pairs = "|".join(rf"{a}\s{b}" for a, b in PAIR_SUFFIXES)
     steps = [
         (r"\s*\(<>\)\s*", ""),
         (r"(?U)(?<=\b[A-Z]\s[A-Z]) (?=[A-Z]\b)|(?<=\b[A-Z]) (?=[A-Z]\s[A-Z]\b)", ""),

@@ -53,13 +53,16 @@ def text_sample(block: DataFrame) -> DataFrame:
         F.expr("concat(array_join(transform(array_sort(collect_list(struct(seq, piece))), x -> x.piece), ' '), ' ') AS sample"))
 
 
+SAMPLE_TEXT = "coalesce(sample, '')"
+
+
 def fix_language(doc: DataFrame, block: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fill a blank document language from metadata, else from the text, else English."""
     meta = q_first("metadata['pdf_lang']", "metadata['lang']", "metadata['language']")
     missing = doc.filter(q_blank("language")).join(text_sample(block), "doc_id", "left")
     found = missing.selectExpr(
         "doc_id", "language", f"nullif({q_strip(meta)}, '') AS from_meta",
-        f"{language_of(chr(99) + 'oalesce(sample, ' + chr(39) * 2 + ')')} AS guess")
+        f"{language_of(SAMPLE_TEXT)} AS guess")
     fix = found.selectExpr(
         "doc_id", "'3.1.1' AS criterion", "'language_tag' AS fix", "'' AS element_id",
         "coalesce(nullif(language, ''), '(none)') AS before", "coalesce(from_meta, guess.lang) AS after",
@@ -175,6 +178,15 @@ def fix_reading_order(block: DataFrame) -> tuple[DataFrame, DataFrame]:
     return order, fix
 
 
+def in_order(block: DataFrame, order: DataFrame) -> DataFrame:
+    """``block`` with the positions of the repaired order: a page keeps its positions, its blocks change seats."""
+    page = ["doc_id", "page_num"]
+    seat = order.select(*page, F.col("old_pos").alias("pos"), F.col("seq").alias("__seat"))
+    moved = order.select(*page, F.col("new_pos").alias("pos"), "seq").join(seat, [*page, "pos"]).select("doc_id", "seq", "__seat")
+    columns = [F.coalesce("__seat", "seq").alias("seq") if c == "seq" else F.col(c) for c in block.columns]
+    return block.join(moved, ["doc_id", "seq"], "left").select(*columns)
+
+
 FIX = ("doc_id", "criterion", "fix", "element_id", "before", "after", "reason")
 
 
@@ -184,6 +196,7 @@ def apply_all(corpus: Corpus) -> tuple[Corpus, DataFrame]:
     doc, title = fix_title(doc, corpus.block)
     block, headers = promote_headers(corpus.block)
     block, headings = renumber_headings(block)
-    _, order = fix_reading_order(corpus.block)
-    fixes = reduce(DataFrame.unionByName, [d.select(*FIX) for d in (language, title, headers, headings, order)])
-    return Corpus(doc, corpus.page, block), fixes
+    # Positions and boxes are those of the given blocks whatever was repaired before.
+    order, moves = fix_reading_order(corpus.block)
+    fixes = reduce(DataFrame.unionByName, [d.select(*FIX) for d in (language, title, headers, headings, moves)])
+    return Corpus(doc, corpus.page, in_order(block, order)), fixes

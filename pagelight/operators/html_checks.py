@@ -160,12 +160,13 @@ def builder_validation(html: DataFrame) -> DataFrame:
     """
     alt, src = attr("x", "alt"), attr("x", "src")
     hits = " + ".join(f"regexp_count(found, {q(p)})" for p in PLACEHOLDERS)
+    header_cell = r"(?is)<th\b[^>]*>"
     facts = parts(html).selectExpr(
         "doc_id", "size(imgs) AS n_img", "size(tables) AS n_table", "levels", "has_main",
         f"html_tag <> '' AND NOT {q_blank(attr('html_tag', 'lang'))} AS has_lang",
         f"NOT {q_blank('regexp_extract(v, ' + q('(?is)<title[^>]*>(.*?)</title>') + ', 1)')} AS has_title",
         f"size(filter(imgs, x -> {q_blank(alt)})) AS no_alt", f"size(filter(imgs, x -> {q_blank(src)})) AS no_src",
-        f"size(filter(tables, t -> NOT exists({all_of('t', r'(?is)<th' + chr(92) + 'b[^>]*>')}, "
+        f"size(filter(tables, t -> NOT exists({all_of('t', header_cell)}, "
         f"h -> coalesce({attr('h', 'scope')}, '') IN ('col', 'row')))) AS no_scope",
         r"size(filter(tables, t -> NOT t rlike r'(?i)<caption\b')) AS no_caption",
         "size(filter(sequence(2, greatest(size(levels), 2)), i -> i <= size(levels) AND "

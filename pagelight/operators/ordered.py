@@ -250,19 +250,21 @@ def attach_table_captions(block: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def heading_outline(block: DataFrame, page_count: DataFrame) -> DataFrame:
-    """Parent of each heading: the nearest earlier heading of a smaller level."""
+    """Parent of each heading: the nearest earlier heading of a smaller level, whatever the levels are.
+
+    A heading stands once for each larger level of its document, so the scan is one running maximum per level.
+    """
     heads = block.filter(f"{HEADING} AND NOT {q_blank('content')}").selectExpr(
         "doc_id", "seq", "coalesce(level, 2) AS level", "page_num")
-    levels = range(1, 8)
+    levels = heads.groupBy("doc_id").agg(F.collect_set("level").alias("levels"))
+    under = heads.join(levels, "doc_id").selectExpr(
+        "doc_id", "seq", "level", "page_num", "explode(filter(levels, x -> x >= level)) AS target")
     seen = scan.running(
-        heads, ["doc_id"], ["seq"],
-        {f"__l{k}": scan.last_value(F.expr(f"CASE WHEN level = {k} THEN seq END"), True) for k in levels},
-    )
-    # A heading of level j in between with k < j <= own level does not hide level k: the nearest
-    # smaller level wins, which is the latest position over all smaller levels.
-    above = ", ".join(f"CASE WHEN level > {k} THEN __l{k} END" for k in levels)
+        under, ["doc_id", "target"], ["seq"],
+        {"parent_seq": scan.running_max(F.expr("CASE WHEN level < target THEN seq END"), True)},
+    ).filter("level = target")
     return seen.join(page_count.select("doc_id", "page_count"), "doc_id").selectExpr(
-        "doc_id", "seq", "level", f"greatest({above}) AS parent_seq",
+        "doc_id", "seq", "level", "parent_seq",
         "greatest(0, least(page_num, page_count - 1)) AS page")
 
 

@@ -89,13 +89,14 @@ def audit_result(findings: DataFrame) -> DataFrame:
 
 
 def severity_summary(findings: DataFrame) -> DataFrame:
-    """Per document: failing findings by severity, fixable or for review."""
-    fails = findings.filter("status = 'fail'")
-    return fails.groupBy("doc_id").agg(
-        F.expr("count(*) AS total_issues"),
-        *[F.expr(f"count_if(severity = '{s}') AS {n}") for s, n in (
+    """Per document: failing findings by severity, fixable or for review; zeros without any."""
+    fails = "status = 'fail'"
+    return findings.groupBy("doc_id").agg(
+        F.expr(f"count_if({fails}) AS total_issues"),
+        *[F.expr(f"count_if({fails} AND severity = '{s}') AS {n}") for s, n in (
             ("critical", "critical"), ("serious", "serious"), ("moderate", "moderate"), ("minor", "warning"))],
-        F.expr("count_if(auto_fixable) AS auto_fixable"), F.expr("count_if(NOT auto_fixable) AS needs_review"),
+        F.expr(f"count_if({fails} AND auto_fixable) AS auto_fixable"),
+        F.expr(f"count_if({fails} AND NOT auto_fixable) AS needs_review"),
     )
 
 

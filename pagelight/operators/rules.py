@@ -31,12 +31,16 @@ def valid_rules(rule: DataFrame) -> DataFrame:
 
 
 def match_rules(element: DataFrame, rule: DataFrame) -> DataFrame:
-    """(element, rule) pairs that match: an equality join on the type, then the condition."""
+    """(element, rule) pairs that match: an equality join on the type, then the condition.
+
+    Rules meet the elements as one row per type and condition, of which there are few however many rules there are.
+    """
     tests = " ".join(f"WHEN {q(c)} THEN {e}" for c, e in CONDITIONS.items())
-    # Few types carry most elements: send the rules to them, unless there are too many.
-    small = rule.limit(MAX_RULES + 1).count() <= MAX_RULES
-    return element.join(F.broadcast(rule) if small else rule, element["type"] == rule["rule_type"]).filter(
-        F.expr(f"CASE condition {tests} ELSE false END"))
+    pairs = rule.groupBy(F.col("rule_type").alias("__type"), F.col("condition").alias("__condition")).agg(
+        F.collect_list(F.struct(*rule.columns)).alias("__rules"))
+    met = element.join(F.broadcast(pairs), F.col("type") == F.col("__type")).filter(
+        F.expr(f"CASE __condition {tests} ELSE false END"))
+    return met.select(*element.columns, F.inline("__rules"))
 
 
 def act(action_type: str, value: str) -> dict[str, str]:

@@ -39,19 +39,15 @@ def rule_status(spark, sf_dir):
     return reports.rule_status(findings(spark, sf_dir))
 
 
-@query("audit_summary", SQL_FINDINGS + """SELECT doc_id, count(*) AS total_issues,
- count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'serious') AS serious,
- count(*) FILTER (severity = 'moderate') AS moderate, count(*) FILTER (severity = 'minor') AS warning,
- count(*) FILTER (auto_fixable) AS auto_fixable, count(*) FILTER (NOT auto_fixable) AS needs_review
-FROM finding WHERE status = 'fail' GROUP BY doc_id""")
+@query("audit_summary", SQL_FINDINGS + """SELECT doc_id, count(*) FILTER (f) AS total_issues,
+ count(*) FILTER (f AND severity = 'critical') AS critical, count(*) FILTER (f AND severity = 'serious') AS serious,
+ count(*) FILTER (f AND severity = 'moderate') AS moderate, count(*) FILTER (f AND severity = 'minor') AS warning,
+ count(*) FILTER (f AND auto_fixable) AS auto_fixable, count(*) FILTER (f AND NOT auto_fixable) AS needs_review
+FROM (SELECT *, status = 'fail' AS f FROM finding) GROUP BY doc_id""")
 def audit_summary(spark, sf_dir):
     return reports.severity_summary(findings(spark, sf_dir))
 
 
-_SOME = ["1.1.1", "1.3.1", "1.4.3", "2.1.1", "2.4.4", "3.1.1"]
-_SOME_SQL = "', '".join(_SOME)
-
-
 @query("rule_breakdown", SQL_FINDINGS + f"""SELECT d.doc_id, r.criterion,
  CASE WHEN count(f.status) FILTER (f.status = 'fail') > 0 THEN 'fail'
   WHEN count(f.status) FILTER (f.status = 'not_applicable') = count(f.status) THEN 'not_applicable' ELSE 'pass' END AS status,
@@ -59,12 +55,11 @@ _SOME_SQL = "', '".join(_SOME)
  CASE max(CASE WHEN f.status = 'fail' THEN CASE f.severity WHEN 'critical' THEN 4 WHEN 'serious' THEN 3
   WHEN 'moderate' THEN 2 ELSE 1 END END) WHEN 4 THEN 'critical' WHEN 3 THEN 'serious' WHEN 2 THEN 'moderate'
   WHEN 1 THEN 'minor' END AS severity_max
-FROM doc d CROSS JOIN rule r LEFT JOIN (SELECT * FROM finding WHERE criterion IN ('{_SOME_SQL}')) f
+FROM doc d CROSS JOIN rule r LEFT JOIN finding f
  ON f.doc_id = d.doc_id AND f.criterion = r.criterion GROUP BY 1, 2""")
 def rule_breakdown(spark, sf_dir):
     corpus = seeded.corpus(spark, sf_dir)
-    found = checks.audit_findings(corpus, _SOME, seeded_flags(spark, sf_dir))
-    return reports.rule_breakdown(corpus.doc, found)
+    return reports.rule_breakdown(corpus.doc, findings(spark, sf_dir))
 
 
 _TYPE = """CASE WHEN criterion = '1.1.1' THEN 'image'
@@ -92,12 +87,12 @@ def findings_to_proposals(spark, sf_dir):
     return reports.proposals(findings(spark, sf_dir)).drop("description")
 
 
-@query("review_priority_order", SQL_FINDINGS + f"""SELECT doc_id, criterion, page, issue, priority, element_id AS proposal_id,
- row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, ord, page, element_id, issue) AS review_rank
-FROM (SELECT f.*, r.ord, {_PRIORITY} AS priority FROM finding f JOIN (SELECT criterion, ord FROM rule) r USING (criterion) WHERE status = 'fail'
- AND element_id <> '')""")
+@query("review_priority_order", SQL_FINDINGS + f"""SELECT doc_id, criterion, page, issue, priority, proposal_id,
+ row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, ord, page, proposal_id, issue) AS review_rank
+FROM (SELECT f.*, coalesce(nullif(element_id, ''), 'wcag_' || replace(criterion, '.', '_')) AS proposal_id, r.ord, {_PRIORITY} AS priority
+ FROM finding f JOIN (SELECT criterion, ord FROM rule) r USING (criterion) WHERE status = 'fail')""")
 def review_priority_order(spark, sf_dir):
-    found = findings(spark, sf_dir).filter("element_id <> ''")
+    found = findings(spark, sf_dir)
     rules = F.broadcast(dimensions.rules(spark).select("criterion", "ord"))
     rows = reports.proposals(found).join(rules, "criterion")
     ranked = reports.ranked(rows, ["ord", "page", "proposal_id", "issue"])

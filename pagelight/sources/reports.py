@@ -149,7 +149,8 @@ _SAFE = "[^a-zA-Z0-9._\\- ]"
 
 def sanitize_filename(x: str, limit: int = 255) -> str:
     """SQL text of a safe file name: separators and odd characters become one underscore, extension kept."""
-    clean = f"trim('_', regexp_replace(regexp_replace(regexp_replace({x}, {q('[/' + chr(92) * 2 + ']')}, '_'), {q(_SAFE)}, '_'), '_+', '_'))"
+    separators = q(r"[/\\]")
+    clean = f"trim('_', regexp_replace(regexp_replace(regexp_replace({x}, {separators}, '_'), {q(_SAFE)}, '_'), '_+', '_'))"
     ext = f"regexp_extract({clean}, r'[^.](\\.[^.]*)$', 1)"
     cut = f"CASE WHEN length({clean}) > {limit} THEN concat(substr({clean}, 1, {limit} - length({ext})), {ext}) ELSE {clean} END"
     return f"coalesce(nullif({cut}, ''), 'document.pdf')"
