@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pagelight.functions import scan
 
 UPLOAD_LIMIT, DEFAULT_LIMIT, WINDOW_SECONDS = 10, 60, 60.0
+ERROR_CHARS = 2000  # of the short form of an error text
 
 
 def admission(request: DataFrame, limits: dict[str, int], window: float = WINDOW_SECONDS) -> DataFrame:
@@ -59,21 +60,36 @@ def admission(request: DataFrame, limits: dict[str, int], window: float = WINDOW
 
 
 def stage_durations(event: DataFrame) -> DataFrame:
-    """Start and end pairs per (run, stage) as seconds; the first end after a start closes it."""
-    return event.groupBy("run_id", "stage").agg(
-        F.expr("min(CASE WHEN phase = 'start' THEN ts END) AS started"),
-        F.expr("max(CASE WHEN phase = 'end' THEN ts END) AS ended"),
-    ).selectExpr(
-        "run_id", "stage", "CASE WHEN ended >= started THEN bround(timestampdiff(MICROSECOND, started, ended) / 1000000.0D, 3) END AS duration_s")
+    """Duration in seconds per (run, stage), and how often the stage was run.
+
+    An end closes the start right before it; a start without its own end, and an end without its own start,
+    count for nothing.  A stage that is run again keeps the duration of its last run.  Of events at one time
+    the smaller ``event_id`` comes first.
+    """
+    marks = event.filter("phase IN ('start', 'end')")
+    seen = scan.running(marks.select("run_id", "stage", "phase", "ts", "event_id"), ["run_id", "stage"], ["ts", "event_id"], {
+        "__phase": scan.previous(F.col("phase")), "__ts": scan.previous(F.col("ts"))},
+        segment=[F.date_trunc("day", "ts")])
+    closed = "phase = 'end' AND __phase = 'start'"
+    seconds = "bround(timestampdiff(MICROSECOND, __ts, ts) / 1000000.0D, 3)"
+    spans = seen.groupBy("run_id", "stage").agg(
+        F.expr(f"max_by({seconds}, struct(ts, event_id)) FILTER (WHERE {closed}) AS duration_s"), F.expr(f"count_if({closed}) AS n_runs"))
+    every = event.select("run_id", "stage").distinct()
+    return every.join(spans, ["run_id", "stage"], "left").selectExpr("run_id", "stage", "duration_s", "coalesce(n_runs, 0) AS n_runs")
 
 
 def run_records(event: DataFrame, stages: list[str]) -> DataFrame:
-    """One telemetry row per run: a column per stage, total time, status and the cut error text."""
+    """One telemetry row per run: a column per stage, total time, status, the failed stage and the error.
+
+    ``error_message`` is the whole text of the last failure, ``error_summary`` its first ``ERROR_CHARS`` characters.
+    """
     durations = stage_durations(event).groupBy("run_id").pivot("stage", stages).agg(F.expr("max(duration_s)"))
     totals = event.groupBy("run_id").agg(
         F.expr("bround(timestampdiff(MICROSECOND, min(ts), max(ts)) / 1000000.0D, 3) AS total_duration_s"),
         F.expr("CASE WHEN bool_or(phase = 'failed') THEN 'failed' ELSE 'success' END AS status"),
-        F.expr("substr(max_by(message, ts) FILTER (WHERE phase = 'failed'), 1, 2000) AS error_message"))
+        F.expr("max_by(message, struct(ts, event_id)) FILTER (WHERE phase = 'failed') AS error_message"),
+        F.expr(f"substr(max_by(message, struct(ts, event_id)) FILTER (WHERE phase = 'failed'), 1, {ERROR_CHARS}) AS error_summary"),
+        F.expr("max_by(stage, struct(ts, event_id)) FILTER (WHERE phase = 'failed') AS error_stage"))
     named = durations.select("run_id", *[F.col(f"`{s}`").alias(f"{s}_duration_s") for s in stages])
     return totals.join(named, "run_id")
 

@@ -143,7 +143,14 @@ def table_grid(block: DataFrame) -> DataFrame:
     )
 
 
-ROW_HEADER_CELL = f"(trim(cell) <> '' AND NOT {q_like('trim(cell)', NUMERIC_CELL)})"
+def row_header_cell(x: str) -> str:
+    return f"(trim({x}) <> '' AND NOT {q_like(f'trim({x})', NUMERIC_CELL)})"
+
+
+ROW_HEADER_CELL = row_header_cell("cell")
+
+
+LAST = 2**31 - 1  # position of the end of a document
 
 
 def html_escape(x: str) -> str:
@@ -151,40 +158,63 @@ def html_escape(x: str) -> str:
             f"'\"', '&quot;'), '\\'', '&#x27;')")
 
 
+# Cells of a row; a row that is short of ``__cols`` lets its last cell span what is missing.
+_SPAN = "CASE WHEN i = size(r) - 1 AND size(r) < __cols THEN concat(' colspan=\"', __cols - size(r) + 1, '\"') ELSE '' END"
+_HEAD_CELLS = f"transform(headers, (c, i) -> concat('<th scope=\"col\"', {_SPAN.replace('size(r)', 'size(headers)')}, '>', {html_escape('c')}, '</th>'))"
+_ROW_CELLS = f"""transform(r, (c, i) -> CASE WHEN i = 0 AND size(r) >= 2 AND {row_header_cell('c')} THEN concat('<th scope="row">', {html_escape('c')}, '</th>')
+  ELSE concat('<td', {_SPAN}, '>', {html_escape('c')}, '</td>') END)"""
 FRAGMENT = f"""CASE block_type
  WHEN 'heading' THEN concat('<h', greatest(1, least(6, coalesce(level, 2))), ' id="', anchor, '">', {html_escape('content')}, '</h', greatest(1, least(6, coalesce(level, 2))), '>')
  WHEN 'image' THEN concat('<figure><img src="', {html_escape("coalesce(src, '')")}, '" alt="', {html_escape("coalesce(alt, '')")}, '"></figure>')
  WHEN 'list' THEN concat(CASE WHEN ordered THEN '<ol>' ELSE '<ul>' END, array_join(transform(coalesce(items, array()), i -> concat('<li>', {html_escape('i')}, '</li>')), ''), CASE WHEN ordered THEN '</ol>' ELSE '</ul>' END)
  WHEN 'table' THEN concat('<table>', CASE WHEN coalesce(caption, '') <> '' THEN concat('<caption>', {html_escape('caption')}, '</caption>') ELSE '' END,
-  CASE WHEN size(headers) > 0 THEN concat('<thead><tr>', array_join(transform(headers, c -> concat('<th scope="col">', {html_escape('c')}, '</th>')), ''), '</tr></thead>') ELSE '' END,
-  CASE WHEN size(rows) > 0 THEN concat('<tbody>', array_join(transform(rows, r -> concat('<tr>', array_join(transform(r, c -> concat('<td>', {html_escape('c')}, '</td>')), ''), '</tr>')), ''), '</tbody>') ELSE '' END, '</table>')
+  CASE WHEN size(headers) > 0 THEN concat('<thead><tr>', array_join({_HEAD_CELLS}, ''), '</tr></thead>') ELSE '' END,
+  CASE WHEN size(rows) > 0 THEN concat('<tbody>', array_join(transform(rows, r -> concat('<tr>', array_join({_ROW_CELLS}, ''), '</tr>')), ''), '</tbody>') ELSE '' END, '</table>')
  ELSE concat('<p>', {html_escape('content')}, '</p>') END"""
 
 
 def html_fragments(block: DataFrame) -> DataFrame:
-    """HTML of every block in order: the distributed form of a document.
-
-    A whole page string exists only in ``html_documents``, for documents that fit one row.
-    """
+    """HTML of every block in order."""
     heads = anchors(block.filter(HEADING)).select("doc_id", "seq", "anchor")
     rest = block.filter(f"NOT coalesce({HEADING}, false)").withColumn("anchor", F.lit(None).cast("string"))
     headed = block.filter(HEADING).join(heads, ["doc_id", "seq"])
-    return headed.unionByName(rest).selectExpr("doc_id", "seq", f"{FRAGMENT} AS html")
-
-
-def html_documents(fragment: DataFrame, doc: DataFrame, max_chars: int = 50_000_000) -> DataFrame:
-    """One HTML string per document of at most ``max_chars``; larger ones keep their fragments
-    and are returned with a null ``html`` so that none is lost."""
-    size = fragment.groupBy("doc_id").agg(F.expr("sum(length(html)) AS n_chars"))
-    small = fragment.join(size.filter(F.col("n_chars") <= max_chars), "doc_id", "left_semi")
-    bodies = small.groupBy("doc_id").agg(
-        F.expr("array_join(transform(array_sort(collect_list(struct(seq, html))), x -> x.html), '\\n') AS body"))
-    shell = f"""concat('<!DOCTYPE html><html lang="', coalesce(nullif(language, ''), 'en'), '"><head><title>',
-     {html_escape("coalesce(metadata['title'], filename)")},
-     '</title></head><body><a href="#main-content">Skip to main content</a><main id="main-content">', body,
-     '</main></body></html>')"""
-    return doc.join(size, "doc_id", "left").join(bodies, "doc_id", "left").selectExpr(
-        "doc_id", "coalesce(n_chars, 0) AS n_chars", f"{shell} AS html")
+    columns = "greatest(size(coalesce(headers, array())), coalesce(array_max(transform(rows, r -> size(r))), 0), 1)"
+    return headed.unionByName(rest).withColumn("__cols", F.expr(columns)).selectExpr("doc_id", "seq", f"{FRAGMENT} AS html")
+
+
+def contents_list(heading: DataFrame) -> DataFrame:
+    """(doc_id, seq, part, item, html) of the contents of documents with at least three entries.
+
+    The list stands right after the first heading that says so, else on top (``seq`` -1).  Entries of level 2
+    are the outer list, deeper ones the inner list of the entry above.
+    """
+    entry = scan.running(contents_table(heading), ["doc_id"], ["seq"], {
+        "__before": scan.previous(F.col("level")), "__after": scan.following(F.col("level"))})
+    items = entry.selectExpr("doc_id", "seq AS item", f"""concat(
+     CASE WHEN level > 2 AND __before IS NULL THEN '<li><ol>' ELSE '' END,
+     '<li><a href="#', anchor, '">', {html_escape('trim(content)')}, '</a>',
+     CASE WHEN level > 2 THEN '</li>' WHEN __after > 2 THEN '<ol>' ELSE '</li>' END,
+     CASE WHEN level > 2 AND (__after IS NULL OR __after = 2) THEN '</ol></li>' ELSE '' END) AS html""")
+    titled = heading.filter(q_like("content", CONTENTS)).groupBy("doc_id").agg(F.min("seq").alias("at"))
+    frame = items.select("doc_id").distinct().selectExpr(
+        "doc_id", """inline(array(named_struct('part', 1, 'item', 0, 'html', '<nav aria-label="Table of Contents" id="toc"><h2>Contents</h2><ol>'),
+         named_struct('part', 3, 'item', 0, 'html', '</ol></nav>')))""")
+    listed = items.selectExpr("doc_id", "2 AS part", "item", "html").unionByName(frame)
+    return listed.join(titled, "doc_id", "left").selectExpr("doc_id", "coalesce(at, -1) AS seq", "part", "item", "html")
+
+
+def html_documents(block: DataFrame, doc: DataFrame) -> DataFrame:
+    """(doc_id, seq, part, item, html): the pieces of every HTML document, in the order of these columns.
+
+    A document of any length is rows, never one string: its opening, its contents list, its blocks and its end.
+    """
+    shell = doc.selectExpr("doc_id", f"""inline(array(
+     named_struct('seq', -2, 'part', 0, 'item', 0, 'html', concat('<!DOCTYPE html><html lang="', coalesce(nullif(language, ''), 'en'),
+      '"><head><title>', {html_escape("coalesce(metadata['title'], filename)")},
+      '</title></head><body><a href="#main-content">Skip to main content</a><main id="main-content">')),
+     named_struct('seq', {LAST}, 'part', 0, 'item', 0, 'html', '</main></body></html>')))""")
+    body = html_fragments(block).selectExpr("doc_id", "seq", "0 AS part", "0 AS item", "html")
+    return shell.unionByName(body).unionByName(contents_list(block.filter(HEADING).select("doc_id", "seq", "level", "content")))
 
 
 # --- context around images ---------------------------------------------------

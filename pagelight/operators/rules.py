@@ -9,14 +9,20 @@ from pagelight.functions.text import q, q_blank, q_empty
 
 # Fixed values.
 ELEMENT_TYPES = ("table", "image", "heading", "paragraph", "link", "form_field")
-CONDITIONS = {
-    "missing_headers": f"type = 'table' AND {q_empty('headers')}",
-    "no_alt": f"{q_blank('alt')}",
-    "skip_level": "coalesce(level - prev_level > 1, false)",
-    "empty": f"{q_blank('content')}",
-}
+
+
+def conditions(alt: str = "alt", level: str = "level") -> dict[str, str]:
+    """Test of each condition; ``alt`` and ``level`` may be values that earlier rules changed."""
+    return {
+        "missing_headers": f"type = 'table' AND {q_empty('headers')}",
+        "no_alt": q_blank(alt),
+        "skip_level": f"coalesce({level} - prev_level > 1, false)",
+        "empty": q_blank("content"),
+    }
+
+
+CONDITIONS = tuple(conditions())
 MIN_CONFIDENCE, MIN_DOCUMENTS = 0.7, 3
-MAX_RULES = 500
 
 
 def valid_rules(rule: DataFrame) -> DataFrame:
@@ -35,47 +41,39 @@ def match_rules(element: DataFrame, rule: DataFrame) -> DataFrame:
 
     Rules meet the elements as one row per type and condition, of which there are few however many rules there are.
     """
-    tests = " ".join(f"WHEN {q(c)} THEN {e}" for c, e in CONDITIONS.items())
+    tests = " ".join(f"WHEN {q(c)} THEN {e}" for c, e in conditions().items())
     pairs = rule.groupBy(F.col("rule_type").alias("__type"), F.col("condition").alias("__condition")).agg(
         F.collect_list(F.struct(*rule.columns)).alias("__rules"))
-    met = element.join(F.broadcast(pairs), F.col("type") == F.col("__type")).filter(
+    met = element.join(pairs, F.col("type") == F.col("__type")).filter(
         F.expr(f"CASE __condition {tests} ELSE false END"))
     return met.select(*element.columns, F.inline("__rules"))
 
 
-def act(action_type: str, value: str) -> dict[str, str]:
-    """Column expressions of an action; unknown actions change nothing."""
-    if action_type == "add_scope":
-        return {"scope": q(value)}
-    if action_type == "set_alt":
-        return {"alt": q(value)}
-    if action_type == "remove_element":
-        return {"removed": "true"}
-    if action_type == "set_heading" and value.strip().lstrip("-").isdigit() and 1 <= int(value) <= 6:
-        return {"level": str(int(value))}
-    return {}
-
-
-def apply_rules(element: DataFrame, rules: list) -> tuple[DataFrame, DataFrame]:
-    """Apply rules in version order; later rules see the changes of earlier ones.
+def apply_rules(element: DataFrame, rule: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(elements, log) after the rules of ``valid_rules``, in version order; later rules see the changes of earlier ones.
 
-    The rule list is a dimension of at most ``MAX_RULES`` rows and becomes column
-    expressions, so any number of rules costs one pass over the elements.  The log
-    has a row per rule and element with what the rule matched.
+    The rules are gathered into one ordered list, a dimension row that every element gets, and an element folds
+    over it, so any number of rules costs one pass over the elements.  Unknown actions and heading levels
+    outside 1 to 6 change nothing.  The log has a row per rule and element with what the rule matched.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules: apply them in batches of at most {MAX_RULES}")
-    out, log = element, []
-    for i, rule in enumerate(rules):
-        test = f"type = {q(rule['rule_type'])} AND {CONDITIONS[rule['condition']]}"
-        out = out.withColumn(f"__m{i}", F.expr(f"coalesce({test}, false)"))
-        log.append(f"named_struct('rule_id', {q(rule['id'])}, 'matched', __m{i})")
-        changes = act(rule["action"]["type"], str(rule["action"]["value"] or ""))
-        if changes:
-            out = out.withColumns({
-                c: F.expr(f"CASE WHEN __m{i} THEN {e} ELSE {c} END") for c, e in changes.items()})
-    logged = out.selectExpr("doc_id", "seq", f"inline(array({', '.join(log)}))") if log else None
-    return out.select(*element.columns), logged
+    ordered = rule.agg(F.array_sort(F.collect_list(F.struct(
+        "version", "id", "rule_type", "condition", F.col("action.type").alias("act"),
+        F.coalesce(F.col("action.value"), F.lit("")).alias("value")))).alias("__rules"))
+    tests = " ".join(f"WHEN {q(c)} THEN {e}" for c, e in conditions("s.alt", "s.level").items())
+    hit = f"(type = r.rule_type AND coalesce(CASE r.condition {tests} ELSE false END, false))"
+    number = "CASE WHEN trim(r.value) rlike '^[+-]?[0-9]{1,9}$' THEN CAST(trim(r.value) AS INT) END"
+    folded = element.join(ordered).withColumn("__s", F.expr(f"""aggregate(__rules,
+     named_struct('alt', alt, 'level', level, 'scope', scope, 'removed', removed, 'matched', CAST(array() AS array<boolean>)),
+     (s, r) -> named_struct(
+      'alt', CASE WHEN r.act = 'set_alt' AND {hit} THEN r.value ELSE s.alt END,
+      'level', CASE WHEN r.act = 'set_heading' AND {number} BETWEEN 1 AND 6 AND {hit} THEN {number} ELSE s.level END,
+      'scope', CASE WHEN r.act = 'add_scope' AND {hit} THEN r.value ELSE s.scope END,
+      'removed', s.removed OR (r.act = 'remove_element' AND {hit}),
+      'matched', concat(s.matched, array({hit}))))"""))
+    changed = [f"__s.{c} AS {c}" if c in ("alt", "level", "scope", "removed") else c for c in element.columns]
+    log = folded.selectExpr(
+        "doc_id", "seq", "inline(zip_with(__rules, __s.matched, (r, m) -> named_struct('rule_id', r.id, 'matched', m)))")
+    return folded.selectExpr(*changed), log
 
 
 def promotable(rule: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ _FLAG = "CASE h % 5 WHEN 0 THEN 'OK' WHEN 1 THEN 'LEVEL_CORRECTED' WHEN 2 THEN '
 
 
 @query("heading_correction_findings", SQL_ELEMENT + f""", co AS (SELECT doc_id, concat(Path, ':',
-  CASE WHEN h % 7 = 0 THEN -1 ELSE seq END) AS element_id, substr(line, 1, 20) AS original, substr(line, 1, 10) AS corrected,
+  CASE WHEN h % 7 = 0 THEN -1 ELSE seq END) AS element_id, line AS original, concat('Corrected: ', line) AS corrected,
   {_FLAG} AS flag FROM el WHERE h % 9 = 0 AND starts_with(Path, '//Document/H'))
 SELECT c.doc_id, c.element_id, original, corrected, flag,
  CASE WHEN flag IN ('LEVEL_CORRECTED', 'NEEDS_REVIEW') THEN 'moderate' ELSE 'minor' END AS severity,
@@ -105,7 +105,7 @@ def heading_correction_findings(spark, sf_dir):
     heads = element.filter("startswith(Path, '//Document/H')").select("doc_id", "seq", "Path")
     correction = heads.join(line.filter("h % 9 = 0"), ["doc_id", "seq"]).selectExpr(
         "doc_id", "concat(Path, ':', CASE WHEN h % 7 = 0 THEN -1 ELSE seq END) AS element_id",
-        "substr(line, 1, 20) AS original", "substr(line, 1, 10) AS corrected", f"{_FLAG} AS flag")
+        "line AS original", "concat('Corrected: ', line) AS corrected", f"{_FLAG} AS flag")
     return E.heading_correction_findings(correction, element)
 
 

@@ -36,7 +36,10 @@ def _stage(spark, sf_dir):
         "CASE event_type WHEN 'click' THEN 'start' WHEN 'signup' THEN 'start' WHEN 'error' THEN 'failed' ELSE 'end' END AS phase", "ts", "event_id", "concat('message ', event_id) AS message")
 
 
-_DUR = ", du0 AS (SELECT run_id, stage, min(ts) FILTER (phase = 'start') AS s, max(ts) FILTER (phase = 'end') AS e FROM st GROUP BY ALL), du AS (SELECT run_id, stage, CASE WHEN e >= s THEN round_even(date_diff('microsecond', s, e) / 1000000.0, 3) END AS duration_s FROM du0)"
+_DUR = """, du0 AS (SELECT *, lag(phase) OVER w AS pp, lag(ts) OVER w AS pt FROM st WHERE phase IN ('start', 'end') WINDOW w AS (PARTITION BY run_id, stage ORDER BY ts, event_id)),
+du1 AS (SELECT run_id, stage, arg_max(round_even(date_diff('microsecond', pt, ts) / 1000000.0, 3), (ts, event_id)) AS duration_s, count(*) AS n_runs FROM du0
+ WHERE phase = 'end' AND pp = 'start' GROUP BY ALL),
+du AS (SELECT run_id, stage, duration_s, coalesce(n_runs, 0) AS n_runs FROM (SELECT DISTINCT run_id, stage FROM st) LEFT JOIN du1 USING (run_id, stage))"""
 
 
 @query("stage_durations", f"WITH {_STAGE}{_DUR} SELECT * FROM du")
@@ -45,7 +48,8 @@ def stage_durations(spark, sf_dir):
 
 
 @query("run_telemetry_record", f"""WITH {_STAGE}{_DUR}, tt AS (SELECT run_id, round_even(date_diff('microsecond', min(ts), max(ts)) / 1000000.0, 3) AS total_duration_s,
- CASE WHEN bool_or(phase = 'failed') THEN 'failed' ELSE 'success' END AS status, substr(arg_max(message, ts) FILTER (phase = 'failed'), 1, 2000) AS error_message FROM st GROUP BY 1)
+ CASE WHEN bool_or(phase = 'failed') THEN 'failed' ELSE 'success' END AS status, arg_max(message, (ts, event_id)) FILTER (phase = 'failed') AS error_message, substr(arg_max(message, (ts, event_id)) FILTER (phase = 'failed'), 1, 2000) AS error_summary,
+ arg_max(stage, (ts, event_id)) FILTER (phase = 'failed') AS error_stage FROM st GROUP BY 1)
 SELECT tt.*, (SELECT max(duration_s) FROM du WHERE du.run_id = tt.run_id AND stage = 'extract') AS extract_duration_s,
  (SELECT max(duration_s) FROM du WHERE du.run_id = tt.run_id AND stage = 'validate') AS validate_duration_s FROM tt""")
 def run_telemetry_record(spark, sf_dir):

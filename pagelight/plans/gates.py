@@ -160,7 +160,7 @@ def gate_pdf_catalog_facts(spark, sf_dir):
 
 _VAL = """va AS (SELECT o_orderkey AS doc_id, o_orderkey % 8 <> 0 AS available, o_orderkey % 3 = 0 AS compliant, o_orderkey % 11 AS error_count,
  CASE o_orderkey % 3 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['7.1'] ELSE ['7.1', '7.18.1'] END AS clauses FROM orders),
-ba AS (SELECT o_orderkey AS doc_id, o_orderkey % 7 AS before FROM orders WHERE o_orderkey % 5 <> 0),
+ba AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 7 END AS before FROM orders),
 gf AS (SELECT va.*, before FROM va LEFT JOIN ba USING (doc_id))"""
 _FAIL = ("soft_fail", "serious", "P1", "flag_hitl")
 _CLAUSES = " UNION ALL ".join([
@@ -175,7 +175,7 @@ def _validation(spark, sf_dir):
     now = orders.selectExpr(
         "o_orderkey AS doc_id", "o_orderkey % 8 <> 0 AS available", "o_orderkey % 3 = 0 AS compliant", "o_orderkey % 11 AS error_count",
         "CASE o_orderkey % 3 WHEN 0 THEN CAST(array() AS array<string>) WHEN 1 THEN array('7.1') ELSE array('7.1', '7.18.1') END AS clauses")
-    before = orders.filter("o_orderkey % 5 <> 0").selectExpr("o_orderkey AS doc_id", "o_orderkey % 7 AS error_count")
+    before = orders.selectExpr("o_orderkey AS doc_id", "CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 7 END AS error_count")
     return now, before
 
 
@@ -216,11 +216,30 @@ def gate_checker_fallback(spark, sf_dir):
     return G.with_fallback(gate_checker_issues(spark, sf_dir), G.g4_catalog(_catalog(spark, sf_dir)))
 
 
-_ALL = f"WITH {_ISS}, {_VAL}, ck AS (SELECT * FROM iss UNION ALL SELECT * FROM ({_CLAUSES}))"
+def _union(rows, facts: str) -> str:
+    """Checks of several names over the facts of one gate."""
+    return " UNION ALL ".join(sql.replace(" FROM gf WHERE", f" FROM {facts} WHERE") for sql in rows)
+
+
+#: Every gate over one set of documents: a document has its blocks, its page, its reports and its catalog under one id.
+_ALL = (
+    SQL + _G1_FACTS.replace("gf AS", "gf1 AS", 1) + _G2_FACTS.replace("gf AS", "gf2 AS", 1)
+    + _PO.replace("gf AS", "gf2o AS", 1) + ", " + _G3_FACTS.removeprefix("WITH ").replace("gf AS", "gf3 AS", 1)
+    + f""", {_AXE}, {_ISS}, {_CAT.replace("gf AS", "gf4 AS", 1)}, {_VAL},
+ck AS (""" + " UNION ALL ".join([
+        _union([sql for _, sql in _G1_ROWS.values()], "gf1"), _union([sql for _, sql in _G2_ROWS.values()], "gf2"),
+        _union([_either("G2", "page_order", "nk > 0", SOFT, "nk")], "gf2o"), _union([sql for _, sql in _G3_ROWS.values()], "gf3"),
+        "SELECT * FROM axc", "SELECT * FROM iss",
+        f"SELECT * FROM ({_union([_CAT_ROWS], 'gf4')}) WHERE doc_id IN (SELECT doc_id FROM iss WHERE check_name = 'adobe_checker_unavailable')",
+        _CLAUSES]) + ")")
 
 
 def _all_checks(spark, sf_dir) -> DataFrame:
-    return reduce(DataFrame.unionByName, [gate_checker_issues(spark, sf_dir), gate_pdfua_clauses(spark, sf_dir)])
+    corpus = seeded.corpus(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [
+        G.g1(corpus), G.g2(corpus).filter("check_name <> 'page_order'"), gate_page_order(spark, sf_dir),
+        G.g3_structural(seeded.html_pages(spark, sf_dir)), gate_browser_rule_severity(spark, sf_dir),
+        gate_checker_fallback(spark, sf_dir), gate_pdfua_clauses(spark, sf_dir)])
 
 
 @query("gate_rollup", _ALL + f""" SELECT doc_id, gate_id, CASE WHEN gate_id = '{G.PDFUA}' THEN bool_and(status = 'pass') ELSE bool_and(status <> 'hard_fail') END AS passed

@@ -149,9 +149,10 @@ _FRAG = _ANCHOR + f""", fr AS (SELECT b.doc_id, b.seq, CASE block_type
  WHEN 'image' THEN concat('<figure><img src="', {_esc("coalesce(src, '')")}, '" alt="', {_esc("coalesce(alt, '')")}, '"></figure>')
  WHEN 'list' THEN concat(CASE WHEN ordered THEN '<ol>' ELSE '<ul>' END, coalesce(array_to_string(list_transform(items, lambda i: concat('<li>', {_esc('i')}, '</li>')), ''), ''), CASE WHEN ordered THEN '</ol>' ELSE '</ul>' END)
  WHEN 'table' THEN concat('<table>', CASE WHEN coalesce(caption, '') <> '' THEN concat('<caption>', {_esc('caption')}, '</caption>') ELSE '' END,
-  CASE WHEN len(headers) > 0 THEN concat('<thead><tr>', array_to_string(list_transform(headers, lambda c: concat('<th scope="col">', {_esc('c')}, '</th>')), ''), '</tr></thead>') ELSE '' END,
-  CASE WHEN len(rows) > 0 THEN concat('<tbody>', array_to_string(list_transform(rows, lambda r: concat('<tr>', array_to_string(list_transform(r, lambda c: concat('<td>', {_esc('c')}, '</td>')), ''), '</tr>')), ''), '</tbody>') ELSE '' END, '</table>')
- ELSE concat('<p>', {_esc('b.content')}, '</p>') END AS html FROM block b LEFT JOIN an ON an.doc_id = b.doc_id AND an.seq = b.seq)"""
+  CASE WHEN len(headers) > 0 THEN concat('<thead><tr>', array_to_string(list_transform(headers, lambda c, i: concat('<th scope="col"', CASE WHEN i = len(headers) AND i < b.nc THEN ' colspan="' || (b.nc - i + 1) || '"' ELSE '' END, '>', {_esc('c')}, '</th>')), ''), '</tr></thead>') ELSE '' END,
+  CASE WHEN len(rows) > 0 THEN concat('<tbody>', array_to_string(list_transform(rows, lambda r: concat('<tr>', array_to_string(list_transform(r, lambda c, i: CASE WHEN i = 1 AND len(r) >= 2 AND trim(c) <> '' AND NOT regexp_matches(trim(c), '^[\\s$€£]*([\\d,]+\\.?\\d*)\\s*%?\\s*$')
+   THEN concat('<th scope="row">', {_esc('c')}, '</th>') ELSE concat('<td', CASE WHEN i = len(r) AND i < b.nc THEN ' colspan="' || (b.nc - i + 1) || '"' ELSE '' END, '>', {_esc('c')}, '</td>') END), ''), '</tr>')), ''), '</tbody>') ELSE '' END, '</table>')
+ ELSE concat('<p>', {_esc('b.content')}, '</p>') END AS html FROM (SELECT *, greatest(len(coalesce(headers, [])), coalesce(list_max(list_transform(rows, lambda r: len(r))), 0), 1) AS nc FROM block) b LEFT JOIN an ON an.doc_id = b.doc_id AND an.seq = b.seq)"""
 
 
 @query("html_fragments", SQL + _FRAG + "SELECT doc_id, seq, html FROM fr")
@@ -159,14 +160,19 @@ def html_fragments(spark, sf_dir):
     return O.html_fragments(_corpus(spark, sf_dir).block)
 
 
-@query("document_assembly", SQL + _FRAG + f""", bd AS (SELECT doc_id, string_agg(html, chr(10) ORDER BY seq) AS body,
-  sum(length(html)) AS n FROM fr GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_chars, '<!DOCTYPE html><html lang="' || coalesce(nullif(language, ''), 'en') || '"><head><title>'
- || {_esc('coalesce(meta_title, filename)')} || '</title></head><body><a href="#main-content">Skip to main content</a><main id="main-content">'
- || body || '</main></body></html>' AS html FROM doc d LEFT JOIN bd USING (doc_id)""")
+@query("document_assembly", SQL + _FRAG + f""", tc AS (SELECT *, lag(level) OVER w AS lb, lead(level) OVER w AS la FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS k FROM an
+ WHERE level >= 2 AND NOT regexp_matches(content, '(?i)^\\s*(table\\s+of\\s+contents|contents)\\s*$')) WHERE k >= 3 WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+ch AS (SELECT doc_id, min(seq) AS pos FROM an WHERE regexp_matches(content, '(?i)^\\s*(table\\s+of\\s+contents|contents)\\s*$') GROUP BY 1),
+cl AS (SELECT doc_id, 2 AS part, seq AS item, concat(CASE WHEN level > 2 AND lb IS NULL THEN '<li><ol>' ELSE '' END, '<li><a href="#', anchor, '">', {_esc('trim(content)')}, '</a>',
+  CASE WHEN level > 2 THEN '</li>' WHEN la > 2 THEN '<ol>' ELSE '</li>' END, CASE WHEN level > 2 AND coalesce(la, 2) = 2 THEN '</ol></li>' ELSE '' END) AS html FROM tc
+ UNION ALL SELECT DISTINCT doc_id, 1, 0, '<nav aria-label="Table of Contents" id="toc"><h2>Contents</h2><ol>' FROM tc UNION ALL SELECT DISTINCT doc_id, 3, 0, '</ol></nav>' FROM tc)
+SELECT doc_id, -2 AS seq, 0 AS part, 0 AS item, '<!DOCTYPE html><html lang="' || coalesce(nullif(language, ''), 'en') || '"><head><title>'
+ || {_esc('coalesce(meta_title, filename)')} || '</title></head><body><a href="#main-content">Skip to main content</a><main id="main-content">' AS html FROM doc
+UNION ALL SELECT doc_id, 2147483647, 0, 0, '</main></body></html>' FROM doc UNION ALL SELECT doc_id, seq, 0, 0, html FROM fr
+UNION ALL SELECT doc_id, coalesce(pos, -1), part, item, html FROM cl LEFT JOIN ch USING (doc_id)""")
 def document_assembly(spark, sf_dir):
     corpus = _corpus(spark, sf_dir)
-    return O.html_documents(O.html_fragments(corpus.block), corpus.doc)
+    return O.html_documents(corpus.block, corpus.doc)
 
 
 _NEAR = "ordered2 AS (SELECT doc_id, seq, block_id, block_type, page_num, alt, src, trim(content) AS t FROM block)"

@@ -6,13 +6,20 @@ from pagelight.operators import profiling as P
 from pagelight.plans.registry import query
 from pagelight.sources import seeded
 
-_PAGES = f"""WITH {seeded.SQL_LINES}, pg AS (SELECT doc_id, CAST(seq AS INT) AS page_num, CASE WHEN doc_id % 4 = 1 AND h % 13 <> 0 THEN '' WHEN h % 7 = 0 THEN '  ' WHEN h % 7 = 1 THEN substr(line, 1, 15) WHEN h % 7 = 2 THEN substr(line, 1, 40) ELSE line END AS text
- FROM lines)"""
+#: Scanned pages are empty; some lines make a page of their first word or words and one of the rest.
+_FIRST = "split_part(line, ' ', 1)"
+_SECOND = "concat(split_part(line, ' ', 1), ' ', split_part(line, ' ', 2), ' ', split_part(line, ' ', 3), ' ', split_part(line, ' ', 4))"
+_TEXT = f"""CASE WHEN doc_id % 4 = 1 AND h % 13 <> 0 THEN '' WHEN h % 7 = 0 THEN '  '
+ WHEN h % 7 = 1 THEN CASE i WHEN 1 THEN {_FIRST} ELSE substr(line, length({_FIRST}) + 2) END
+ WHEN h % 7 = 2 THEN CASE i WHEN 1 THEN {_SECOND} ELSE substr(line, length({_SECOND}) + 2) END ELSE line END"""
+
+_PAGES = f"""WITH {seeded.SQL_LINES}, pg AS (SELECT doc_id, CAST(2 * seq + i - 1 AS INT) AS page_num, {_TEXT} AS text
+ FROM (SELECT *, unnest(range(1, 3)) AS i FROM lines) WHERE i = 1 OR h % 7 IN (1, 2))"""
 
 
 def _pages(spark, sf_dir):
-    return seeded.lines(spark, sf_dir).selectExpr(
-        "doc_id", "seq AS page_num", "CASE WHEN doc_id % 4 = 1 AND h % 13 <> 0 THEN '' WHEN h % 7 = 0 THEN '  ' WHEN h % 7 = 1 THEN substr(line, 1, 15) WHEN h % 7 = 2 THEN substr(line, 1, 40) ELSE line END AS text")
+    parts = seeded.lines(spark, sf_dir).selectExpr("*", "explode(CASE WHEN h % 7 IN (1, 2) THEN array(1, 2) ELSE array(1) END) AS i")
+    return parts.selectExpr("doc_id", "2 * seq + i - 1 AS page_num", f"{_TEXT} AS text")
 
 
 _PROFILE = _PAGES + """, pf AS (SELECT doc_id, page_num, length(trim(text)) AS char_count, length(trim(text)) >= 20 AS has_text, round_even(least(1.0, length(trim(text)) / 2000.0), 3) AS text_coverage,

@@ -12,7 +12,7 @@ from pagelight.sources import seeded
 _RULE = """ru AS (SELECT 'r' || s_suppkey AS id, CASE s_suppkey % 9 WHEN 0 THEN 'table:missing_headers' WHEN 1 THEN 'image:no_alt' WHEN 2 THEN 'heading:skip_level'
  WHEN 3 THEN 'paragraph:empty' WHEN 4 THEN 'nocolon' WHEN 5 THEN 'widget:empty' WHEN 6 THEN 'table:unknown' WHEN 7 THEN 'link:empty' ELSE 'heading:empty' END AS trigger_pattern,
  CASE s_suppkey % 5 WHEN 0 THEN 'add_scope' WHEN 1 THEN 'set_alt' WHEN 2 THEN 'remove_element' WHEN 3 THEN 'set_heading' END AS action_type, CAST(s_suppkey % 8 AS VARCHAR) AS action_value,
- 0.5 + (s_suppkey % 50) / 100.0 AS confidence, CAST(s_suppkey % 11 AS INT) AS version, CASE s_suppkey % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'candidate' ELSE 'retired' END AS status,
+ 0.5 + (s_suppkey * 7 % 50) / 100.0 AS confidence, CAST(s_suppkey % 11 AS INT) AS version, CASE s_suppkey % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'candidate' ELSE 'retired' END AS status,
  s_suppkey % 5 AS n_docs FROM supplier),
 va AS (SELECT * FROM ru WHERE contains(trigger_pattern, ':') AND split_part(trigger_pattern, ':', 1) IN ('table', 'image', 'heading', 'paragraph', 'link', 'form_field')
  AND split_part(trigger_pattern, ':', 2) IN ('missing_headers', 'no_alt', 'skip_level', 'empty') AND action_type IS NOT NULL AND confidence >= 0.7)"""
@@ -26,7 +26,7 @@ def _rules(spark, sf_dir):
          WHEN 7 THEN 'link:empty' ELSE 'heading:empty' END AS trigger_pattern""",
         """named_struct('type', CASE s_suppkey % 5 WHEN 0 THEN 'add_scope' WHEN 1 THEN 'set_alt' WHEN 2 THEN 'remove_element'
          WHEN 3 THEN 'set_heading' END, 'value', CAST(s_suppkey % 8 AS STRING)) AS action""",
-        "CAST(0.5 + (s_suppkey % 50) / 100.0 AS DOUBLE) AS confidence", "CAST(s_suppkey % 11 AS INT) AS version",
+        "CAST(0.5 + (s_suppkey * 7 % 50) / 100.0 AS DOUBLE) AS confidence", "CAST(s_suppkey % 11 AS INT) AS version",
         "CASE s_suppkey % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'candidate' ELSE 'retired' END AS status",
         "CASE WHEN s_suppkey % 5 = 0 THEN CAST(array() AS array<string>) ELSE transform(sequence(1, CAST(s_suppkey % 5 AS INT)), i -> concat('d', i)) END AS validated_on_docs",
     )
@@ -57,30 +57,31 @@ def rule_pattern_match(spark, sf_dir):
     return R.match_rules(_elements(spark, sf_dir), rules).select("doc_id", "seq", "id")
 
 
-# A small rule set is data of the engine, not of the corpus: it is read as a list.
-ACTIVE = [
-    {"id": "a1", "rule_type": "table", "condition": "missing_headers", "action": {"type": "add_scope", "value": "col"}},
-    {"id": "a2", "rule_type": "image", "condition": "no_alt", "action": {"type": "set_alt", "value": "Unlabelled image"}},
-    {"id": "a3", "rule_type": "heading", "condition": "skip_level", "action": {"type": "set_heading", "value": "2"}},
-    {"id": "a4", "rule_type": "heading", "condition": "empty", "action": {"type": "remove_element", "value": ""}},
-    {"id": "a5", "rule_type": "image", "condition": "no_alt", "action": {"type": "remove_element", "value": ""}},
-    {"id": "a6", "rule_type": "heading", "condition": "empty", "action": {"type": "set_heading", "value": "9"}},
-]
+# The rules walk over each element one after the other, as (version, id) order says; ``l`` holds what they made of it.
+_WALK = _EL.replace("WITH ", "WITH RECURSIVE ", 1) + """, vo AS (SELECT *, row_number() OVER (ORDER BY version, id) AS k,
+  split_part(trigger_pattern, ':', 1) AS rt, split_part(trigger_pattern, ':', 2) AS rc FROM va),
+wk AS (SELECT doc_id, seq, type, content, headers, pl, CAST(0 AS BIGINT) AS k, alt, level, CAST(NULL AS VARCHAR) AS scope, false AS removed, CAST(NULL AS VARCHAR) AS rule_id, false AS hit FROM em
+ UNION ALL SELECT doc_id, seq, type, content, headers, pl, k, CASE WHEN h AND action_type = 'set_alt' THEN action_value ELSE alt END,
+  CASE WHEN h AND action_type = 'set_heading' AND CAST(action_value AS INT) BETWEEN 1 AND 6 THEN CAST(action_value AS INT) ELSE level END,
+  CASE WHEN h AND action_type = 'add_scope' THEN action_value ELSE scope END, removed OR (h AND action_type = 'remove_element'), id, h
+ FROM (SELECT wk.*, vo.k AS k2, vo.id, vo.action_type, vo.action_value, type = rt AND CASE rc WHEN 'missing_headers' THEN type = 'table' AND coalesce(len(headers), 0) = 0
+   WHEN 'no_alt' THEN trim(coalesce(alt, '')) = '' WHEN 'skip_level' THEN coalesce(level - pl > 1, false) ELSE trim(coalesce(content, '')) = '' END AS h
+   FROM wk JOIN vo ON vo.k = wk.k + 1) x (doc_id, seq, type, content, headers, pl, k0, alt, level, scope, removed, r0, h0, k, id, action_type, action_value, h))
+"""
 
 
-@query("apply_rules", _EL + """SELECT doc_id, seq, CASE WHEN type = 'image' AND trim(coalesce(alt, '')) = '' THEN 'Unlabelled image' ELSE alt END AS alt,
- CASE WHEN type = 'heading' AND level - pl > 1 THEN 2 ELSE level END AS level, CASE WHEN type = 'table' AND coalesce(len(headers), 0) = 0 THEN 'col' END AS scope,
- type = 'heading' AND trim(content) = '' AS removed FROM em""")
+def _applied(spark, sf_dir):
+    return R.apply_rules(_elements(spark, sf_dir), R.valid_rules(_rules(spark, sf_dir)))
+
+
+@query("apply_rules", _WALK + "SELECT doc_id, seq, alt, level, scope, removed FROM wk WHERE k = (SELECT count(*) FROM vo)")
 def apply_rules(spark, sf_dir):
-    return R.apply_rules(_elements(spark, sf_dir), ACTIVE)[0].select("doc_id", "seq", "alt", "level", "scope", "removed")
+    return _applied(spark, sf_dir)[0].select("doc_id", "seq", "alt", "level", "scope", "removed")
 
 
-@query("rule_execution_log", _EL + """, lg AS (SELECT unnest(['a1', 'a2', 'a3', 'a4', 'a5', 'a6']) AS rule_id)
-SELECT doc_id, rule_id, count(*) AS n, count(*) FILTER (CASE rule_id WHEN 'a1' THEN type = 'table' AND coalesce(len(headers), 0) = 0
- WHEN 'a2' THEN type = 'image' AND trim(coalesce(alt, '')) = '' WHEN 'a3' THEN type = 'heading' AND coalesce(level - pl > 1, false)
- WHEN 'a5' THEN false ELSE type = 'heading' AND trim(content) = '' END) AS matched FROM em CROSS JOIN lg GROUP BY ALL""")
+@query("rule_execution_log", _WALK + "SELECT doc_id, rule_id, count(*) AS n, count(*) FILTER (hit) AS matched FROM wk WHERE k > 0 GROUP BY ALL")
 def rule_execution_log(spark, sf_dir):
-    log = R.apply_rules(_elements(spark, sf_dir), ACTIVE)[1]
+    log = _applied(spark, sf_dir)[1]
     return log.groupBy("doc_id", "rule_id").agg(F.expr("count(*) AS n"), F.expr("count_if(matched) AS matched"))
 
 
@@ -95,10 +96,10 @@ def list_active_rules(spark, sf_dir):
 
 
 @query("rule_status_update", f"""WITH {_RULE}, ch AS (SELECT 'r' || l_suppkey AS id, CASE l_linenumber % 4 WHEN 0 THEN 'candidate' WHEN 1 THEN 'active' WHEN 2 THEN 'retired' ELSE 'odd' END AS s,
- l_shipdate AS ts FROM lineitem WHERE l_returnflag = 'R'), la AS (SELECT id, arg_max(s, (ts, s)) AS s FROM ch WHERE s <> 'odd' GROUP BY 1)
+ l_shipdate AS ts FROM lineitem), la AS (SELECT id, arg_max(s, (ts, s)) AS s FROM ch WHERE s <> 'odd' GROUP BY 1)
 SELECT ru.id, coalesce(la.s, ru.status) AS status FROM ru LEFT JOIN la USING (id)""")
 def rule_status_update(spark, sf_dir):
-    change = seeded.read_table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").selectExpr(
+    change = seeded.read_table(spark, sf_dir, "lineitem").selectExpr(
         "concat('r', l_suppkey) AS id", "l_shipdate AS ts",
         "CASE l_linenumber % 4 WHEN 0 THEN 'candidate' WHEN 1 THEN 'active' WHEN 2 THEN 'retired' ELSE 'odd' END AS new_status")
     return R.update_status(_rules(spark, sf_dir), change).select("id", "status")

@@ -51,13 +51,15 @@ def validator_report_scan_matterhorn(spark, sf_dir):
 def checker_issue_scan(spark, sf_dir):
     raw = seeded.read_table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "l_linenumber AS n",
         "CASE WHEN l_returnflag = 'A' THEN 'Critical issue' WHEN l_returnflag = 'N' THEN CASE WHEN l_linestatus = 'O' THEN 'ERROR' ELSE 'Warning' END ELSE 'info' END AS raw_severity")
-    return S.scan_checker_issues(raw)[0].select("doc_id", "n", "severity")
+    return S.scan_checker_issues(raw, raw.select("doc_id").distinct())[0].select("doc_id", "n", "severity")
 
 
-@query("checker_issue_score", "SELECT l_orderkey AS doc_id, count(*) AS n, round_even(1.0 - count(*) / greatest(count(*) + 10, 10), 4) AS score FROM lineitem GROUP BY 1")
+@query("checker_issue_score", """SELECT c_custkey AS doc_id, count(o_orderkey) AS n, round_even(1.0 - count(o_orderkey) / greatest(count(o_orderkey) + 10, 10), 4) AS score
+ FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def checker_issue_score(spark, sf_dir):
-    raw = seeded.read_table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "'x' AS raw_severity")
-    return S.scan_checker_issues(raw)[1]
+    """Customers stand for documents: some of them have no order."""
+    raw = seeded.read_table(spark, sf_dir, "orders").selectExpr("o_custkey AS doc_id", "o_orderpriority AS raw_severity")
+    return S.scan_checker_issues(raw, seeded.read_table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id"))[1]
 
 
 @query("ocr_layout_scan", """WITH d AS (SELECT doc_id, replace(replace(replace(replace(text, chr(10), ' '), chr(9), ' '), '"', ''''), chr(92), '/') AS ftxt FROM documents),

@@ -9,7 +9,7 @@ from pagelight.plans.elements import SQL_TYPED
 from pagelight.plans.registry import query
 from pagelight.sources import seeded
 
-_COMMENT = """CASE turn % 5 WHEN 0 THEN concat('Always ', substr(text, 1, 30)) WHEN 1 THEN '' WHEN 2 THEN concat(substr(text, 1, 30), ' for all documents') ELSE substr(text, 1, 60) END"""
+_COMMENT = """CASE turn % 5 WHEN 0 THEN concat('Always ', text) WHEN 1 THEN '' WHEN 2 THEN concat(text, ' for all documents') ELSE text END"""
 _PROP = [
     "conv_id", "turn", f"{_COMMENT} AS human_comment", "CASE (conv_id + turn) % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'image' WHEN 2 THEN 'heading' ELSE 'link' END AS element_type",
     "CASE conv_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'serious' WHEN 2 THEN 'minor' WHEN 3 THEN '' END AS finding_severity",
@@ -33,8 +33,8 @@ def evaluate_change_proposal(spark, sf_dir):
 _P = ["o_orderkey AS proposal_id", "o_custkey AS item_id", "CASE o_orderkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' WHEN 2 THEN 'applied' WHEN 3 THEN 'rejected' ELSE 'rolled_back' END AS status",
       "concat('text ', CAST(o_orderkey AS STRING)) AS proposed_text", "CASE WHEN o_orderkey % 2 = 0 THEN 'approve' END AS snapshot_decision", "CAST(NULL AS STRING) AS snapshot_edit"]
 _I = ["c_custkey AS item_id", "CASE c_custkey % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' END AS decision", "CASE WHEN c_custkey % 4 = 0 THEN 'old' END AS edit"]
-_C = ["o_orderkey AS proposal_id", "CASE WHEN o_orderkey % 3 = 0 THEN 'rollback' ELSE 'apply' END AS command"]
-_AR = f"""pr AS (SELECT {', '.join(_P)} FROM orders), it AS (SELECT {', '.join(_I)} FROM customer), cm AS (SELECT {', '.join(_C)} FROM orders WHERE o_orderkey % 2 = 0),
+_C = ["o_orderkey AS proposal_id", "CASE WHEN o_orderkey % 2 = 1 THEN 'none' WHEN o_orderkey % 3 = 0 THEN 'rollback' ELSE 'apply' END AS command"]
+_AR = f"""pr AS (SELECT {', '.join(_P)} FROM orders), it AS (SELECT {', '.join(_I)} FROM customer), cm AS (SELECT {', '.join(_C)} FROM orders),
 jd AS (SELECT *, CASE WHEN command = 'apply' AND status IN ('pending', 'approved') THEN 'applied' WHEN command = 'rollback' AND status = 'applied' THEN 'rolled_back' END AS ns
  FROM cm JOIN pr USING (proposal_id) LEFT JOIN it USING (item_id))"""
 
@@ -42,7 +42,7 @@ jd AS (SELECT *, CASE WHEN command = 'apply' AND status IN ('pending', 'approved
 def _apply(spark, sf_dir):
     orders = seeded.read_table(spark, sf_dir, "orders")
     return W.apply_proposals(orders.selectExpr(*_P), seeded.read_table(spark, sf_dir, "customer").selectExpr(*_I),
-                             orders.filter("o_orderkey % 2 = 0").selectExpr(*_C))
+                             orders.selectExpr(*_C))
 
 
 @query("apply_and_rollback_proposals", f"""WITH {_AR} SELECT proposal_id, command, coalesce(ns, status) AS status, ns IS NULL AS refused,
@@ -59,15 +59,15 @@ def proposal_audit_rows(spark, sf_dir):
 
 
 _D = """it AS (SELECT o_orderkey AS item_id, CASE o_orderkey % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' END AS decision FROM orders),
-de AS (SELECT o_orderkey AS item_id, 'edit' AS new_decision, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '__null' ELSE 'approve' END AS expected FROM orders WHERE o_orderkey % 2 = 0),
+de AS (SELECT o_orderkey AS item_id, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'reject' ELSE 'edit' END AS new_decision, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '__null' ELSE 'approve' END AS expected FROM orders),
 jd AS (SELECT it.*, new_decision, expected, new_decision IS NOT NULL AND (expected IS NULL OR decision IS NOT DISTINCT FROM nullif(expected, '__null')) AS hit FROM it LEFT JOIN de USING (item_id))"""
 
 
 def _decide(spark, sf_dir):
     orders = seeded.read_table(spark, sf_dir, "orders")
     item = orders.selectExpr("o_orderkey AS item_id", "CASE o_orderkey % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' END AS decision")
-    decision = orders.filter("o_orderkey % 2 = 0").selectExpr(
-        "o_orderkey AS item_id", "'edit' AS new_decision", "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '__null' ELSE 'approve' END AS expected")
+    decision = orders.selectExpr(
+        "o_orderkey AS item_id", "CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'reject' ELSE 'edit' END AS new_decision", "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '__null' ELSE 'approve' END AS expected")
     return W.decide(item, decision)
 
 
@@ -88,14 +88,14 @@ def _alts(spark, sf_dir):
     return seeded.read_table(spark, sf_dir, "orders").selectExpr(*_ALT)
 
 
-@query("alt_text_decisions", f"""WITH ap AS (SELECT {', '.join(_ALT)} FROM orders), de AS (SELECT l_orderkey AS proposal_id, CASE l_linenumber WHEN 1 THEN 'approve' WHEN 2 THEN 'edit' ELSE 'reject' END AS choice
- FROM lineitem WHERE l_linenumber <= 3 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1)
+@query("alt_text_decisions", f"""WITH ap AS (SELECT {', '.join(_ALT)} FROM orders), de AS (SELECT l_orderkey AS proposal_id, CASE count(*) % 4 WHEN 1 THEN 'approve' WHEN 2 THEN 'edit' WHEN 3 THEN 'reject' END AS choice
+ FROM lineitem GROUP BY 1)
 SELECT proposal_id, CASE WHEN choice IS NULL THEN status WHEN choice IN ('approve', 'edit') THEN 'approved' ELSE 'rejected' END AS status,
  CASE choice WHEN 'edit' THEN 'edited ' || proposal_id WHEN 'approve' THEN proposed_alt END AS final_alt FROM ap LEFT JOIN de USING (proposal_id)""")
 def alt_text_decisions(spark, sf_dir):
-    first = seeded.read_table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("proposal_id")).agg(
-        F.expr("min(l_linenumber) AS n"))
-    decision = first.selectExpr("proposal_id", "CASE n WHEN 1 THEN 'approve' WHEN 2 THEN 'edit' ELSE 'reject' END AS choice", "concat('edited ', proposal_id) AS edited_text")
+    first = seeded.read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("proposal_id")).agg(
+        F.expr("count(*) AS n"))
+    decision = first.selectExpr("proposal_id", "CASE n % 4 WHEN 1 THEN 'approve' WHEN 2 THEN 'edit' WHEN 3 THEN 'reject' END AS choice", "concat('edited ', proposal_id) AS edited_text")
     return W.alt_decisions(_alts(spark, sf_dir), decision)
 
 
@@ -222,13 +222,13 @@ def remaining_after_delete(spark, sf_dir):
     return W.delete_documents(images, docs)[0]
 
 
-@query("partial_update_whitelist", """WITH ch AS (SELECT l_orderkey AS id, arg_max(CASE l_linestatus WHEN 'O' THEN 'applied' ELSE 'approved' END, l_linenumber * 1000000 + l_partkey) AS s, max(l_shipdate) AS ts FROM lineitem WHERE l_linenumber >= 6 GROUP BY 1)
+@query("partial_update_whitelist", """WITH ch AS (SELECT l_orderkey AS id, arg_max(CASE l_linestatus WHEN 'O' THEN 'applied' ELSE 'approved' END, (l_linenumber, l_partkey, l_linestatus)) AS s, max(l_shipdate) AS ts FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS id, coalesce(s, 'pending') AS status, 'note' AS reviewer_notes, CASE WHEN s IN ('approved', 'rejected', 'resolved') THEN ts END AS resolved_at FROM orders LEFT JOIN ch ON ch.id = o_orderkey""")
 def partial_update_whitelist(spark, sf_dir):
     rows = seeded.read_table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS id", "'pending' AS status", "'note' AS reviewer_notes", "CAST(NULL AS TIMESTAMP) AS resolved_at")
-    change = seeded.read_table(spark, sf_dir, "lineitem").filter("l_linenumber >= 6").groupBy(F.col("l_orderkey").alias("id")).agg(
-        F.expr("max_by(CASE l_linestatus WHEN 'O' THEN 'applied' ELSE 'approved' END, l_linenumber * 1000000L + l_partkey) AS status"), F.expr("max(l_shipdate) AS ts"))
+    change = seeded.read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
+        F.expr("max_by(CASE l_linestatus WHEN 'O' THEN 'applied' ELSE 'approved' END, struct(l_linenumber, l_partkey, l_linestatus)) AS status"), F.expr("max(l_shipdate) AS ts"))
     return W.partial_update(rows, change.withColumn("owner", F.lit("x")))
 
 
@@ -254,8 +254,8 @@ def json_column_decode(spark, sf_dir):
     return W.decode_json(rows, "props", "k int").selectExpr("event_id", "props_value.k AS k", "props_text")
 
 
-@query("document_child_join", """SELECT o_orderkey AS doc_id, l_linenumber AS item_no, o_orderstatus AS status FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'A'""")
+@query("document_child_join", """SELECT o_orderkey AS doc_id, l_linenumber AS item_no, o_orderstatus AS status FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
 def document_child_join(spark, sf_dir):
     doc = seeded.read_table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "o_orderstatus AS status")
-    child = seeded.read_table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").selectExpr("l_orderkey AS doc_id", "l_linenumber AS item_no")
+    child = seeded.read_table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "l_linenumber AS item_no")
     return doc.join(child, "doc_id")

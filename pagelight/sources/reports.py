@@ -79,14 +79,15 @@ def scan_matterhorn(report: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs, rules
 
 
-def scan_checker_issues(issue: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(issue rows with their severity, score per document)."""
+def scan_checker_issues(issue: DataFrame, doc: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(issue rows with their severity, score of every document of ``doc``, 1 without any issue)."""
     raw = "lower(raw_severity)"
     rows = issue.withColumn("severity", F.expr(
         f"""CASE WHEN raw_severity IS NULL THEN 'moderate' WHEN contains({raw}, 'critical') THEN 'critical'
          WHEN contains({raw}, 'serious') OR contains({raw}, 'error') THEN 'serious'
          WHEN contains({raw}, 'warning') THEN 'moderate' ELSE 'minor' END"""))
-    scores = issue.groupBy("doc_id").agg(F.expr("count(*) AS n")).selectExpr(
+    counts = issue.groupBy("doc_id").agg(F.expr("count(*) AS n"))
+    scores = doc.select("doc_id").join(counts, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).selectExpr(
         "doc_id", "n", "bround(greatest(0.0D, 1.0D - n / greatest(n + 10, 10)), 4) AS score")
     return rows, scores
 

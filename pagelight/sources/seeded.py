@@ -19,6 +19,8 @@ BLOCK_KIND = """CASE WHEN doc_id % 13 = 7 THEN 'paragraph'
  WHEN h % 211 = 8 THEN 'widget' ELSE 'paragraph' END"""
 
 _W = {f"w{i}": f"split_part(line, ' ', {i})" for i in range(1, 10)}
+#: What follows the first words of a line; the last cell or item takes it, so no text is lost.
+_W |= {f"r{i}": "substr(line, " + " + ".join(f"length({_W[f'w{k}']}) + 1" for k in range(1, i)) + " + 1)" for i in range(2, 10)}
 
 BLOCK_COLUMNS = {
     "page_num": "CAST(floor(seq / 8) AS INT)",
@@ -26,14 +28,14 @@ BLOCK_COLUMNS = {
  ELSE concat('b', CAST(doc_id AS STRING), '_', CAST(seq AS STRING)) END""",
     "block_type": "kind",
     "content": """CASE kind
- WHEN 'heading' THEN CASE WHEN h % 54 = 0 THEN '' WHEN h % 63 = 0 THEN 'Contents' ELSE substr(line, 1, 40) END
+ WHEN 'heading' THEN CASE WHEN h % 54 = 0 THEN '' WHEN h % 63 = 0 THEN 'Contents' ELSE line END
  WHEN 'image' THEN CASE WHEN h % 45 = 3 THEN 'page divider' ELSE '' END
- WHEN 'table' THEN CASE WHEN h % 36 = 5 THEN substr(line, 1, 30) ELSE '' END
- WHEN 'list' THEN ''
- WHEN 'form_field' THEN CASE WHEN h % 3 = 0 THEN '' ELSE substr(line, 1, 20) END
+ WHEN 'table' THEN CASE WHEN h % 36 = 5 THEN line ELSE '' END
+ WHEN 'list' THEN CASE WHEN h % 3 = 0 THEN line ELSE '' END
+ WHEN 'form_field' THEN CASE WHEN h % 3 = 0 THEN '' ELSE line END
  ELSE CASE WHEN h % 29 = 4 THEN 'https://example.org/x'
   WHEN h % 11 = 2 THEN concat(line, ' click here https://example.org/a')
-  WHEN h % 31 = 6 THEN concat(substr(line, 1, 200), ' see https://example.org/report for data')
+  WHEN h % 31 = 6 THEN concat(line, ' see https://example.org/report for data')
   WHEN h % 23 = 8 THEN concat(line, ' Click the red button.')
   WHEN h % 37 = 1 THEN concat(line, ' 汉字文本')
   WHEN h % 43 = 2 THEN concat('Привет мир ', line)
@@ -56,22 +58,22 @@ BLOCK_COLUMNS = {
     "alt": """CASE WHEN kind = 'image' THEN CASE CAST(floor(h / 9) AS BIGINT) % 8
   WHEN 1 THEN '' WHEN 2 THEN 'placeholder' WHEN 3 THEN 'img001.jpg'
   WHEN 4 THEN 'A bar chart of yearly revenue by region' WHEN 5 THEN 'decorative border'
-  WHEN 6 THEN line WHEN 7 THEN concat('Photograph of ', substr(line, 1, 40)) END END""",
+  WHEN 6 THEN line WHEN 7 THEN concat('Photograph of ', line) END END""",
     "src": """CASE WHEN kind = 'image' THEN CASE h % 4
   WHEN 1 THEN 'data:image/png;base64,iVBORw0KGgo=' WHEN 2 THEN 'img/a.png' WHEN 3 THEN '' END END""",
     "image_id": """CASE WHEN kind = 'image' AND h % 4 IN (1, 2)
  THEN concat('img_', CAST(doc_id AS STRING), '_', CAST(seq AS STRING)) END""",
     "caption": """CASE WHEN kind = 'table' THEN CASE h % 5 WHEN 0 THEN NULL WHEN 1 THEN ''
- ELSE concat('Table ', CAST(seq AS STRING), ': ', substr(line, 1, 20)) END END""",
+ ELSE concat('Table ', CAST(seq AS STRING), ': ', line) END END""",
     "headers": """CASE WHEN kind = 'table' THEN CASE h % 4 WHEN 0 THEN NULL WHEN 1 THEN NONE
- ELSE ARR({w1}, {w2}, {w3}) END END""",
+ ELSE ARR({w1}, {w2}, {r3}) END END""",
     "rows": """CASE WHEN kind = 'table' THEN CASE h % 5
-  WHEN 0 THEN ARR(ARR({w1}), ARR({w4}))
-  WHEN 1 THEN ARR(ARR('1', '2', '3'), ARR({w4}, {w5}, {w6}))
-  WHEN 2 THEN ARR(ARR({w1}, {w2}, {w3}), ARR({w4}, {w5}))
-  WHEN 3 THEN ARR(ARR('Year', 'Fee', 'Note'), ARR({w1}, {w2}, {w3}), ARR({w7}, {w8}, {w9})) END END""",
-    "items": """CASE WHEN kind = 'list' THEN CASE h % 3 WHEN 0 THEN NONE WHEN 1 THEN ARR({w1}, '', {w3})
- ELSE ARR({w1}, {w2}, {w3}) END END""",
+  WHEN 0 THEN ARR(ARR({w1}), ARR({r2}))
+  WHEN 1 THEN ARR(ARR('1', '2', '3'), ARR({w1}, {w2}, {r3}))
+  WHEN 2 THEN ARR(ARR({w1}, {w2}, {w3}), ARR({w4}, {r5}))
+  WHEN 3 THEN ARR(ARR('Year', 'Fee', 'Note'), ARR({w1}, {w2}, {w3}), ARR({w4}, {w5}, {r6})) END END""",
+    "items": """CASE WHEN kind = 'list' THEN CASE h % 3 WHEN 0 THEN NONE WHEN 1 THEN ARR({w1}, '', {r2})
+ ELSE ARR({w1}, {w2}, {r3}) END END""",
     "ordered": "CASE WHEN kind = 'list' THEN h % 2 = 0 END",
     "name": "CASE WHEN kind = 'form_field' THEN CASE h % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE {w1} END END",
     "label": "CASE WHEN kind = 'form_field' THEN CASE WHEN h % 2 = 0 THEN '' ELSE {w2} END END",
@@ -230,12 +232,12 @@ ELEMENT_COLUMNS = {
  WHEN h % 43 = 9 THEN '//Document/Table/TR/TD/Table/TR/TD/Table' ELSE '//Document/P' END""",
     "Text": f"""CASE WHEN {_R} BETWEEN 4 AND 15 AND doc_id % 3 <> 1 THEN CASE
    WHEN h % 47 = 0 THEN '[1] see above' WHEN h % 53 = 1 THEN 'Note: rounded' WHEN h % 59 = 2 THEN 'equation x'
-   WHEN {_R} < 5 AND doc_id % 6 = 0 THEN 'Table 4: Fees' WHEN h % 4 = 3 THEN '$12.50' ELSE {_W['w1']} END
- WHEN h % 61 = 0 THEN '' WHEN h % 5 = 3 AND seq % 3 <> 0 THEN 'I' WHEN h % 7 = 3 THEN concat('• ', substr(line, 1, 30))
- WHEN h % 7 = 5 THEN concat('1) ', substr(line, 1, 30)) WHEN h % 67 = 6 THEN '12'
- WHEN h % 10 = 7 THEN concat('Figure 2 ', substr(line, 1, 20))
- WHEN h % 11 = 4 THEN concat('I N F R A, JANU ARY. FOO BAR, NEW S; PROGR E S. (<>) ', substr(line, 1, 20))
- WHEN h % 13 = 5 THEN concat(substr(line, 1, 20), ' 1/2/2024 10:30 AM Page 3 of 10') WHEN h % 17 = 4 THEN
+   WHEN {_R} < 5 AND doc_id % 6 = 0 THEN 'Table 4: Fees' WHEN h % 4 = 3 THEN '$12.50' ELSE line END
+ WHEN h % 61 = 0 THEN '' WHEN h % 5 = 3 AND seq % 3 <> 0 THEN 'I' WHEN h % 7 = 3 THEN concat('• ', line)
+ WHEN h % 7 = 5 THEN concat('1) ', line) WHEN h % 67 = 6 THEN '12'
+ WHEN h % 10 = 7 THEN concat('Figure 2 ', line)
+ WHEN h % 11 = 4 THEN concat('I N F R A, JANU ARY. FOO BAR, NEW S; PROGR E S. (<>) ', line)
+ WHEN h % 13 = 5 THEN concat(line, ' 1/2/2024 10:30 AM Page 3 of 10') WHEN h % 17 = 4 THEN
   CASE h % 4 WHEN 0 THEN '1. Scope' WHEN 1 THEN '1.2.3 Scope' WHEN 2 THEN 'A.1 Scope' ELSE '(a) scope' END
  ELSE line END""",
     "Page": "CAST(floor(seq / 8) AS INT)",

@@ -38,3 +38,10 @@ def write_documents(outputs: DataFrame, path: str, buckets: int = 256) -> None:
     """(doc_id, kind, body) grouped in a bounded number of folders; a folder per document would not scale."""
     outputs.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).repartition("bucket", "kind").write.mode(
         "overwrite").partitionBy("bucket", "kind").parquet(path)
+
+
+def write_html(pieces: DataFrame, path: str, buckets: int = 256) -> None:
+    """Pieces of HTML documents, each document in order within one of a bounded number of folders."""
+    placed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    placed.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "seq", "part", "item").write.mode(
+        "overwrite").partitionBy("bucket").parquet(path)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pagelight.operators import checks, dedupe, elements, gates, html_checks, ordered, reports, rules, workflow
+from pagelight.operators import checks, dedupe, elements, events, gates, html_checks, ordered, reports, rules, workflow
 from pagelight.sources import dimensions, reports as scans, schemas, sinks
 
 ELEMENT = "doc_id int, seq int, Path string, Text string, Page int, attributes map<string,string>"
@@ -153,16 +153,20 @@ def test_rules(spark):
         [(1, 0, "table", "", None, None, None, None), (1, 1, "heading", "x", None, None, 4, 2), (1, 2, "image", "", " ", None, None, None)],
         "doc_id int, seq int, type string, content string, alt string, headers array<string>, level int, prev_level int",
     ).selectExpr("*", "CAST(NULL AS STRING) AS scope", "false AS removed")
+    schema = "id string, trigger_pattern string, action struct<type:string,value:string>, confidence double, version int"
     chain = [
-        {"id": "1", "rule_type": "image", "condition": "no_alt", "action": {"type": "set_alt", "value": "it's"}},
-        {"id": "2", "rule_type": "image", "condition": "no_alt", "action": {"type": "remove_element", "value": ""}},
-        {"id": "3", "rule_type": "heading", "condition": "skip_level", "action": {"type": "set_heading", "value": "3"}},
-        {"id": "4", "rule_type": "table", "condition": "missing_headers", "action": {"type": "add_scope", "value": "col"}},
-    ]
-    out, log = rules.apply_rules(el, chain)
+        ("1", "image:no_alt", ("set_alt", "it's"), 0.9, 1), ("2", "image:no_alt", ("remove_element", ""), 0.9, 2),
+        ("3", "heading:skip_level", ("set_heading", "3"), 0.9, 3), ("4", "table:missing_headers", ("add_scope", "col"), 0.9, 4),
+        ("5", "image:no_alt", ("set_alt", "too unsure"), 0.6, 0)]
+    out, log = rules.apply_rules(el, rules.valid_rules(spark.createDataFrame(chain, schema)))
     got = {r["seq"]: (r["alt"], r["level"], r["scope"], r["removed"]) for r in out.collect()}
     assert got == {0: (None, None, "col", False), 1: (None, 3, None, False), 2: ("it's", None, None, False)}
     assert log.count() == 12 and log.filter("matched").count() == 3
+    # Six hundred rules, applied from the highest version back to the first by their order alone.
+    many = [(f"m{i}", "heading:skip_level", ("set_heading", "9" if i else "2"), 0.9, 600 - i) for i in range(600)]
+    out, log = rules.apply_rules(el, rules.valid_rules(spark.createDataFrame(many, schema)))
+    assert {r["seq"]: r["level"] for r in out.collect()} == {0: None, 1: 2, 2: None}
+    assert log.count() == 1800 and log.filter("matched").count() == 600
 
 
 @pytest.mark.parametrize("row,impact,risk,scope", [
@@ -230,8 +234,33 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4
 
 
-def test_oversized_documents_keep_their_fragments(spark):
-    frag = spark.createDataFrame([(1, 0, "aaaa"), (1, 1, "bb"), (2, 0, "c")], "doc_id int, seq int, html string")
-    doc = spark.createDataFrame([(1, "a.pdf", "en", {}), (2, "b.pdf", None, {})], "doc_id int, filename string, language string, metadata map<string,string>")
-    got = {r["doc_id"]: r["html"] for r in ordered.html_documents(frag, doc, max_chars=3).collect()}
-    assert got[1] is None and "c</main>" in got[2]
+def test_html_pieces(spark, tmp_path):
+    schema = ("doc_id int, seq int, block_type string, content string, level int, src string, alt string, items array<string>, "
+              "ordered boolean, caption string, headers array<string>, rows array<array<string>>")
+    blank = (None,) * 7
+    block = [(1, 0, "heading", "Deep", 3, *blank), (1, 1, "heading", "Contents", 2, *blank), (1, 2, "heading", "A & B", 2, *blank),
+             (1, 3, "heading", "Inner", 4, *blank), (1, 4, "heading", "Last", 2, *blank),
+             (1, 5, "table", "", None, None, None, None, None, None, ["H", "V"], [["Fee", "5"], ["7", "8"], ["all"]]),
+             (2, 0, "paragraph", "x", None, *blank)]
+    doc = spark.createDataFrame([(1, "a.pdf", "en", {}), (2, "b.pdf", None, {"title": "<t>"}), (3, "c.pdf", "de", {})],
+                                "doc_id int, filename string, language string, metadata map<string,string>")
+    pieces = ordered.html_documents(spark.createDataFrame(block, schema), doc)
+    sinks.write_html(pieces, str(tmp_path / "html"), buckets=2)
+    text = {}
+    for r in spark.read.parquet(str(tmp_path / "html")).orderBy("doc_id", "seq", "part", "item").collect():
+        text[r["doc_id"]] = text.get(r["doc_id"], "") + r["html"]
+    assert text[2].startswith('<!DOCTYPE html><html lang="en"><head><title>&lt;t&gt;</title>') and "<p>x</p></main>" in text[2]
+    assert text[3].endswith('<main id="main-content"></main></body></html>')
+    assert ('id="sec-contents">Contents</h2><nav aria-label="Table of Contents" id="toc"><h2>Contents</h2><ol>'
+            '<li><ol><li><a href="#sec-deep">Deep</a></li></ol></li>'
+            '<li><a href="#sec-a--b">A &amp; B</a><ol><li><a href="#sec-inner">Inner</a></li></ol></li>'
+            '<li><a href="#sec-last">Last</a></li></ol></nav>') in text[1]
+    assert ('<tr><th scope="row">Fee</th><td>5</td></tr><tr><td>7</td><td>8</td></tr><tr><td colspan="2">all</td></tr>') in text[1]
+
+
+def test_stage_runs_pair_in_order(spark):
+    rows = [(1, "start", 0), (2, "end", 5), (3, "end", 6), (4, "start", 25), (5, "start", 30), (6, "end", 31)]
+    event = spark.createDataFrame([("r", "a", p, t, i) for i, p, t in rows] + [("r", "b", "failed", 3, 9)],
+                                  "run_id string, stage string, phase string, t int, event_id int").selectExpr("*", "timestamp_seconds(t) AS ts")
+    got = {r["stage"]: (r["duration_s"], r["n_runs"]) for r in events.stage_durations(event).collect()}
+    assert got == {"a": (1.0, 2), "b": (None, 0)}
