@@ -24,7 +24,7 @@ from pagelight.sources.schemas import BLOCK_TYPES, Corpus
 SEVERITY = {r[0]: r[5] for r in dimensions.RULES}
 REMEDIATION = {r[0]: r[6] for r in dimensions.RULES}
 CRITERIA = [r[0] for r in dimensions.RULES]
-MAX_IDS = 25
+MAX_IDS = 25  # image ids named in a sentence
 
 FINDING = (
     "doc_id", "rule_id", "criterion", "status", "severity", "element_id", "page", "issue", "n",
@@ -254,9 +254,14 @@ def sequential_order(block: DataFrame) -> DataFrame:
 # --- rules with grouped or ordered work of their own ------------------------
 
 
+def flagged_images(block: DataFrame) -> DataFrame:
+    """1.1.1: every image with a finding, one row each; the sentence of a finding names ``MAX_IDS`` of them only."""
+    return block.selectExpr("doc_id", "page_num", "seq", "block_id", f"{IMAGE_KIND} AS kind").filter("kind IS NOT NULL")
+
+
 def image_page_findings(block: DataFrame) -> DataFrame:
-    """1.1.1: one finding per page and kind, listing the first 25 images."""
-    flagged = block.selectExpr("doc_id", "page_num", "seq", "block_id", f"{IMAGE_KIND} AS kind").filter("kind IS NOT NULL")
+    """1.1.1: one finding per page and kind, naming the first ``MAX_IDS`` images; ``flagged_images`` has them all."""
+    flagged = flagged_images(block)
     numbered = scan.running(flagged, ["doc_id", "page_num", "kind"], ["seq"], {"pos": scan.row_position()})
     grouped = numbered.groupBy("doc_id", "page_num", "kind").agg(
         F.expr("count(*) AS n"),

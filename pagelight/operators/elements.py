@@ -108,7 +108,7 @@ def classify(element: DataFrame) -> DataFrame:
 
 def with_criterion(typed: DataFrame, dimension: DataFrame) -> DataFrame:
     """Dimension lookup of the success criterion; unknown types read in order (1.3.2)."""
-    return typed.join(F.broadcast(dimension), "element_type", "left").withColumn(
+    return typed.join(dimension, "element_type", "left").withColumn(
         "criterion", F.coalesce("criterion", F.lit("1.3.2"))
     )
 

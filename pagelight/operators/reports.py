@@ -232,9 +232,9 @@ def applicable_rules(features: DataFrame, rule: DataFrame) -> DataFrame:
          CASE WHEN is_document_set THEN 'is_document_set' END))"""),
     )
     keyed = doc.select("doc_id", "has_forms", F.explode("on").alias("switch"))
-    direct = keyed.join(F.broadcast(switches), "switch")
+    direct = keyed.join(switches, "switch")
     forms = doc.filter("has_forms").select("doc_id", F.lit(True).alias("by_form")).join(
-        F.broadcast(switches.filter("by_form").drop("switch")), "by_form"
+        switches.filter("by_form").drop("switch"), "by_form"
     )
     columns = ["doc_id", "ord", "rule_id", "criterion", "level", "principle", "automation", "applicability",
                "remediation"]
@@ -261,7 +261,7 @@ def coverage_matrix(rules: DataFrame, xref: DataFrame) -> DataFrame:
         F.expr("array_sort(collect_list(CASE WHEN kind = 'technique' THEN struct(ord, technique_id) END)) AS t"),
         F.expr("array_sort(collect_list(CASE WHEN kind = 'failure' THEN struct(ord, technique_id) END)) AS f"),
     )
-    return rules.join(F.broadcast(tech), "criterion", "left").selectExpr(
+    return rules.join(tech, "criterion", "left").selectExpr(
         "doc_id", "criterion", "level", "coalesce(array_join(transform(t, x -> x.technique_id), ','), '') AS techniques",
         "coalesce(array_join(transform(f, x -> x.technique_id), ','), '') AS failures",
     )

@@ -313,3 +313,9 @@ SQL_FINDINGS = _with(
        dimensions.SQL_RULE],
     "",
 )
+
+
+@query("flagged_images", seeded.SQL_CORPUS + f""", fi AS (SELECT doc_id, page_num, seq, block_id, {_IMAGE_KIND} AS kind FROM block)
+SELECT * FROM fi WHERE kind IS NOT NULL""")
+def flagged_images(spark, sf_dir):
+    return checks.flagged_images(seeded.corpus(spark, sf_dir).block)

@@ -113,16 +113,21 @@ def fix_counts_all_repairs(spark, sf_dir):
 
 @query("language_audit", f"""WITH {seeded.SQL_LINES}, lg AS (SELECT doc_id, lang AS labelled, {_lang('text')} AS detected FROM documents),
 fs AS (SELECT DISTINCT doc_id FROM lines WHERE regexp_matches(line, '[一-鿿Ѐ-ӿ؀-ۿऀ-ॿ]|[àáâãäåæçèéêëìíîïðñòóôõöùúûüýþÿ]{{3,}}')),
-rp AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, upper(trim(line)) AS t FROM lines WHERE length(trim(line)) <= 40) GROUP BY doc_id, t HAVING count(*) >= 3)
+rp AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, upper(trim(line)) AS t FROM lines) GROUP BY doc_id, t HAVING count(*) >= 3)
 SELECT labelled, detected, count(*) AS docs, count(fs.doc_id) AS foreign_script_docs, count(rp.doc_id) AS repeated_line_docs,
  round_even(count(fs.doc_id) / count(*), 4) AS foreign_rate FROM lg LEFT JOIN fs USING (doc_id) LEFT JOIN rp ON rp.doc_id = lg.doc_id GROUP BY ALL""")
 def language_audit(spark, sf_dir):
     """Labelled against detected language with foreign-script and repeated-line rates."""
-    lines = seeded.lines(spark, sf_dir)
-    foreign = lines.filter(F.col("line").rlike(checks.text.FOREIGN_SCRIPT)).select("doc_id").distinct().withColumn("f", F.lit(1))
-    repeated = lines.filter("length(trim(line)) <= 40").groupBy("doc_id", F.expr("upper(trim(line)) AS t")).agg(
-        F.expr("count(*) AS n")).filter("n >= 3").select("doc_id").distinct().withColumn("r", F.lit(1))
-    docs = seeded.read_table(spark, sf_dir, "documents").selectExpr("doc_id", "lang AS labelled", f"{X.language_of('text')}.lang AS detected")
-    return docs.join(foreign, "doc_id", "left").join(repeated, "doc_id", "left").groupBy("labelled", "detected").agg(
-        F.expr("count(*) AS docs"), F.expr("count(f) AS foreign_script_docs"), F.expr("count(r) AS repeated_line_docs"),
-        F.expr("bround(count(f) / count(*), 4) AS foreign_rate"))
+    docs = seeded.spread(seeded.read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    kept = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    read = docs.select(
+        "doc_id", F.col("lang").alias("labelled"), F.expr(f"{X.language_of('text')}.lang").alias("detected"), kept.alias("lines")
+    ).withColumn("foreign", F.coalesce(F.exists("lines", lambda x: x.rlike(checks.text.FOREIGN_SCRIPT)), F.lit(False)))
+    # The lines are hashed before they are counted: only their number matters from here on.
+    hashed = F.transform("lines", lambda x: F.struct(F.xxhash64(F.upper(F.trim(x))), F.crc32(F.upper(F.trim(x)))))
+    keys = ["doc_id", "labelled", "detected", "foreign"]
+    counts = read.select(*keys, F.explode_outer(hashed).alias("line")).groupBy(*keys, "line").agg(F.expr("count(line) AS n"))
+    flagged = counts.groupBy(*keys).agg(F.expr("max(n) >= 3 AS repeated"))
+    return flagged.groupBy("labelled", "detected").agg(
+        F.expr("count(*) AS docs"), F.expr("count_if(foreign) AS foreign_script_docs"), F.expr("count_if(repeated) AS repeated_line_docs"),
+        F.expr("bround(count_if(foreign) / count(*), 4) AS foreign_rate"))

@@ -222,7 +222,7 @@ def _union(rows, facts: str) -> str:
 
 
 #: Every gate over one set of documents: a document has its blocks, its page, its reports and its catalog under one id.
-_ALL = (
+ALL_SQL = (
     SQL + _G1_FACTS.replace("gf AS", "gf1 AS", 1) + _G2_FACTS.replace("gf AS", "gf2 AS", 1)
     + _PO.replace("gf AS", "gf2o AS", 1) + ", " + _G3_FACTS.removeprefix("WITH ").replace("gf AS", "gf3 AS", 1)
     + f""", {_AXE}, {_ISS}, {_CAT.replace("gf AS", "gf4 AS", 1)}, {_VAL},
@@ -234,7 +234,7 @@ ck AS (""" + " UNION ALL ".join([
         _CLAUSES]) + ")")
 
 
-def _all_checks(spark, sf_dir) -> DataFrame:
+def all_checks(spark, sf_dir) -> DataFrame:
     corpus = seeded.corpus(spark, sf_dir)
     return reduce(DataFrame.unionByName, [
         G.g1(corpus), G.g2(corpus).filter("check_name <> 'page_order'"), gate_page_order(spark, sf_dir),
@@ -242,10 +242,10 @@ def _all_checks(spark, sf_dir) -> DataFrame:
         gate_checker_fallback(spark, sf_dir), gate_pdfua_clauses(spark, sf_dir)])
 
 
-@query("gate_rollup", _ALL + f""" SELECT doc_id, gate_id, CASE WHEN gate_id = '{G.PDFUA}' THEN bool_and(status = 'pass') ELSE bool_and(status <> 'hard_fail') END AS passed
+@query("gate_rollup", ALL_SQL + f""" SELECT doc_id, gate_id, CASE WHEN gate_id = '{G.PDFUA}' THEN bool_and(status = 'pass') ELSE bool_and(status <> 'hard_fail') END AS passed
  FROM ck GROUP BY doc_id, gate_id""")
 def gate_rollup(spark, sf_dir):
-    return G.gate_rollup(_all_checks(spark, sf_dir))
+    return G.gate_rollup(all_checks(spark, sf_dir))
 
 
 _SUMMARY = """, sm AS (SELECT doc_id, count(*) AS total_checks, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'soft_fail') AS soft_fails,
@@ -254,12 +254,12 @@ _SUMMARY = """, sm AS (SELECT doc_id, count(*) AS total_checks, count(*) FILTER
 sm1 AS (SELECT *, CASE WHEN p0_count > 0 THEN 'block' WHEN p1_count > 0 THEN 'flag_hitl' ELSE 'proceed' END AS decision, CASE WHEN hard_fails > 0 THEN 'fail' ELSE 'pass' END AS overall FROM sm)"""
 
 
-@query("ledger_summary", _ALL + _SUMMARY + " SELECT * FROM sm1")
+@query("ledger_summary", ALL_SQL + _SUMMARY + " SELECT * FROM sm1")
 def ledger_summary(spark, sf_dir):
-    return G.ledger_summary(_all_checks(spark, sf_dir))
+    return G.ledger_summary(all_checks(spark, sf_dir))
 
 
-@query("publishable_verdict", _ALL + f""", pv AS (SELECT doc_id, bool_or(check_name = 'adobe_checker_pass' AND status = 'pass') AS ok,
+@query("publishable_verdict", ALL_SQL + f""", pv AS (SELECT doc_id, bool_or(check_name = 'adobe_checker_pass' AND status = 'pass') AS ok,
  list_sort(list(DISTINCT check_name) FILTER (priority = 'P0' AND status <> 'pass')) AS n0, count(*) FILTER (priority = 'P0' AND status <> 'pass') AS p0,
  list_sort(list(DISTINCT check_name) FILTER (priority = 'P1' AND status <> 'pass')) AS na, count(*) FILTER (priority = 'P1' AND status <> 'pass') AS pa,
  list_sort(list(DISTINCT check_name) FILTER (priority = 'P1' AND status <> 'pass' AND check_name <> 'verapdf_available')) AS nb,
@@ -269,14 +269,14 @@ SELECT doc_id, p0 = 0 AND p1 = 0 AS publishable, CASE WHEN p0 > 0 THEN concat('D
  WHEN p1 > 0 THEN concat('Document has ', p1, ' P1 issue(s) requiring HITL sign-off: ', array_to_string(n1, ', '))
  ELSE 'No P0 or P1 issues — document is publishable' END AS reason FROM pw""")
 def publishable_verdict(spark, sf_dir):
-    return G.publishable(_all_checks(spark, sf_dir))
+    return G.publishable(all_checks(spark, sf_dir))
 
 
-@query("validation_ledger", _ALL + _SUMMARY + """, gl AS (SELECT doc_id, gate_id, count(*) AS n_check, bool_and(status <> 'hard_fail') AS passed FROM ck GROUP BY ALL)
+@query("validation_ledger", ALL_SQL + _SUMMARY + """, gl AS (SELECT doc_id, gate_id, count(*) AS n_check, bool_and(status <> 'hard_fail') AS passed FROM ck GROUP BY ALL)
 SELECT doc_id, string_agg(concat(gate_id, ':', n_check, ':', passed), ',' ORDER BY gate_id) AS gates, first(decision) AS decision, first(overall) AS overall
 FROM gl JOIN sm1 s USING (doc_id) GROUP BY doc_id""".replace("FROM gl JOIN sm1 s", "FROM gl JOIN (SELECT doc_id, decision, overall FROM sm1) s"))
 def validation_ledger(spark, sf_dir):
-    checks = _all_checks(spark, sf_dir)
+    checks = all_checks(spark, sf_dir)
     doc = checks.select("doc_id").distinct().withColumn("filename", F.concat(F.lit("f"), "doc_id"))
     return G.ledger(checks, doc).selectExpr(
         "doc_id", "array_join(transform(gates, g -> concat(g.gate_id, ':', size(g.checks), ':', g.passed)), ',') AS gates",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagelight.operators import checks, reports
+from pagelight.plans import gates
 from pagelight.plans.checks import SQL_FACTS, SQL_FINDINGS, seeded_flags
 from pagelight.plans.registry import query
 from pagelight.sources import dimensions, seeded
@@ -93,7 +94,7 @@ FROM (SELECT f.*, coalesce(nullif(element_id, ''), 'wcag_' || replace(criterion,
  FROM finding f JOIN (SELECT criterion, ord FROM rule) r USING (criterion) WHERE status = 'fail')""")
 def review_priority_order(spark, sf_dir):
     found = findings(spark, sf_dir)
-    rules = F.broadcast(dimensions.rules(spark).select("criterion", "ord"))
+    rules = dimensions.rules(spark).select("criterion", "ord")
     rows = reports.proposals(found).join(rules, "criterion")
     ranked = reports.ranked(rows, ["ord", "page", "proposal_id", "issue"])
     return ranked.select("doc_id", "criterion", "page", "issue", "priority", "proposal_id",
@@ -223,7 +224,7 @@ SELECT doc_id, criterion, coalesce(concat_ws('; ', t, 'Failures: ' || f), '') AS
 FROM app LEFT JOIN refs USING (criterion)""")
 def rule_technique_join(spark, sf_dir):
     refs = dimensions.technique_refs(dimensions.rules(spark), dimensions.bridge(spark))
-    return _applicable(spark, sf_dir).select("doc_id", "criterion").join(F.broadcast(refs), "criterion", "left").select(
+    return _applicable(spark, sf_dir).select("doc_id", "criterion").join(refs, "criterion", "left").select(
         "doc_id", "criterion", "technique_refs")
 
 
@@ -408,12 +409,16 @@ _REVIEW = """items AS (SELECT doc_id, block_id, c.category, c.severity FROM bloc
  ELSE block_type = 'form_field' END)"""
 
 
-@query("review_needed", SQL_FACTS + f", {_REVIEW} SELECT * FROM items")
+_REVIEW = f"""{_REVIEW}, needed AS (SELECT * FROM items UNION ALL SELECT doc_id, check_name,
+ CASE WHEN starts_with(check_name, 'axe_') THEN 'browser_violation' ELSE 'gate_soft_fail' END, severity FROM ck WHERE status = 'soft_fail')"""
+
+
+@query("review_needed", gates.ALL_SQL + f", {_REVIEW} SELECT * FROM needed")
 def review_needed(spark, sf_dir):
-    return reports.review_needed(seeded.corpus(spark, sf_dir))
+    return reports.review_needed(seeded.corpus(spark, sf_dir), gates.all_checks(spark, sf_dir))
 
 
-@query("review_needed_counts", SQL_FACTS + f""", {_REVIEW} SELECT category, severity, count(*) AS n FROM items
+@query("review_needed_counts", gates.ALL_SQL + f""", {_REVIEW} SELECT category, severity, count(*) AS n FROM needed
  GROUP BY GROUPING SETS ((category), (severity))""")
 def review_needed_counts(spark, sf_dir):
     return reports.review_counts(review_needed(spark, sf_dir))

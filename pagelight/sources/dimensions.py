@@ -136,7 +136,7 @@ def technique_refs(rule: DataFrame, xref: DataFrame) -> DataFrame:
 
     parts = (
         rule.alias("r")
-        .join(F.broadcast(xref.alias("x")), "criterion", "left")
+        .join(xref.alias("x"), "criterion", "left")
         .groupBy("criterion")
         .agg(ids("technique").alias("t"), ids("failure").alias("f"))
     )
