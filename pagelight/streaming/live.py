@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,12 +27,58 @@ def live_session_counts(stream: DataFrame, gap: str, late: str = "10 minutes") -
     return events.session_counts(stream.withWatermark("ts", late), gap)
 
 
-def live_stage_durations(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Finished stages; one row per (run, stage) and hour once the hour is closed."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "run_id", "stage").agg(
-        F.expr("min(CASE WHEN phase = 'start' THEN ts END) AS started"),
-        F.expr("max(CASE WHEN phase = 'end' THEN ts END) AS ended"),
-    ).selectExpr("run_id", "stage", "timestampdiff(MICROSECOND, started, ended) / 1000000.0D AS duration_s")
+def _ttl(idle: float | None) -> int | None:
+    return None if idle is None else int(idle * 1000)
+
+
+def _time_mode(idle: float | None) -> str:
+    """State expires by processing time, for which a stream must stay up: it never counts as having nothing to do."""
+    return "None" if idle is None else "ProcessingTime"
+
+
+def _in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    """The rows of one key and trigger in order, however many batches they come in; the size of a trigger bounds them."""
+    return pd.concat(list(rows)).sort_values(order)
+
+
+class StageRuns(StatefulProcessor):
+    """Keeps the open start of one (run, stage)."""
+
+    def __init__(self, idle: float | None):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", "ts timestamp", _ttl(self.idle))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        started = self.open.get()[0] if self.open.exists() else None
+        spans = []
+        part = _in_order(rows, ["ts", "event_id"])
+        for phase, ts in zip(part["phase"], part["ts"]):
+            if phase == "start":
+                started = ts
+            elif phase == "end" and started is not None:
+                spans.append(round((ts - pd.Timestamp(started)).total_seconds(), 3))
+                started = None
+        if started is None:
+            self.open.clear()
+        else:
+            self.open.update((pd.Timestamp(started).to_pydatetime(),))
+        yield pd.DataFrame({"run_id": key[0], "stage": key[1], "duration_s": pd.Series(spans, dtype="float64")})
+
+    def close(self) -> None:
+        pass
+
+
+def live_stage_durations(stream: DataFrame, idle: float | None = None) -> DataFrame:
+    """One row per finished run of a (run, stage), whenever it started; needs the RocksDB state store.
+
+    Events of a key arrive in time order from trigger to trigger; ``stream`` has run_id, stage, phase, ts, event_id.
+    The open start of a key that is quiet for ``idle`` seconds is dropped; without ``idle`` it waits for its end.
+    """
+    return stream.groupBy("run_id", "stage").transformWithStateInPandas(
+        statefulProcessor=StageRuns(idle), outputStructType="run_id string, stage string, duration_s double",
+        outputMode="Append", timeMode=_time_mode(idle))
 
 
 def live_envelopes(stream: DataFrame) -> DataFrame:
@@ -41,42 +88,42 @@ def live_envelopes(stream: DataFrame) -> DataFrame:
 class Admission(StatefulProcessor):
     """Keeps the admitted times of the last window of one (client, bucket)."""
 
-    def __init__(self, limits: dict[str, int], window: float):
-        self.limits, self.window = limits, window
+    def __init__(self, limits: dict[str, int], window: float, idle: float | None):
+        self.limits, self.window, self.idle = limits, window, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", "t double")
+        self.times = handle.getListState("times", "t double", _ttl(self.idle))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         client, bucket = key
-        kept = sorted(r[0] for r in self.times.get())
-        for batch in rows:
-            batch = batch.sort_values(["t", "id"])
-            ok, wait = [], []
-            for t in batch["t"]:
-                kept = [k for k in kept if t - k < self.window]
-                if len(kept) >= self.limits[bucket]:
-                    ok.append(False)
-                    wait.append(int(self.window - (t - kept[0])) + 1)
-                else:
-                    kept.append(t)
-                    ok.append(True)
-                    wait.append(0)
-            yield pd.DataFrame({"client": client, "bucket": bucket, "id": batch["id"], "t": batch["t"], "admitted": ok,
-                                "retry_after": wait})
+        kept = deque(sorted(r[0] for r in self.times.get()))
+        part = _in_order(rows, ["t", "id"])
+        ok, wait = [], []
+        for t in part["t"]:
+            while kept and t - kept[0] >= self.window:
+                kept.popleft()
+            free = len(kept) < self.limits[bucket]
+            ok.append(free)
+            wait.append(0 if free else int(self.window - (t - kept[0])) + 1)
+            if free:
+                kept.append(t)
         if kept:
             self.times.put([(float(k),) for k in kept])
         else:
             self.times.clear()
+        yield pd.DataFrame({"client": client, "bucket": bucket, "id": part["id"], "t": part["t"], "admitted": ok, "retry_after": wait})
 
     def close(self) -> None:
         pass
 
 
-def live_admission(request: DataFrame, limits: dict[str, int], window: float = events.WINDOW_SECONDS) -> DataFrame:
-    """Admission with list state per key; needs the RocksDB state store."""
+def live_admission(
+    request: DataFrame, limits: dict[str, int], window: float = events.WINDOW_SECONDS, idle: float | None = None
+) -> DataFrame:
+    """Admission with list state per key; needs the RocksDB state store.  The times of a key
+    that is quiet for ``idle`` seconds, more than ``window``, are dropped; without ``idle`` they stay."""
     return request.groupBy("client", "bucket").transformWithStateInPandas(
-        statefulProcessor=Admission(limits, window),
+        statefulProcessor=Admission(limits, window, idle),
         outputStructType="client bigint, bucket string, id bigint, t double, admitted boolean, retry_after int",
-        outputMode="Append", timeMode="None",
+        outputMode="Append", timeMode=_time_mode(idle),
     )

@@ -28,6 +28,34 @@ def test_live_admission_matches_batch(spark, tmp_path):
     assert got == want and not all(want.values())
 
 
+def test_live_admission_sorts_a_trigger_of_several_batches(spark, tmp_path):
+    rows = [(1, "default", i, float((i * 37) % 100)) for i in range(100)]
+    schema = "client bigint, bucket string, id bigint, t double"
+    src = str(tmp_path / "mixed")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = run(live.live_admission(live.read_events(spark, src, schema), {"default": 4}, 20.0), "mixed", tmp_path)
+        got = {r["id"]: r["admitted"] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {r["id"]: r["admitted"] for r in events.admission(spark.createDataFrame(rows, schema), {"default": 4}, 20.0).collect()}
+    assert got == want and 0 < sum(want.values()) < 100
+
+
+def test_live_stages_cross_hours_and_triggers(spark, tmp_path):
+    schema = "run_id string, stage string, phase string, ts timestamp, event_id bigint"
+    src = str(tmp_path / "stages")
+    batches = [[("r", "a", "start", 3590, 1), ("r", "b", "end", 10, 2)], [("r", "a", "end", 3610, 3), ("r", "a", "start", 3620, 4)],
+               [("r", "a", "end", 3625, 5), ("r", "a", "end", 3630, 6)]]
+    for part in batches:
+        spark.createDataFrame(part, "run_id string, stage string, phase string, t bigint, event_id bigint").selectExpr(
+            "run_id", "stage", "phase", "timestamp_seconds(t) AS ts", "event_id").coalesce(1).write.mode("append").parquet(src)
+    got = run(live.live_stage_durations(live.read_events(spark, src, schema)), "stages", tmp_path).collect()
+    assert sorted((r["run_id"], r["stage"], r["duration_s"]) for r in got) == [("r", "a", 5.0), ("r", "a", 20.0)]
+
+
 def test_live_windows(spark, tmp_path):
     src = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     path = str(tmp_path / "ev")
