@@ -3,11 +3,13 @@
 A page is read as lines, one per block element.  Structure settles most of them: what stands in
 an article or main element is text, what stands in navigation, footers, notices and the like is
 not.  The remaining lines are settled by the page whose path is nearest among those of the
-host: the lines of both are aligned by their longest common subsequence, and shared lines go.
+host that hold other content: the lines of both are aligned by their longest common subsequence,
+and shared lines go.  Copies of one content tell nothing about each other's lines.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -164,7 +166,7 @@ def _address(url: str | None) -> tuple[str, str]:
 
 def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        host, path, lists, open_lines = [], [], [], []
+        host, path, lists, open_lines, content = [], [], [], [], []
         for url, page in zip(words.column(batch, "url").to_pylist(), words.column(batch, "html").to_pylist()):
             address = _address(url)
             host.append(address[0])
@@ -172,10 +174,12 @@ def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = page_lines(page or "")
             lists.append(_hashes([text for text, _ in lines]))
             open_lines.append(any(kind == OPEN for _, kind in lines))
+            kept = lists[-1][np.array([kind != CHROME for _, kind in lines], bool)]
+            content.append(int.from_bytes(hashlib.blake2b(kept.tobytes(), digest_size=8).digest(), "little", signed=True))
         yield pa.RecordBatch.from_arrays(
             [words.column(batch, "doc_id"), words.column(batch, "print"), pa.array(host, pa.string()), pa.array(path, pa.string()),
-             pa.array(lists, pa.list_(pa.int64())), pa.array(open_lines, pa.bool_())],
-            names=["doc_id", "print", "host", "path", "lines", "open"])
+             pa.array(lists, pa.list_(pa.int64())), pa.array(open_lines, pa.bool_()), pa.array(content, pa.int64())],
+            names=["doc_id", "print", "host", "path", "lines", "open", "content"])
 
 
 def _hashes(lines: list[str]) -> np.ndarray:
@@ -223,7 +227,10 @@ def main_text(html: DataFrame) -> DataFrame:
     """(doc_id, url, text, lines_deleted) of every row of ``html`` (doc_id, url, html).
 
     ``text`` joins the lines that stay by line feeds.  Null and empty html gives the empty text; a null or
-    broken url is a page of the host without a name.  A page without another of its host has no shared line.
+    broken url is a page of the host without a name.  Pages of a host with the same lines, chrome aside, are copies
+    (print views, parameters, mirror paths) and never partners.  A page without another content on its host has no
+    shared line and keeps its open ones.  An open line that the partner has too is taken for furniture, also where
+    the partner quotes it or is a copy with changes.
     Rows that repeat an id, url and html repeat their answer.  An empty frame gives no rows.  Further columns
     are ignored.
 
@@ -232,23 +239,40 @@ def main_text(html: DataFrame) -> DataFrame:
     """
     pages = html.select("doc_id", "url", "html", F.xxhash64("url", "html").alias("print"))
     lines = pages.mapInArrow(
-        _line_hashes, "doc_id long, print long, host string, path string, lines array<long>, open boolean").distinct()
+        _line_hashes,
+        "doc_id long, print long, host string, path string, lines array<long>, open boolean, content long").distinct()
     place = ["host", "path", "doc_id", "print"]
     ranged = cut(lines.repartitionByRange(*place).withColumn("range", F.spark_partition_id()))
-    row = F.struct("host", "path", "lines")
-    inside = Window.partitionBy("range").orderBy(*place)
-    ends = ranged.groupBy("range").agg(
-        F.min_by(row, F.struct(*place)).alias("first"), F.max_by(row, F.struct(*place)).alias("last"))
-    over = Window.partitionBy().orderBy("range")  # one row per range
-    ends = ends.select("range", F.lag("last").over(over).alias("earlier"), F.lead("first").over(over).alias("later"))
-
-    def of_host(other):
-        return F.when(other["host"] == F.col("host"), other)
-
-    neighbours = ranged.withColumns({"previous": F.lag(row).over(inside), "next": F.lead(row).over(inside)}).filter("open").join(
-        ends, "range").select(
+    row = F.struct("host", "path", "lines", "content")
+    up = Window.partitionBy("range").orderBy(*place)
+    down = Window.partitionBy("range").orderBy(*[F.desc(name) for name in place])
+
+    def other(neighbour, own):
+        """The neighbour where a run of one content ends."""
+        return F.when((neighbour["host"] != own["host"]) | (neighbour["content"] != own["content"]), neighbour)
+
+    def last(candidate, order):
+        return F.last(candidate, ignorenulls=True).over(order)
+
+    # The neighbours of a run stand at its border: null within the first and last run of a range.
+    runs = ranged.withColumn("row", row).withColumn("before", last(other(F.lag("row").over(up), F.col("row")), up))
+    runs = runs.withColumn("after", last(other(F.lag("row").over(down), F.col("row")), down))
+    ends = runs.groupBy("range").agg(
+        F.min_by("row", F.struct(*place)).alias("first"), F.max_by("row", F.struct(*place)).alias("last"),
+        F.min_by("after", F.struct(*place)).alias("second"), F.max_by("before", F.struct(*place)).alias("last_but_one"))
+    # One row per range.  A run that fills ranges takes its neighbour from beyond them.
+    upward, downward = Window.partitionBy().orderBy("range"), Window.partitionBy().orderBy(F.desc("range"))
+    ends = ends.select(
+        "range",
+        last(F.coalesce(other(F.lag("last").over(upward), F.col("first")), F.lag("last_but_one").over(upward)), upward).alias("earlier"),
+        last(F.coalesce(other(F.lag("first").over(downward), F.col("last")), F.lag("second").over(downward)), downward).alias("later"))
+
+    def of_host(page):
+        return F.when(page["host"] == F.col("host"), page)
+
+    neighbours = runs.filter("open").join(ends, "range").select(
         "doc_id", "print", "path", "lines",
-        of_host(F.coalesce("previous", "earlier")).alias("before"), of_host(F.coalesce("next", "later")).alias("after"))
+        of_host(F.coalesce("before", "earlier")).alias("before"), of_host(F.coalesce("after", "later")).alias("after"))
     shared = neighbours.mapInArrow(_shared, "doc_id long, print long, shared array<int>").filter("size(shared) > 0")
     shared = shared.withColumnsRenamed({"doc_id": "__doc", "print": "__print"})
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("print") == F.col("__print"))

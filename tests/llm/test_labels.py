@@ -224,3 +224,28 @@ def test_main_text(spark):
     assert got[100] == "Logo\nalone one\nalone two\nImpressum" and got[101] == got[102] == ""
     assert got[103] == got[104] == "same one\nsame two"
     assert pages.main_text(frame).count() == len(rows) and pages.main_text(frame.limit(0)).count() == 0
+
+
+def test_main_text_of_copies(spark):
+    def page(own, menu=""):
+        return f"<nav>{menu}</nav><div>Logo</div><div><p>{own} one</p><p>{own} two</p></div><div>Impressum</div>"
+
+    rows = [(0, "http://h.org/a", page("two")), (1, "http://h.org/a/print", page("two", "Back")), (2, "http://h.org/b", page("other"))]
+    rows += [(i, "http://h.org/c?page=%d" % i, page("many")) for i in range(10, 80)]
+    rows += [(i, f"http://h.org/d/{i}", page("more")) for i in range(80, 90)]
+    rows += [(i, f"http://copies.org/{i}", page("only")) for i in range(90, 95)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, url string, html string")
+    want = {i: page.split("<p>")[1].split(" one")[0] for i, _, page in rows}
+    # One range, and ranges that a run of copies fills or crosses.
+    for ranges in (1, 7, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = {r["doc_id"]: r["text"] for r in pages.main_text(frame).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(got) == len(rows)
+        for i, own in want.items():
+            kept = f"{own} one\n{own} two"
+            assert got[i] == (f"Logo\n{kept}\nImpressum" if own == "only" else kept), (ranges, i, got[i])
