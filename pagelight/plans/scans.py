@@ -77,6 +77,31 @@ def ocr_layout_scan(spark, sf_dir):
     return S.scan_ocr(body).selectExpr("doc_id", "block_type", "ord", "content", "array_join(headers, '|') AS headers", "array_join(flatten(rows), '|') AS rows")
 
 
+def _cell(start: str, end: str) -> str:
+    return f"named_struct('segments', array(named_struct('start', cast(least(n, {start}) AS int), 'end', cast(least(n, {end}) AS int))))"
+
+
+@query("ocr_layout_scan_whole", """WITH d AS (SELECT doc_id, replace(replace(text, chr(10), ' '), chr(9), ' ') AS ftxt FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, 'paragraph' AS block_type, k AS ord, trim(substr(ftxt, k * 200 + 1, 200)) AS content, '' AS headers, '' AS rows FROM (SELECT *, unnest(range(0, (length(ftxt) + 199) // 200)) AS k FROM d)),
+t AS (SELECT doc_id, 'table', 0, '', trim(substr(ftxt, 1, 15)) || '|' || trim(substr(ftxt, 16, 25)),
+ array_to_string(list_transform(range(0, (greatest(length(ftxt) - 40, 0) + 99) // 100 * 2), lambda r: trim(substr(ftxt, 41 + 50 * r, 50))), '|') FROM d WHERE doc_id % 2 = 0)
+SELECT * FROM p WHERE content <> '' UNION ALL SELECT * FROM t""")
+def ocr_layout_scan_whole(spark, sf_dir):
+    """Paragraphs of 200 characters in two segments and, of even documents, tables with rows of two cells: the last of each takes the rest."""
+    docs = seeded.read_table(spark, sf_dir, "documents").selectExpr("doc_id", "replace(replace(text, '\\n', ' '), '\\t', ' ') AS full").filter(
+        "full IS NOT NULL").selectExpr("*", "char_length(full) AS n")
+    segment = "named_struct('start', cast({} AS int), 'end', cast(least(n, {}) AS int))"
+    paras = f"""transform(sequence(0, greatest((n + 199) DIV 200 - 1, 0)), k -> named_struct('segments', array(
+     {segment.format("CASE WHEN k > 0 THEN k * 200 END", "k * 200 + 120")}, {segment.format("least(n, k * 200 + 120)", "k * 200 + 200")})))"""
+    heads = f"array(named_struct('cells', array({_cell('0', '3')})), named_struct('cells', array({_cell('0', '15')}, {_cell('15', '40')})))"
+    rows = f"""transform(filter(sequence(0, n DIV 100), r -> 40 + r * 100 < n), r -> named_struct('cells', array(
+     {_cell('40 + r * 100', '90 + r * 100')}, {_cell('90 + r * 100', '140 + r * 100')})))"""
+    tables = f"""filter(array(named_struct('headerRows', {heads}, 'bodyRows', {rows}), named_struct('headerRows', filter({heads}, x -> false), 'bodyRows', filter({rows}, x -> false))),
+     t -> doc_id % 2 = 0)"""
+    body = docs.selectExpr("doc_id", f"to_json(named_struct('text', full, 'pages', array(named_struct('paragraphs', {paras}, 'tables', {tables})))) AS body")
+    return S.scan_ocr(body).selectExpr("doc_id", "block_type", "ord", "content", "array_join(headers, '|') AS headers", "array_join(flatten(rows), '|') AS rows")
+
+
 _ENV = """CASE event_id % 7 WHEN 0 THEN '{"other":1}' WHEN 1 THEN '{"message":{}}' WHEN 2 THEN '{"message":{"data":"***"}}' WHEN 3 THEN concat('{"message":{"data":"', base64(encode(concat('not json ', event_id), 'UTF-8')), '"}}')
  ELSE concat('{"message":{"data":"', base64(encode(props, 'UTF-8')), '"}}') END"""
 
