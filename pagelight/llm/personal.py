@@ -32,9 +32,21 @@ CARD_RUN = re.compile(r"[0-9\x20-]+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SCHEMES = ("http", "https", "ftp", "ftps", "sftp", "ssh", "ws", "wss")
 URL_REST = re.compile(r"[^\s<>\"'`|\\^{}]+")
-#: Words that announce an identifier.
-CUES = ("account", "acct", "iban", "swift", "token", "secret", "password", "passwd", "api_key", "apikey", "customer no", "konto", "cuenta", "compte")
-ACCOUNT = re.compile(r"(?:\s{0,2}(?:number|no\.?|nr\.?|id|key))?\s{0,2}[:=#]?\s{0,2}[\"']?([A-Za-z0-9][A-Za-z0-9_-]{5,})")
+#: Words that announce an identifier, by what is checked.
+CUES = {
+    "account": ("account", "acct", "customer no", "konto", "cuenta", "compte"),
+    "iban": ("iban",),
+    "swift": ("swift",),
+    "secret": ("token", "secret", "password", "passwd", "api_key", "apikey"),
+}
+# Between a cue and its identifier: a word, a separator and a quote, with any run of blanks.  Runs are not given back.
+_WORD = r"(?i:numbers?|nummer|n[uú]mero|num[eé]ro|code|no\.?|nr\.?|n[°º]|id|key)"
+GAP = rf"[.\"']?\s*+(?:-?{_WORD}[.\"']?\s*+)?(?:[:=#]\s*+)?[\"']?"
+RUN = re.compile(rf"{GAP}([A-Za-z0-9][A-Za-z0-9_-]{{5,}})")
+GROUPS = re.compile(rf"{GAP}((?=[A-Za-z]*[0-9])[A-Za-z0-9]{{1,6}}(?:[ -][0-9]{{1,6}}(?![A-Za-z0-9_]))+)")
+IBAN = re.compile(rf"{GAP}([A-Z]{{2}}[0-9]{{2}}(?:[ -]?[A-Z0-9]){{11,32}}|[a-z]{{2}}[0-9]{{2}}(?:[ -]?[a-z0-9]){{11,32}})(?![A-Za-z0-9])")
+BIC = re.compile(rf"{GAP}([A-Z]{{6}}[A-Z0-9]{{2}}(?:[A-Z0-9]{{3}})?)(?![A-Za-z0-9_])")
+SECRET = re.compile(r"[\"']?\s*+[:=]\s*+[\"']?([^\s\"'`<>,;&]+)")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -44,9 +56,10 @@ def _automaton() -> ahocorasick.Automaton:
     out.add_word("@", "at")
     out.add_word("+", "plus")
     out.add_word("://", "scheme")
-    for cue in CUES:
-        for form in {cue, cue.capitalize(), cue.upper()}:
-            out.add_word(form, "cue")
+    for kind, cues in CUES.items():
+        for cue in cues:
+            for form in {cue, cue.capitalize(), cue.upper()}:
+                out.add_word(form, kind)
     out.make_automaton()
     return out
 
@@ -59,6 +72,46 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_end(value: str) -> int:
+    """Length of the longest beginning of whole groups that passes mod 97, with 15 to 34 characters besides blanks and hyphens; else 0."""
+    found = n = rest = 0
+    head = ""
+    for i, c in enumerate(value):
+        if c in " -":
+            continue
+        n += 1
+        if n > 34:
+            break
+        digits = str(int(c, 36))
+        if n <= 4:
+            head += digits
+        else:
+            rest = (rest * 10 ** len(digits) + int(digits)) % 97
+        if n >= 15 and (i + 1 == len(value) or value[i + 1] in " -") and (rest * 10 ** len(head) + int(head)) % 97 == 1:
+            found = i + 1
+    return found
+
+
+def find_account(text: str, at: int, cue: str) -> tuple[int, int] | None:
+    """Place of the identifier that follows a cue which ends before ``at``."""
+    m = IBAN.match(text, at)
+    if m and (n := iban_end(m[1])):
+        return m.start(1), m.start(1) + n
+    if cue == "iban":
+        return None
+    if cue == "swift" and (m := BIC.match(text, at)):
+        return m.span(1)
+    if cue == "secret" and (m := SECRET.match(text, at)):
+        secret = m[1].rstrip(".:!?)]}")
+        if len(secret) >= (8 if secret.isalpha() else 6):
+            return m.start(1), m.start(1) + len(secret)
+    forms = [m for form in ((GROUPS, RUN) if cue == "account" else (RUN,)) if (m := form.match(text, at))]
+    m = max(forms, key=lambda m: m.end(1), default=None)
+    if m and sum(c in "0123456789" for c in m[1]) >= 4 and len(m[1].replace(" ", "")) >= 6:
+        return m.span(1)
+    return None
+
+
 def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind in the order of KINDS, then start; places are code points, ends exclusive."""
     found: dict[str, list[tuple[int, int]]] = {}
@@ -106,10 +159,11 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, i
                     add("url", start, end)
                     done["url"] = end
         else:
-            m = ACCOUNT.match(text, at + 1)
-            if m and m.start(1) >= done["account"] and sum(c in "0123456789" for c in m[1]) >= 4:
-                add("account", m.start(1), m.end(1))
-                done["account"] = m.end(1)
+            # A cue within an identifier that is found announces none.
+            place = find_account(text, at + 1, anchor) if at >= done["account"] else None
+            if place:
+                add("account", *place)
+                done["account"] = place[1]
     return [(kind, *span) for kind in KINDS for span in sorted(found.get(kind, ()))]
 
 
@@ -118,7 +172,12 @@ def personal_data(block: DataFrame) -> DataFrame:
 
     Emails, ip addresses, cards (16 to 19 digits that pass Luhn) and phones (8 to 15 digits) are leftmost and
     do not overlap within a kind; what fails its check is dropped and not searched again.  The method adds urls
-    and account identifiers after a cue.  Whole content counts; places are code points, ends exclusive, spans are
+    and account identifiers after a cue, any run of blanks and a word such as "number" between them: IBANs in groups or
+    not, of whole groups that pass mod 97 (what follows an IBAN cue and does not pass is dropped); bank codes of 8 or 11
+    capitals and digits after "swift"; after "token", "password" and the like with a colon or equals sign the text up to
+    a blank, quote, comma, semicolon or ampersand, of 6 characters, or 8 if it is letters only; and runs of 6 characters
+    with 4 digits, after an account cue also groups of at most 6 characters joined by single blanks or hyphens.
+    Whole content counts; places are code points, ends exclusive, spans are
     listed by kind and start.  Null, empty and other content without personal data has an empty list.  Repeated
     rows repeat.  An empty block gives no rows.  Further columns of ``block`` are ignored.
     """

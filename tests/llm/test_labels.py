@@ -116,6 +116,33 @@ def test_personal_data(spark, block, nothing):
     assert personal.personal_data(block).count() == block.count() and personal.personal_data(nothing).count() == 0
 
 
+@pytest.mark.parametrize("t,want", [
+    ("IBAN: DE89 3704 0044 0532 0130 00 is mine", ["DE89 3704 0044 0532 0130 00"]),
+    ("IBAN GB82-WEST-1234-5698-7654-32.", ["GB82-WEST-1234-5698-7654-32"]),
+    ("IBAN: DE89370400440532013000", ["DE89370400440532013000"]),
+    ("Account number: GB82 WEST 1234 5698 7654 32", ["GB82 WEST 1234 5698 7654 32"]),
+    ("iban: DE88 3704 0044 0532 0130 00", []),
+    ("Konto: 123 456 789", ["123 456 789"]),
+    ("Konto-Nr.: 123-456-789, Bank", ["123-456-789"]),
+    ("Kontonummer 12345678 10 Euro", ["12345678"]),
+    ("Account number:          12345678", ["12345678"]),
+    ("Account        number        12345678 of 2020", ["12345678"]),
+    ("account of 12 months in 2020", []),
+    ("SWIFT: DEUTDEFF500", ["DEUTDEFF500"]),
+    ("password: hunter22x", ["hunter22x"]),
+    ("password=hunter2.", ["hunter2"]),
+    ('{"password": "correct", "api_key": "correcthorse", "secret": "p@ss!w"}', ["correcthorse", "p@ss!w"]),
+    ('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and', ["04dbebab91ab85687d33eeaaf9ac699e1188f962"]),
+    ("token abc12345 and a secret garden", ["abc12345"]),
+    ("customer no. 123456", ["123456"]),
+    ("account 12-345678-1234567", ["12-345678-1234567"]),
+    ("account" + " " * 200_000, []),
+])
+def test_account_forms(t, want):
+    spans = personal.find_spans(t, personal._automaton())
+    assert [t[a:b] for kind, a, b in spans if kind == "account"] == want
+
+
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
