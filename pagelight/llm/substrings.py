@@ -71,12 +71,13 @@ def _runs(texts: words.Texts, window: int) -> tuple[np.ndarray, ...]:
 def _anchors(window: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            document = words.column(batch, "doc_id")
+            document, mark = words.column(batch, "doc_id"), words.column(batch, "print")
             for texts in words.slices(words.column(batch, "content")):
                 row, start, count, *hashes = _runs(texts, window)
                 yield pa.RecordBatch.from_arrays(
-                    [document.take(pa.array(row + texts.lo)), pa.array(start << RUN_BITS | count), *map(pa.array, hashes)],
-                    names=["doc_id", "place", "anchor", "run1", "run2"])
+                    [document.take(pa.array(row + texts.lo)), mark.take(pa.array(row + texts.lo)), pa.array(start << RUN_BITS | count),
+                     *map(pa.array, hashes)],
+                    names=["doc_id", "print", "place", "anchor", "run1", "run2"])
 
     return find
 
@@ -94,7 +95,8 @@ def _open_windows(window: int):
 
     def hash_them(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            document, places = words.column(batch, "doc_id"), words.column(batch, "places").to_pylist()
+            document, mark = words.column(batch, "doc_id"), words.column(batch, "print")
+            places = words.column(batch, "places").to_pylist()
             for texts in words.slices(words.column(batch, "content")):
                 if not any(places[texts.lo : texts.hi]):
                     continue
@@ -107,8 +109,9 @@ def _open_windows(window: int):
                 start = np.concatenate(own) + w.first[row]
                 hashes = [_range_hash(t, base, start, start + window).view(np.int64) for base, t in totals]
                 yield pa.RecordBatch.from_arrays(
-                    [document.take(pa.array(row + texts.lo)), pa.array(start - w.first[row] << RUN_BITS | 1), *map(pa.array, hashes)],
-                    names=["doc_id", "place", "window1", "window2"])
+                    [document.take(pa.array(row + texts.lo)), mark.take(pa.array(row + texts.lo)),
+                     pa.array(start - w.first[row] << RUN_BITS | 1), *map(pa.array, hashes)],
+                    names=["doc_id", "print", "place", "window1", "window2"])
 
     return hash_them
 
@@ -163,34 +166,35 @@ def remove_repeated_passages(block: DataFrame, window: int = WINDOW) -> DataFram
     Words are runs without white space, unchanged.  A word goes when it lies in ``window`` consecutive words that
     also occur, as words, in the content of a smaller doc_id; all windows are judged on the given content.
     What stays is joined by one space.  Null and empty content has no words and comes back empty; content of fewer than
-    ``window`` words stays whole.  Rows that share a doc_id are one document to each other.  A null doc_id
+    ``window`` words stays whole.  Rows that share a doc_id take nothing from each other, and each loses what its own text repeats.  A null doc_id
     loses nothing and takes nothing away.  An empty block gives no rows.  Further columns are ignored.
 
     Windows are known by 128-bit hashes.  An anchor's rows are aggregated before they are shuffled and
-    joined back, where skewed anchors are split; no group is gathered but the places of one document.
+    joined back, where skewed anchors are split; no group is gathered but the places of one text.
     """
     if not 2 <= window < 1 << RUN_BITS:
         raise ValueError("window must be at least 2 and less than 65536 words")
-    text = block.select("doc_id", F.coalesce("content", F.lit("")).alias("content"))
+    text = block.select("doc_id", F.coalesce("content", F.lit("")).alias("content")).withColumn("print", F.xxhash64("content"))
+    row = ["doc_id", "print"]  # places are those of one text, also where texts share a doc_id
     run = text.filter("doc_id IS NOT NULL").mapInArrow(
-        _anchors(window), "doc_id long, place long, anchor long, run1 long, run2 long")
+        _anchors(window), "doc_id long, print long, place long, anchor long, run1 long, run2 long")
     repeated = run.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter(
         "low < high").select("anchor")
     survivor = cut(run.join(repeated, "anchor"))
     # Level 2: equal runs first, then single windows where an anchor's runs differ.
     kind = survivor.groupBy("anchor", "run1", "run2").agg(F.min("doc_id").alias("first"))
     kinds = kind.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    judged = survivor.join(kind.join(kinds, "anchor"), ["anchor", "run1", "run2"]).select("doc_id", "place", "first", "kinds")
+    judged = survivor.join(kind.join(kinds, "anchor"), ["anchor", "run1", "run2"]).select(*row, "place", "first", "kinds")
     judged = cut(judged.filter("doc_id > first OR kinds > 1"))
-    by_document = F.collect_list("place")
-    covered = judged.filter("doc_id > first").groupBy("doc_id").agg(by_document.alias("runs"))
-    open_run = judged.filter("doc_id = first").groupBy("doc_id").agg(by_document.alias("places"))
+    by_text = F.collect_list("place")
+    covered = judged.filter("doc_id > first").groupBy(*row).agg(by_text.alias("runs"))
+    open_run = judged.filter("doc_id = first").groupBy(*row).agg(by_text.alias("places"))
     # The same left side as below, so that both joins read one exchange of the texts.
-    single = text.join(open_run, "doc_id", "left").mapInArrow(
-        _open_windows(window), "doc_id long, place long, window1 long, window2 long")
+    single = text.join(open_run, row, "left").mapInArrow(
+        _open_windows(window), "doc_id long, print long, place long, window1 long, window2 long")
     first = single.groupBy("window1", "window2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(
         "first < last").drop("last")
-    later = single.join(first, ["window1", "window2"]).filter("doc_id > first").groupBy("doc_id").agg(
-        by_document.alias("places"))
-    return text.join(covered, "doc_id", "left").join(later, "doc_id", "left").mapInArrow(
+    later = single.join(first, ["window1", "window2"]).filter("doc_id > first").groupBy(*row).agg(
+        by_text.alias("places"))
+    return text.join(covered, row, "left").join(later, row, "left").mapInArrow(
         _remover(window), "doc_id long, n_words long, n_removed long, content string")

@@ -155,6 +155,17 @@ def test_repeated_passages_of_given_rows(block, rows):
     assert substrings.remove_repeated_passages(block).count() == len(rows)
 
 
+def test_repeated_passages_of_a_repeated_id(spark, block, rows):
+    rng = random.Random(4)
+    passage = " ".join(f"p{k}" for k in range(60))
+    more = [(60, passage), (61, text(rng, 20) + " " + passage), (61, text(rng, 100)), (61, passage + " " + text(rng, 9)), (61, passage),
+            (62, text(rng, 70)), (62, passage[:200] + text(rng, 80) + " " + passage)]
+    given = [r[:2] for r in rows] + more
+    frame = block.select("doc_id", "content").union(spark.createDataFrame(more, "doc_id bigint, content string"))
+    got = substrings.remove_repeated_passages(frame).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute_passages(given, 50), key=key)
+
+
 def brute_contained(rows, golden):
     def parts(t):
         return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
