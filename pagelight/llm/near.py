@@ -1,9 +1,9 @@
-"""Joining content by the Jaccard similarity of its word shingles, with an LSH forest.
+"""Joining content by the Jaccard similarity of its word shingles, with fixed LSH banding.
 
-Content with equal shingle sets forms a class.  Every tree of the forest labels a class with a
-sequence of minimum hashes; classes are compared when they share a prefix of some tree.  The
-prefix is shortened from ``LABELS`` until pairs at the wanted similarity are found with the
-target probability.  What shares a prefix is brought together once, however many trees agree,
+Content with equal shingle sets forms a class.  Every tree labels a class with a sequence of
+minimum hashes; classes are compared when they share the prefix of some tree.  Its length is the
+same for all: the longest, up to ``LABELS``, with which pairs at the wanted similarity are found
+with the target probability.  No label beyond it is computed, no prefix is matched in rounds.  What shares a prefix is brought together once, however many trees agree,
 and the exact similarities decide.
 """
 
