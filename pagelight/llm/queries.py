@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelight.llm import decontaminate, exact, language, mixing, near, pages, personal, substrings, tokens, toxicity
+from pagelight.llm import decontaminate, exact, language, mixing, near, pages, periodic, personal, substrings, tokens, toxicity
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -158,3 +158,50 @@ def find_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokens.token_counts(blocks(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return found.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+#: DuckDB: unsigned CRC-32 of a number as decimal text.
+CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda e, i: xor(e >> 1, 3988292384 * (e & 1)))), 4294967295)"""
+
+
+@query("op12_periodic_runs", rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, {CRC.format("doc_id")} AS h FROM documents),
+a AS (SELECT *, len(words) AS n, (h // 10) % greatest(len(words), 1) AS a, 3 + (h // 10) % 8 AS parts FROM w),
+x AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN
+        list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END])
+        ELSE words END AS words FROM a),
+s AS (SELECT doc_id, n, i, md5(array_to_string(list_slice(words, i + 1, i + 6), ' ')) AS h
+      FROM (SELECT *, unnest(range(greatest(n - 5, 0))) AS i FROM x)),
+e AS (SELECT s.doc_id, s.i, t.i - s.i AS period FROM s JOIN s t USING (doc_id, h) WHERE t.i > s.i AND 2 * (t.i - s.i) <= s.n),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, period ORDER BY i) AS island FROM e),
+m AS (SELECT doc_id, min(i) AS start, max(i) - min(i) + 6 + period AS length, period FROM g GROUP BY doc_id, period, island),
+r AS (SELECT * FROM m WHERE length >= greatest(12, 2 * period)
+      QUALIFY row_number() OVER (PARTITION BY doc_id, start, length ORDER BY period) = 1),
+d AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period)) AS runs_sha256
+      FROM r GROUP BY doc_id),
+b AS (SELECT *, 1000 * length // period AS exponent_milli FROM r
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+o AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY i)) AS collapsed_sha256
+      FROM (SELECT doc_id, unnest(words) AS word, unnest(range(n)) AS i FROM x) ANTI JOIN o USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256,
+       coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+FROM x LEFT JOIN d USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)""")
+def find_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document, by the CRC of its id, has its words from one place on repeated with one period."""
+    given = blocks(spark, sf_dir).select("doc_id", "content", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    cut_up = F.filter(F.split(F.col("content"), r"[\x20\x09-\x0D]+"), lambda word: word != "")
+    repeated = F.expr("""array_join(transform(words, (word, i) -> get(words, cast(
+        if(i < a, i, a + (i - a) % (1 + (size(words) - a) div (3 + g % 8))) AS int))), ' ')""")
+    block = (
+        given.withColumn("words", F.when(F.expr("h % 10 = 0"), cut_up)).withColumn("g", F.expr("h div 10"))
+        .withColumn("a", F.expr("g % nullif(size(words), 0)"))
+        .select("doc_id", F.when(F.expr("size(words) > 0"), repeated).otherwise(F.col("content")).alias("content"))
+    )
+    found = periodic.periodic_runs(block).withColumn("best", periodic.longest_run("runs"))
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("content", 256).alias("collapsed_sha256"))

@@ -175,5 +175,23 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return row[fresh], value[fresh]
 
 
+def kept_text(texts: Texts, w: Words, keep: np.ndarray) -> pa.Array:
+    """The texts reduced to the words ``keep`` marks, joined by one space."""
+    # The byte before a word that is not the first is white space: it becomes the one space.
+    data = texts.data.copy()
+    start, end, row = w.start[keep], w.end[keep], w.row[keep]
+    later = np.ones(len(row), bool)
+    later[1:] = row[1:] == row[:-1]
+    later[:1] = False
+    data[start[later] - 1] = 0x20
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start - later] += 1
+    edge[end] -= 1
+    mask = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    places = np.concatenate([[0], np.cumsum(mask)])[texts.offsets]
+    return pa.StringArray.from_buffers(
+        texts.n, pa.py_buffer(places.astype(np.int32).tobytes()), pa.py_buffer(data[mask].tobytes()))
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
