@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelight.llm import decontaminate, exact, language, mixing, near, pages, periodic, personal, substrings, tokens, toxicity
+from pagelight.llm import decontaminate, exact, language, mixing, near, pages, periodic, personal, substrings, tokens, toxicity, trie
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -205,3 +205,45 @@ def find_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("content", 256).alias("collapsed_sha256"))
+
+
+@query("op13_conversation_trie", f"""
+WITH n AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, {CRC.format("conv_id")} % 6 AS h FROM n),
+t AS (SELECT c.conv_id, pos, role, text FROM c JOIN n ON n.conv_id = base AND pos < h
+      UNION ALL SELECT conv_id, pos, role, text FROM c JOIN n USING (conv_id) WHERE pos >= h),
+s AS (SELECT conv_id, coalesce(list(md5(concat(length(role), ':', role, text)) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS codes,
+             coalesce(list(length(text) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS sizes
+      FROM c LEFT JOIN t USING (conv_id) GROUP BY conv_id),
+p AS (SELECT conv_id, depth, array_to_string(list_slice(codes, 1, depth), ' ') AS k, CASE WHEN depth > 0 THEN sizes[depth] ELSE 0 END AS size,
+             depth = len(codes) AS ends
+      FROM (SELECT *, unnest(range(len(codes) + 1)) AS depth FROM s)),
+v AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+      FROM p GROUP BY k, depth),
+u AS (SELECT v.k, q.k AS parent FROM v JOIN p q ON q.conv_id = v.conv_id AND q.depth = v.depth - 1),
+e AS (SELECT parent AS k, count(*) AS n_children FROM u GROUP BY parent),
+w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN e USING (k)),
+b AS (SELECT q.k, sum((n_convs - 1) * w.size)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+      FROM w JOIN p q ON q.conv_id = w.conv_id AND q.depth <= w.depth GROUP BY q.k)
+SELECT w.conv_id, w.depth, x.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM w JOIN b USING (k) LEFT JOIN u USING (k) LEFT JOIN v x ON x.k = u.parent""")
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as audit trails; each begins with turns of the conversation whose id ends its hundred."""
+    turn = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("conv_id IS NOT NULL").select(
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("action"), F.coalesce("text", F.lit("")).alias("new_value"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "action", "new_value")
+    turn = turn.withColumn("id", F.row_number().over(order) - 1)
+    h = F.expr("crc32(cast(conv_id AS string)) % 6")
+    conv = turn.select("conv_id").distinct()
+    head = turn.filter("conv_id % 100 = 0 AND id < 5").drop("turn").withColumnRenamed("conv_id", "base")
+    given = conv.withColumn("base", F.expr("conv_id - conv_id % 100")).join(head, "base").filter(F.col("id") < h)
+    kept = turn.filter(F.col("id") >= h)
+    columns = [F.col("conv_id").alias("entity_id"), "id", "action", "new_value"]
+    audit = given.select(*columns).unionByName(kept.select(*columns))
+    found = trie.prefix_trie(audit, conv.withColumnRenamed("conv_id", "entity_id"))
+    return found.select(
+        F.col("entity_id").alias("conv_id"), "depth", F.col("parent_entity_id").alias("parent_conv_id"), F.col("n_entities").alias("n_convs"),
+        "n_children", "n_leaves", F.col("saved_chars").alias("saved_tokens"), "ends_sha256")
