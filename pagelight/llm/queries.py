@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelight.llm import decontaminate, exact, language, mixing, near, pages, periodic, personal, substrings, tokens, toxicity, trie
+from pagelight.llm import decontaminate, exact, language, mixing, near, pages, periodic, personal, substrings, tokens, toxicity, trie, vectors
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -247,3 +247,16 @@ def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("entity_id").alias("conv_id"), "depth", F.col("parent_entity_id").alias("parent_conv_id"), F.col("n_entities").alias("n_convs"),
         "n_children", "n_leaves", F.col("saved_chars").alias("saved_tokens"), "ends_sha256")
+
+
+@query("op11_exact_top_k", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, (row_number() OVER w)::INTEGER AS rank, c.vec_id, list_inner_product(q.vec, c.vec)::BIGINT AS score
+FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_inner_product(q.vec, c.vec) DESC, c.vec_id)
+QUALIFY row_number() OVER w <= 5""")
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    return vectors.top_k(given, given.filter("vec_id % 50 = 0"))
