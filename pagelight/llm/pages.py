@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelight.llm import words
-from pagelight.llm.storage import cut
+from pagelight.llm.storage import cut, stored
 
 TEXT, OPEN, CHROME = 2, 1, 0
 
@@ -32,19 +32,25 @@ BLOCK = set(
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section "
     "summary table tbody td tfoot th thead tr ul".split())
 NOT_TEXT = set("head nav footer aside form button dialog menu search label fieldset".split())
-RAW = "script style noscript template svg math iframe object textarea select title canvas audio video".split()
+RAW = "script style noscript iframe textarea title".split()  # without an end tag they run to the end of the page
+HIDDEN = "template svg math object select canvas audio video".split()  # without one they are a tag like others
 # Words of class and id, and roles, that mark chrome: anywhere, and outside of articles only.
 CHROME_NAMES = set(
     "ad ads adv advert advertisement advertising adsbygoogle banner breadcrumb breadcrumbs captcha comment comments commentlist "
     "consent cookie cookies disqus donate gdpr menu modal nav navbar navigation navi newsletter notice notices pagination paywall "
     "popup promo promoted promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe "
     "subscription teaser toolbar widget".split())
+# Words that leave a name of these chrome when it stands in an article, as in "ad-slot" but not "share-price".
+PART_NAMES = set(
+    "area bar block body box btn button buttons container content count counter field form header icon icons inline inner item items "
+    "left link links list panel right row section signup site slot tag title top unit user wrap wrapper".split())
 OUTER_NAMES = set("bottom copyright foot footer head header masthead search topbar".split())
 CHROME_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 _ATTRIBUTES = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*"""
 _HIDDEN = re.compile(
-    rf"(?is)<({'|'.join(RAW)})\b(?:{_ATTRIBUTES}|[^>]*)>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)")
+    rf"(?is)<(?:svg|math)\b{_ATTRIBUTES}(?<=/)>|<({'|'.join(RAW)})\b(?:{_ATTRIBUTES}|[^>]*)>.*?(?:</\1\s*>|\Z)"
+    rf"|<({'|'.join(HIDDEN)})\b(?:{_ATTRIBUTES}|[^>]*)>.*?</\2\s*>|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)")
 _TAG = re.compile(rf"(?s)<(/?)([a-zA-Z][^\s/>]*)(?:({_ATTRIBUTES})>|([^>]*)(?:>|\Z))")
 _NAMED = re.compile(r"""(?is)\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 
@@ -61,7 +67,12 @@ def _is_chrome(name: str, attributes: str, inside: int) -> bool:
         if kind.lower() == "role":
             if found & CHROME_ROLES:
                 return True
-        elif found & CHROME_NAMES or (inside != TEXT and found & OUTER_NAMES):
+        elif inside == TEXT:
+            for token in value.strip("\"'").lower().split():
+                found = {part for part in re.split(r"[^a-z]+", token) if part}
+                if found & CHROME_NAMES and found <= CHROME_NAMES | PART_NAMES:
+                    return True
+        elif found & CHROME_NAMES or found & OUTER_NAMES:
             return True
     return False
 
@@ -126,34 +137,42 @@ def page_lines(page: str) -> list[tuple[str, int]]:
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence, by rows of bits."""
-    n, m, head = len(a), len(b), 0
-    while head < min(n, m) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(n, m) - head and a[n - 1 - tail] == b[m - 1 - tail]:
-        tail += 1
-    ends = [*range(head), *range(n - tail, n)]
-    a, b = a[head : n - tail], b[head : m - tail]
+    """Positions in ``a`` of a longest common subsequence, by rows of bits, one of which is kept at a time."""
+    found: list[int] = []
+    parts = [(0, a, b)]
+    while parts:
+        at, a, b = parts.pop()
+        n, m, head, tail = len(a), len(b), 0, 0
+        while head < min(n, m) and a[head] == b[head]:
+            head += 1
+        while tail < min(n, m) - head and a[n - 1 - tail] == b[m - 1 - tail]:
+            tail += 1
+        found += [at + i for i in (*range(head), *range(n - tail, n))]
+        at, a, b = at + head, a[head : n - tail], b[head : m - tail]
+        if len(a) == 1 and a[0] in b:
+            found.append(at)
+        if len(a) < 2 or not b:
+            continue
+        # Some subsequence splits b where the halves of a have most in common with what is before and after.
+        half = len(a) // 2
+        before, after = _common(a[:half], b), _common(a[half:][::-1], b[::-1])[::-1]
+        split = int(np.argmax(before + after))
+        parts += [(at, a[:half], b[:split]), (at + half, a[half:], b[split:])]
+    return sorted(found)
+
+
+def _common(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` and each prefix of ``b``."""
     places: dict[int, int] = {}
     for j, x in enumerate(b):
         places[x] = places.get(x, 0) | 1 << j
-    # Zeros of row i up to place j count the common lines of a[:i] and b[:j + 1].
-    everything = (1 << len(b)) - 1
-    rows = [everything]
+    # Zeros up to place j count the common lines of what was read of a and b[:j + 1].
+    row = everything = (1 << len(b)) - 1
     for x in a:
-        hit = rows[-1] & places.get(x, 0)
-        rows.append(((rows[-1] + hit) | (rows[-1] - hit)) & everything)
-    found, i, j = [], len(a), len(b)
-    while i and j:
-        if rows[i] >> (j - 1) & 1:
-            j -= 1
-        elif rows[i - 1] >> (j - 1) & 1:
-            found.append(head + i - 1)
-            i, j = i - 1, j - 1
-        else:
-            i -= 1
-    return sorted(ends + found)
+        hit = row & places.get(x, 0)
+        row = ((row + hit) | (row - hit)) & everything
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
 
 
 def _address(url: str | None) -> tuple[str, str]:
@@ -274,7 +293,8 @@ def main_text(html: DataFrame) -> DataFrame:
         "doc_id", "print", "path", "lines",
         of_host(F.coalesce("before", "earlier")).alias("before"), of_host(F.coalesce("after", "later")).alias("after"))
     shared = neighbours.mapInArrow(_shared, "doc_id long, print long, shared array<int>").filter("size(shared) > 0")
-    shared = shared.withColumnsRenamed({"doc_id": "__doc", "print": "__print"})
+    # Stored, so that its size is known when the pages are joined: html is only shuffled where many lines are shared.
+    shared = stored(shared).withColumnsRenamed({"doc_id": "__doc", "print": "__print"})
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("print") == F.col("__print"))
     return pages.join(shared, same, "left").mapInArrow(
         _texts, "doc_id long, url string, text string, lines_deleted long")

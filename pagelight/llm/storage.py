@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own is set only where the session names none, as in tests."""
+    """``spark.checkpoint.dir``.  Where the session names none, a temporary folder serves a local session, as in tests; a cluster must name one."""
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return named or context.getCheckpointDir()
 
 
 def cut(frame: DataFrame) -> DataFrame:
     """``frame`` computed once and stored in the shared folder; lost executors do not lose it."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """``frame`` written to the shared folder and read back; the planner knows its size."""
+    path = f"{shared_folder(frame.sparkSession)}/stored-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

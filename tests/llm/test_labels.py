@@ -276,3 +276,28 @@ def test_main_text_of_copies(spark):
         for i, own in want.items():
             kept = f"{own} one\n{own} two"
             assert got[i] == (f"Logo\n{kept}\nImpressum" if own == "only" else kept), (ranges, i, got[i])
+
+
+@pytest.mark.parametrize("html, want", [
+    ('<article><p>a <svg class="i"/> b</p><p>c</p></article>', ["a b", "c"]),
+    ('<main><p>x</p><math/><p>y</p><svg><path d="1>2"/></svg><p>z</p></main>', ["x", "y", "z"]),
+    ('<main><div class="share-price">12</div><div id="comments-on-the-law">law</div></main>', ["12", "law"]),
+    ('<main><div class="ad-slot">buy</div><div class="share-buttons">send</div><p>text</p></main>', ["text"]),
+    ("<article><p>a<script>never ends", ["a"]), ("<article><p>a<canvas>b<p>c</article>", ["ab", "c"]),
+])
+def test_hidden_elements_and_names_inside_of_articles(html, want):
+    assert [text for text, kind in pages.page_lines(html) if kind == pages.TEXT] == want
+
+
+def test_common_lines_of_long_pages():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        found, rest = pages.common_lines(a, b), iter(b)
+        assert len(found) == len(set(found)) == best[-1][-1] and all(any(a[i] == y for y in rest) for i in found)
+    long = list(range(50_000))
+    assert pages.common_lines(long, long[::2] + [-1]) == long[::2]
