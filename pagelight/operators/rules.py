@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,31 +56,117 @@ def match_rules(element: DataFrame, rule: DataFrame) -> DataFrame:
     return met.select(*element.columns, F.inline("__rules"))
 
 
+# What a rule can ask of an element beside its type, as columns of a state.  Earlier rules change the first two.
+STATE = ("no_alt", "skip_level", "missing_headers", "empty", "above")
+# Levels are 1 to 6, so of the heading above only this much decides whether a new level skips one.
+ABOVE = "coalesce(greatest(-1, least(prev_level, 5)), 5)"
+
+
+def _state() -> dict[str, str]:
+    return {c: f"coalesce({e}, false)" for c, e in conditions().items()} | {"above": ABOVE}
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The outcome of a type's rules for every state an element of the type can start in, all states side by side."""
+    flags = np.array(list(itertools.product((False, True), repeat=4)))
+    above = np.repeat(np.arange(-1, 6), len(flags))
+    start = np.tile(flags, (7, 1)).T
+    for batch in batches:
+        for kind, total, rules in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            state = dict(zip(STATE, (*start.copy(), above)))
+            changed = {field: np.full(len(above), -1) for field in ("alt", "level", "scope")}
+            removed = np.zeros(len(above), bool)
+            matched = np.zeros((len(above), total), bool)
+            for k, rule in enumerate(rules):
+                hit = state[rule["condition"]].copy()
+                matched[:, rule["pos"]] = hit
+                if rule["act"] == "set_alt":
+                    changed["alt"][hit] = k
+                    state["no_alt"][hit] = rule["blank"]
+                elif rule["act"] == "set_heading" and 1 <= (rule["number"] or 0) <= 6:
+                    changed["level"][hit] = k
+                    state["skip_level"][hit] = rule["number"] - above[hit] > 1
+                elif rule["act"] == "add_scope":
+                    changed["scope"][hit] = k
+                elif rule["act"] == "remove_element":
+                    removed |= hit
+            new = {field: [None if k < 0 else rules[k]["number" if field == "level" else "value"] for k in at] for field, at in changed.items()}
+            bits = np.packbits(np.pad(matched, ((0, 0), (0, -total % 64))), axis=1, bitorder="little").view(np.int64)
+            offsets = pa.array(np.arange(len(above) + 1) * bits.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([kind] * len(above)), *(pa.array(x) for x in start), pa.array(above, pa.int32()), pa.array(new["alt"], pa.string()),
+                 pa.array(new["level"], pa.int32()), pa.array(new["scope"], pa.string()), pa.array(removed),
+                 pa.ListArray.from_arrays(offsets, pa.array(bits.reshape(-1)))],
+                names=["__type", *STATE, "new_alt", "new_level", "new_scope", "new_removed", "matched"])
+
+
+def compile_rules(rule: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, ids): what the rules of ``valid_rules`` make of an element, by its type and state.
+
+    A rule asks for the type of an element and for one of four conditions, and what a rule changes can only change two
+    of the answers.  So the rules of a type, in version order, are a machine over few states: whether alt is blank and
+    whether the level skips one, with what no rule changes: empty headers, empty content and the level above as far as it
+    matters.  ``outcomes`` has one row per type and start state (__type, the columns of ``STATE``, new_alt, new_level and new_scope:
+    the values of the last rules that set them, null if none did, new_removed, matched: one bit per rule that matched);
+    ``ids`` is one row with the ids of the rules in the same order.
+    """
+    number = "CASE WHEN trim(r.value) rlike '^[+-]?[0-9]{1,9}$' THEN CAST(trim(r.value) AS INT) END"
+    ordered = rule.agg(F.array_sort(F.collect_list(F.struct(
+        "version", "id", "rule_type", "condition", F.col("action.type").alias("act"),
+        F.coalesce(F.col("action.value"), F.lit("")).alias("value")))).alias("rules"))
+    placed = ordered.selectExpr("size(rules) AS total", "posexplode(rules) AS (pos, r)").selectExpr(
+        "r.rule_type", "total", f"""struct(pos, r.condition AS condition, r.act AS act, r.value AS value, {number} AS number,
+        {q_blank('r.value')} AS blank) AS rule""")
+    by_type = placed.groupBy("rule_type").agg(F.first("total").alias("total"), F.array_sort(F.collect_list("rule")).alias("rules"))
+    outcome = by_type.mapInArrow(_walked, """__type string, no_alt boolean, skip_level boolean, missing_headers boolean, empty boolean,
+        above int, new_alt string, new_level int, new_scope string, new_removed boolean, matched array<bigint>""")
+    return outcome, ordered.selectExpr("transform(rules, r -> r.id) AS __ids")
+
+
+_BIT = "coalesce(shiftright(get({}, i div 64), i % 64) & 1, 0)"
+_LOG = f"transform(__ids, (id, i) -> named_struct('rule_id', id, 'matched', {_BIT.format('matched')} = 1))"
+
+
+def _with_outcome(element: DataFrame, outcome: DataFrame, hint: bool = False) -> DataFrame:
+    """Elements, or counts of elements, with the outcome of their type and state; null where no rule has the type."""
+    same = [F.col("type") == F.col("__type"), *[F.col(f"__{c}") == F.col(c) for c in STATE]]
+    return element.join(F.broadcast(outcome) if hint else outcome, reduce(and_, same), "left")
+
+
+def _in_state(element: DataFrame) -> DataFrame:
+    return element.selectExpr("*", *[f"{e} AS __{c}" for c, e in _state().items()])
+
+
 def apply_rules(element: DataFrame, rule: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(elements, log) after the rules of ``valid_rules``, in version order; later rules see the changes of earlier ones.
 
-    The rules are gathered into one ordered list, a dimension row that every element gets, and an element folds
-    over it, so any number of rules costs one pass over the elements.  Unknown actions and heading levels
-    outside 1 to 6 change nothing.  The log has a row per rule and element with what the rule matched.
+    Elements look their outcome up by type and state, so a rule costs nothing per element.  At most 112 outcomes per element type
+    are broadcast, each with three values.  Unknown actions and heading levels outside 1 to 6 change
+    nothing.  The log has a row per rule and element with what the rule matched.
     """
-    ordered = rule.agg(F.array_sort(F.collect_list(F.struct(
-        "version", "id", "rule_type", "condition", F.col("action.type").alias("act"),
-        F.coalesce(F.col("action.value"), F.lit("")).alias("value")))).alias("__rules"))
-    tests = " ".join(f"WHEN {q(c)} THEN {e}" for c, e in conditions("s.alt", "s.level").items())
-    hit = f"(type = r.rule_type AND coalesce(CASE r.condition {tests} ELSE false END, false))"
-    number = "CASE WHEN trim(r.value) rlike '^[+-]?[0-9]{1,9}$' THEN CAST(trim(r.value) AS INT) END"
-    folded = element.join(ordered).withColumn("__s", F.expr(f"""aggregate(__rules,
-     named_struct('alt', alt, 'level', level, 'scope', scope, 'removed', removed, 'matched', CAST(array() AS array<boolean>)),
-     (s, r) -> named_struct(
-      'alt', CASE WHEN r.act = 'set_alt' AND {hit} THEN r.value ELSE s.alt END,
-      'level', CASE WHEN r.act = 'set_heading' AND {number} BETWEEN 1 AND 6 AND {hit} THEN {number} ELSE s.level END,
-      'scope', CASE WHEN r.act = 'add_scope' AND {hit} THEN r.value ELSE s.scope END,
-      'removed', s.removed OR (r.act = 'remove_element' AND {hit}),
-      'matched', concat(s.matched, array({hit}))))"""))
-    changed = [f"__s.{c} AS {c}" if c in ("alt", "level", "scope", "removed") else c for c in element.columns]
-    log = folded.selectExpr(
-        "doc_id", "seq", "inline(zip_with(__rules, __s.matched, (r, m) -> named_struct('rule_id', r.id, 'matched', m)))")
-    return folded.selectExpr(*changed), log
+    outcome, ids = compile_rules(rule)
+    done = _with_outcome(_in_state(element), outcome.drop("matched"), hint=True)
+    changed = [f"coalesce(new_{c}, {c}) AS {c}" if c in ("alt", "level", "scope") else
+               "removed OR coalesce(new_removed, false) AS removed" if c == "removed" else c for c in element.columns]
+    met = _with_outcome(_in_state(element.select("doc_id", "seq", "type", "alt", "level", "prev_level", "headers", "content")), outcome)
+    log = met.join(ids).selectExpr("doc_id", "seq", f"inline({_LOG})")
+    return done.selectExpr(*changed), log
+
+
+def execution_counts(element: DataFrame, rule: DataFrame) -> DataFrame:
+    """(doc_id, rule_id, n, matched): the log of ``apply_rules`` counted per document and rule.
+
+    Elements are counted by document, type and state first, so the rules meet those few counts and not the elements;
+    a document gathers one entry per state its elements are in.
+    """
+    outcome, ids = compile_rules(rule)
+    state = [f"__{c}" for c in STATE]
+    count = _in_state(element).groupBy("doc_id", "type", *state).agg(F.count(F.lit(1)).alias("elements"))
+    met = _with_outcome(count, outcome).groupBy("doc_id").agg(
+        F.sum("elements").alias("n"), F.collect_list(F.struct("elements", "matched")).alias("states"))
+    hits = f"aggregate(states, 0L, (s, e) -> s + e.elements * {_BIT.format('e.matched')})"
+    return met.join(ids).selectExpr("doc_id", "n", f"inline(transform(__ids, (id, i) -> named_struct('rule_id', id, 'matched', {hits})))").select(
+        "doc_id", "rule_id", "n", "matched")
 
 
 def promotable(rule: DataFrame) -> DataFrame:

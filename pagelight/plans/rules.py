@@ -70,19 +70,15 @@ wk AS (SELECT doc_id, seq, type, content, headers, pl, CAST(0 AS BIGINT) AS k, a
 """
 
 
-def _applied(spark, sf_dir):
-    return R.apply_rules(_elements(spark, sf_dir), R.valid_rules(_rules(spark, sf_dir)))
-
-
 @query("apply_rules", _WALK + "SELECT doc_id, seq, alt, level, scope, removed FROM wk WHERE k = (SELECT count(*) FROM vo)")
 def apply_rules(spark, sf_dir):
-    return _applied(spark, sf_dir)[0].select("doc_id", "seq", "alt", "level", "scope", "removed")
+    done, _ = R.apply_rules(_elements(spark, sf_dir), R.valid_rules(_rules(spark, sf_dir)))
+    return done.select("doc_id", "seq", "alt", "level", "scope", "removed")
 
 
 @query("rule_execution_log", _WALK + "SELECT doc_id, rule_id, count(*) AS n, count(*) FILTER (hit) AS matched FROM wk WHERE k > 0 GROUP BY ALL")
 def rule_execution_log(spark, sf_dir):
-    log = _applied(spark, sf_dir)[1]
-    return log.groupBy("doc_id", "rule_id").agg(F.expr("count(*) AS n"), F.expr("count_if(matched) AS matched"))
+    return R.execution_counts(_elements(spark, sf_dir), R.valid_rules(_rules(spark, sf_dir)))
 
 
 @query("rule_promotion", f"""WITH {_RULE} SELECT id, status, CASE WHEN status = 'candidate' AND n_docs >= 3 AND confidence >= 0.7 THEN 'active' ELSE status END AS new_status FROM ru""")
