@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelight.functions import scan
@@ -18,45 +20,90 @@ ERROR_CHARS = 2000  # of the short form of an error text
 def admission(request: DataFrame, limits: dict[str, int], window: float = WINDOW_SECONDS) -> DataFrame:
     """Sliding-window admission per (client, bucket): rejected requests do not count.
 
-    ``request`` has client, bucket, id and t (seconds).  Admission depends on earlier
-    admissions, but a pause of a whole window empties the memory, so every stretch
-    between such pauses is independent.  Stretches spread over the tasks, and a task
-    walks its sorted rows with at most ``limit`` remembered times per stretch; no group
-    is ever held in memory.
+    ``request`` has client, bucket, id and t (seconds).  A request with fewer requests than the limit in the window before it
+    is admitted, whatever happened to those; one look at the request ``limit`` places before it says so.  Only
+    the others, and what is in the window before them, depend on earlier admissions.  They fall into chains: where two of them are a
+    whole window apart, the requests in between that matter to the second are all admitted, so it needs nothing of
+    the first.  A chain is walked in order by one task with at most ``limit`` remembered times; the walk goes from one
+    admitted request to the next and skips the rejected ones in between.  A bucket without a limit admits everything.
     """
-    gaps = scan.running(
-        request, ["client", "bucket"], ["t", "id"], {"__t0": scan.previous(F.col("t"))},
-        segment=[F.floor(F.col("t") / 86400)],
-    )
-    cut = gaps.withColumn("__new", F.expr(f"CASE WHEN __t0 IS NULL OR t - __t0 >= {window} THEN 1 ELSE 0 END"))
-    stretch = scan.running(
-        cut, ["client", "bucket"], ["t", "id"], {"stretch": scan.running_sum(F.col("__new"))},
-        segment=[F.floor(F.col("t") / 86400)],
-    ).select("client", "bucket", "stretch", "t", "id")
-    keys = ["client", "bucket", "stretch"]
-    ordered = stretch.repartition(*keys).sortWithinPartitions(*keys, "t", "id")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, admitted = None, deque()
+    keys = ["client", "bucket"]
+    flagged = _pressure(request, limits, window)
+    free = flagged.filter("NOT busy").select(*keys, "id", "t", F.lit(True).alias("admitted"), F.lit(0).alias("retry_after"))
+    first = f"unsure AND (before IS NULL OR t - before >= {window})"
+    chain = scan.running(
+        flagged.filter("busy").select(*keys, "id", "t", "unsure", "before", "after"), keys, ["t", "id"],
+        {"__chain": scan.running_sum(F.expr(f"CAST({first} AS INT)"))}, segment=[_segment(window)])
+    later = f"NOT unsure AND (before IS NULL OR after - before >= {window})"
+    ordered = chain.withColumn("mark", F.expr(f"xxhash64(client, bucket, __chain + CAST({later} AS INT))")).select(
+        *keys, "id", "t", "mark").repartition("mark").sortWithinPartitions("mark", "t", "id")
+    schema = free.drop("admitted", "retry_after").schema.add("admitted", "boolean").add("retry_after", "integer")
+    return free.unionByName(ordered.mapInArrow(_walk(limits, window), schema))
+
+
+SEGMENT_WINDOWS = 16  # windows in a segment of time, the unit of parallelism of one client
+
+
+def _segment(window: float):
+    return F.floor(F.col("t") / (SEGMENT_WINDOWS * window))
+
+
+def _pressure(request: DataFrame, limits: dict[str, int], window: float) -> DataFrame:
+    """Requests with ``unsure``: the limit may bind; ``before`` and ``after``: times of the unsure requests next to it; ``busy``: it is
+    unsure or in the window before one.
+
+    Segments of time are looked at on their own, with copies of the requests up to three windows before and two after them.
+    """
+    size = SEGMENT_WINDOWS * window
+    copies = F.array_compact(F.array(
+        F.col("home"), F.when(F.col("t") >= (F.col("home") + 1) * size - 3 * window, F.col("home") + 1),
+        F.when(F.col("t") < F.col("home") * size + 2 * window, F.col("home") - 1)))
+    spread = request.select("client", "bucket", "id", "t").withColumn("home", _segment(window)).select(
+        "*", F.explode(copies).alias("segment"))
+    part = Window.partitionBy("client", "bucket", "segment")
+    up, down = part.orderBy("t", "id"), part.orderBy(F.desc("t"), F.desc("id"))
+    back = reduce(lambda c, b: c.when(F.col("bucket") == b, F.lag("t", limits[b]).over(up)), limits, F)
+    unsure = spread.withColumn("unsure", F.coalesce(F.col("t") - back < window, F.lit(False)))
+    when = F.when(F.col("unsure"), F.col("t"))
+    seen = unsure.withColumn("before", F.last(when, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
+        "after", F.last(when, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return seen.filter("segment = home").withColumn("busy", F.coalesce(F.col("after") - F.col("t") < window, F.lit(False)))
+
+
+def _walk(limits: dict[str, int], window: float):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, memory = None, deque()
         for batch in batches:
-            ok, wait = [], []
-            for key, bucket, t in zip(zip(batch["client"], batch["bucket"], batch["stretch"]), batch["bucket"], batch["t"]):
-                if key != current:
-                    current, admitted = key, deque()
-                while admitted and t - admitted[0] >= window:
-                    admitted.popleft()
-                if len(admitted) >= limits[bucket]:
-                    ok.append(False)
-                    wait.append(int(window - (t - admitted[0])) + 1)
-                else:
-                    admitted.append(t)
-                    ok.append(True)
-                    wait.append(0)
-            yield pd.DataFrame({"client": batch["client"], "bucket": batch["bucket"], "id": batch["id"], "t": batch["t"],
-                                "admitted": ok, "retry_after": wait})
-
-    schema = stretch.select("client", "bucket", "id", "t").schema.add("admitted", "boolean").add("retry_after", "integer")
-    return ordered.mapInPandas(walk, schema)
+            mark, t = batch.column("mark").to_numpy(), batch.column("t").to_numpy()
+            bucket = batch.column("bucket")
+            ok, wait = np.zeros(len(t), bool), np.zeros(len(t), np.int32)
+            edges = [0, *(np.flatnonzero(np.diff(mark)) + 1).tolist(), len(t)]
+            for lo, hi in zip(edges, edges[1:]):
+                if hi == lo:
+                    continue
+                if mark[lo] != current:
+                    current, memory, limit = mark[lo], deque(), limits[bucket[lo].as_py()]
+                i = lo
+                while i < hi:
+                    while memory and t[i] - memory[0] >= window:
+                        memory.popleft()
+                    if len(memory) < limit:
+                        memory.append(t[i])
+                        ok[i] = True
+                        i += 1
+                        continue
+                    j = int(np.searchsorted(t[i:hi], memory[0] + window)) + i
+                    while j < hi and t[j] - memory[0] < window:  # a sum and a difference may round apart
+                        j += 1
+                    while j > i + 1 and t[j - 1] - memory[0] >= window:
+                        j -= 1
+                    wait[i:j] = (window - (t[i:j] - memory[0])).astype(np.int32) + 1
+                    i = j
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("client", "bucket", "id", "t")), pa.array(ok), pa.array(wait)],
+                names=["client", "bucket", "id", "t", "admitted", "retry_after"])
+
+    return walk
 
 
 def stage_durations(event: DataFrame) -> DataFrame:
