@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelight.functions import scan, text
@@ -159,25 +159,92 @@ def block_findings(block: DataFrame, criteria: Iterable[str]) -> DataFrame | Non
 # --- page and document counters ---------------------------------------------
 
 
-def page_counters(block: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
-    """Counters per (document, page); the map side combines them before the shuffle."""
+def _row_counters() -> dict[str, str]:
+    """What is counted per page, as a test of one block."""
     issues: dict[str, list[str]] = {}
     for i in BLOCK_ISSUES:
         issues.setdefault("bad_" + i.criterion.replace(".", "_"), []).append(i.when)
-    counters = {
-        "n_block": "count(*)",
-        **{f"n_{t}": f"count_if(block_type = '{t}')" for t in BLOCK_TYPES},
-        "n_link": f"count_if({HAS_URL})",
-        "n_chart": f"count_if({CHART_IMAGE})",
-        "bad_1_1_1": f"count_if(({IMAGE_KIND}) IS NOT NULL)",
-        "bad_3_1_2": f"count_if({text.q_like('content', text.FOREIGN_SCRIPT)})",
-        "n_column": "size(collect_set(bround(x1 / 50.0, 0)))",
-        **{k: "count_if((" + ") OR (".join(ws) + "))" for k, ws in issues.items()},
+    return {
+        **{f"n_{t}": f"block_type = '{t}'" for t in BLOCK_TYPES},
+        "n_link": HAS_URL,
+        "n_chart": CHART_IMAGE,
+        "bad_1_1_1": f"({IMAGE_KIND}) IS NOT NULL",
+        "bad_3_1_2": text.q_like("content", text.FOREIGN_SCRIPT),
+        **{k: "(" + ") OR (".join(ws) + ")" for k, ws in issues.items()},
     }
+
+
+COLUMN = "bround(x1 / 50.0, 0)"
+
+
+def page_counters(block: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
+    """Counters per (document, page); the map side combines them before the shuffle."""
+    counters = {"n_block": "count(*)", "n_column": f"size(collect_set({COLUMN}))",
+                **{k: f"count_if({when})" for k, when in _row_counters().items()}}
     wanted = set(counters if names is None else names) | {"n_block"}
     return block.groupBy("doc_id", "page_num").agg(*[F.expr(f"{e} AS {n}") for n, e in counters.items() if n in wanted])
 
 
+BACK = "{0}.page_num < {1}.page_num OR ({0}.page_num = {1}.page_num AND {0}.y1 < {1}.y1 - 20)"
+ORDERED = ("order_breaks", "n_skip", "n_duplicate")
+
+
+def block_facts(block: DataFrame, counters: Iterable[str]) -> DataFrame:
+    """One row per document with the counters and all of ``ORDERED``, from one read and one shuffle of the blocks.
+
+    Narrow rows, with the tests of a block as bits, are dealt out by document and segment.  A segment compares each block with the
+    one before, each heading with the last one, and counts repeated ids; sums per page leave it.  Its first
+    block, first heading and last block go along, and a document compares those of neighbouring segments
+    at the end.  Only ids of documents with several segments are counted once more.
+    """
+    tests = {k: v for k, v in _row_counters().items() if k in counters}
+    bits = " | ".join(f"CASE WHEN {t} THEN {1 << k}L ELSE 0L END" for k, t in enumerate(tests.values())) or "0L"
+    rows = block.selectExpr(
+        "doc_id", "seq", "page_num", "y1", "block_id", f"{COLUMN} AS column", f"CASE WHEN {HEADING} THEN level END AS level",
+        f"{bits} AS bits").withColumn("segment", scan.segment_of(F.col("seq"))).repartition("doc_id", "segment")
+    part = Window.partitionBy("doc_id", "segment")
+    order, same_id = part.orderBy("seq"), Window.partitionBy("doc_id", "segment", "block_id").orderBy("seq")
+    here = F.struct("page_num", "y1")
+    earlier = F.last("level", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    seen = rows.select(
+        "*", here.alias("here"), F.lag(here).over(order).alias("before"), F.lead("seq").over(order).isNull().alias("is_last"),
+        earlier.alias("last_level"), F.row_number().over(same_id).alias("use"))
+    border = """array_compact(array(
+        CASE WHEN before IS NULL THEN struct(seq, 0 AS kind, here, CAST(NULL AS INT) AS level) END,
+        CASE WHEN level IS NOT NULL AND last_level IS NULL THEN struct(seq, 1 AS kind, here, CAST(level AS INT) AS level) END,
+        CASE WHEN is_last THEN struct(seq, 2 AS kind, here, CAST(coalesce(level, last_level) AS INT) AS level) END))"""
+    sums = {
+        "order_breaks": f"count_if({BACK.format('here', 'before')})", "n_skip": "count_if(level > last_level + 1)", "n_duplicate": "count_if(use = 2)",
+        "n_block": "count(*)", **{name: f"count_if(shiftright(bits, {k}) & 1 = 1)" for k, name in enumerate(tests)}}
+    within = seen.groupBy("doc_id", "segment", "page_num").agg(
+        *[F.expr(f"{e} AS {n}") for n, e in sums.items()], F.expr("collect_set(column) AS columns"),
+        F.expr(f"flatten(collect_list({border})) AS borders"))
+    page = within.groupBy("doc_id", "page_num").agg(
+        *[F.sum(n).alias(n) for n in sums], F.expr("size(array_distinct(flatten(collect_list(columns)))) AS n_column"),
+        F.expr("flatten(collect_list(borders)) AS borders"))
+    named = sorted({*counters, "n_block"})
+    per_doc = page.groupBy("doc_id").agg(
+        *[F.expr(f"{_PER_PAGE[c][1] if c in _PER_PAGE else f'sum({c})'} AS {c}") for c in named],
+        *[F.sum(n).alias(n) for n in ORDERED], F.expr("array_sort(flatten(collect_list(borders))) AS borders"))
+    between = f"""aggregate(borders, struct(CAST(NULL AS {per_doc.schema['borders'].dataType.elementType['here'].dataType.simpleString()}) AS here,
+        CAST(NULL AS INT) AS level, 0L AS breaks, 0L AS skips), (s, b) -> struct(
+         CASE WHEN b.kind = 2 THEN b.here ELSE s.here END AS here, CASE WHEN b.kind = 2 THEN coalesce(b.level, s.level) ELSE s.level END AS level,
+         s.breaks + CASE WHEN b.kind = 0 AND ({BACK.format('b.here', 's.here')}) THEN 1L ELSE 0L END AS breaks,
+         s.skips + CASE WHEN b.kind = 1 AND b.level > s.level + 1 THEN 1L ELSE 0L END AS skips))"""
+    # Reading every column keeps column pruning from splitting the shared exchange in two.
+    whole = F.max(F.xxhash64(*rows.columns)).alias("whole")
+    ids = rows.withColumn("full", F.count(F.lit(1)).over(part) >= scan.SEGMENT_ROWS).filter("full OR segment > 0").groupBy(
+        "doc_id", "segment", "block_id").agg(F.count(F.lit(1)).alias("uses"), whole).filter("whole IS NOT NULL")
+    apart = ids.groupBy("doc_id", "block_id").agg(F.expr("CAST(sum(uses) > 1 AS INT) - count_if(uses > 1) AS more")).groupBy(
+        F.col("doc_id").alias("id")).agg(F.sum("more").alias("more_duplicates"))
+    # A null-safe join: another would filter null ids below one of the two uses of the exchange, which then differ.
+    out = per_doc.withColumn("between", F.expr(between)).join(apart, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    return out.select(
+        "doc_id", *named, (F.col("order_breaks") + F.col("between.breaks")).alias("order_breaks"),
+        (F.col("n_skip") + F.col("between.skips")).alias("n_skip"),
+        (F.col("n_duplicate") + F.coalesce("more_duplicates", F.lit(0))).alias("n_duplicate"))
+
+
 FEATURES = ("has_forms", "has_media", "has_javascript", "is_document_set", "has_images", "has_tables",
             "has_headings", "has_links")
 _KINDS = {"has_forms": "n_form_field", "has_images": "n_image", "has_tables": "n_table", "has_headings": "n_heading",
@@ -197,7 +264,11 @@ def doc_facts(corpus: Corpus, names: Iterable[str], flags: DataFrame | None = No
     counters |= {_KINDS[n] for n in names if n in _KINDS}
     facts = corpus.doc
     zero = []
-    if counters:
+    together = len(names & set(ORDERED)) > 1
+    if together:
+        facts = facts.join(block_facts(corpus.block, counters).select("doc_id", *sorted(counters), *ORDERED), "doc_id", "left")
+        zero += [*sorted(counters), *ORDERED]
+    elif counters:
         base = {_PER_PAGE[c][0] if c in _PER_PAGE else c for c in counters}
         per_doc = page_counters(corpus.block, base).groupBy("doc_id").agg(
             *[F.expr(f"{_PER_PAGE[c][1] if c in _PER_PAGE else f'sum({c})'} AS {c}") for c in sorted(counters)]
@@ -219,7 +290,7 @@ def doc_facts(corpus: Corpus, names: Iterable[str], flags: DataFrame | None = No
         "n_duplicate": lambda b: duplicate_ids(b).groupBy("doc_id").agg(F.expr("count(*) AS n_duplicate")),
     }
     for name, build in own.items():
-        if name in names:
+        if name in names and not together:
             facts = facts.join(build(corpus.block), "doc_id", "left")
             zero.append(name)
     given = ("has_media", "has_javascript", "is_document_set")
@@ -243,8 +314,8 @@ def order_breaks(block: DataFrame) -> DataFrame:
     seen = scan.neighbours(
         block.select("doc_id", "seq", "page_num", "y1"), ["doc_id"], "seq", {"before": (-1, F.struct("page_num", "y1"))}
     )
-    back = "page_num < before.page_num OR (page_num = before.page_num AND y1 < before.y1 - 20)"
-    return seen.groupBy("doc_id").agg(F.expr(f"count_if({back}) AS order_breaks"))
+    seen = seen.withColumn("here", F.struct("page_num", "y1"))
+    return seen.groupBy("doc_id").agg(F.expr(f"count_if({BACK.format('here', 'before')}) AS order_breaks"))
 
 
 def sequential_order(block: DataFrame) -> DataFrame:
