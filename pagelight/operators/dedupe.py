@@ -100,11 +100,27 @@ def distinct_descriptions(violation: DataFrame) -> DataFrame:
         "category NOT IN ('placeholder_alt_text', 'alt_text') AS auto_fixable")
 
 
+def append_members(member: DataFrame, addition: DataFrame) -> DataFrame:
+    """Rows (rule_id, doc_id) of ``member`` and, once each, those of ``addition`` that it lacks.
+
+    Members are rows, so a rule may have any number of documents: what is new is told by rule and document and appended.
+    """
+    key = ["rule_id", "doc_id"]
+    known = member.select(*key).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+    new = addition.select(*key).distinct().join(known.withColumnsRenamed({c: f"__{c}" for c in key}), same, "left_anti")
+    return member.select(*key).unionByName(new)
+
+
 def append_unique(rule: DataFrame, addition: DataFrame) -> DataFrame:
-    """(rule_id, docs array) with new documents added once."""
-    new = addition.groupBy("rule_id").agg(F.expr("collect_set(doc_id) AS added"))
-    return rule.join(new, "rule_id", "left").selectExpr(
-        "rule_id", "array_sort(array_union(coalesce(docs, array()), coalesce(added, array()))) AS docs")
+    """(rule_id, docs array) with new documents added once: ``append_members`` for rules that keep their documents in an array.
+
+    Rules without an addition keep their array as it is but for order and repeats; a rule's documents are one value here.
+    """
+    member = rule.select("rule_id", F.explode("docs").alias("doc_id"))
+    mine = addition.join(rule.select("rule_id").distinct(), "rule_id", "left_semi")
+    docs = append_members(member, mine).distinct().groupBy("rule_id").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
+    return rule.select("rule_id").join(docs, "rule_id", "left").select("rule_id", F.coalesce("docs", F.array().cast(docs.schema["docs"].dataType)).alias("docs"))
 
 
 def image_ids(block: DataFrame) -> DataFrame:

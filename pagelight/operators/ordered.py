@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelight.functions import scan, text
@@ -60,10 +60,12 @@ def enforce_hierarchy(block: DataFrame) -> DataFrame:
     ).selectExpr("doc_id", "seq", "block_id", "coalesce(title, content) AS content",
                  "CASE WHEN level = 1 AND __ones > 1 THEN 2 ELSE level END AS level")
     clamped = clamp_levels(ones, "level", "level2")
-    # Levels are few: number the distinct ones of a document, then look them up.
-    used = clamped.groupBy("doc_id").agg(F.expr("array_sort(collect_set(level2)) AS used"))
-    return clamped.join(used, "doc_id").selectExpr(
-        "doc_id", "seq", "block_id", "content", "CAST(least(array_position(used, level2), 6) AS INT) AS level")
+    # A level becomes its number among the levels used, 6 at most, so the five smallest of a document are enough.
+    nth = Window.partitionBy("doc_id").orderBy("level2")
+    used = clamped.select("doc_id", "level2").distinct().withColumn("n", F.row_number().over(nth)).filter("n <= 5")
+    lowest = used.groupBy("doc_id").agg(*[F.max(F.when(F.col("n") == n, F.col("level2"))).alias(f"__{n}") for n in range(1, 6)])
+    number = " ".join(f"WHEN level2 = __{n} THEN {n}" for n in range(1, 6))
+    return clamped.join(lowest, "doc_id").selectExpr("doc_id", "seq", "block_id", "content", f"CASE {number} ELSE 6 END AS level")
 
 
 def heading_skip_pairs(block: DataFrame) -> DataFrame:
@@ -298,8 +300,35 @@ def heading_outline(block: DataFrame, page_count: DataFrame) -> DataFrame:
         "greatest(0, least(page_num, page_count - 1)) AS page")
 
 
+def page_text_spans(block: DataFrame) -> DataFrame:
+    """The text of each page as rows: (doc_id, page_num, seq, start, end, content) of every block with content.
+
+    ``start`` and ``end`` count characters of the page's text, in which blocks stand by seq with a space between two.
+    The text of a page is never one value, however long it is.
+    """
+    part = block.filter("content <> ''").select("doc_id", "page_num", "seq", "content", F.length("content").cast("bigint").alias("n"))
+    seen = scan.running(part, ["doc_id", "page_num"], ["seq"], {"__before": scan.running_sum(F.col("n") + 1, True)})
+    return seen.selectExpr("doc_id", "page_num", "seq", "__before AS start", "__before + n AS end", "content")
+
+
+def image_text_references(block: DataFrame) -> DataFrame:
+    """(doc_id, seq, page_num, at, n_chars) of every image: its place in the text of its page and the length of that text.
+
+    ``at`` is where the text before the image ends, so a reader takes what it needs around it from ``page_text_spans``;
+    no text is copied to an image.
+    """
+    parts = block.select(
+        "doc_id", "page_num", "seq", (F.col("block_type") == "image").alias("is_image"),
+        F.when(F.col("content") != "", F.length("content").cast("bigint") + 1).otherwise(F.lit(0)).alias("n"))
+    seen = scan.running(parts, ["doc_id", "page_num"], ["seq"], {"__before": scan.running_sum(F.col("n"), True)})
+    total = parts.groupBy("doc_id", "page_num").agg(F.expr("greatest(sum(n) - 1, 0) AS n_chars"))
+    return seen.filter("is_image").join(total, ["doc_id", "page_num"]).selectExpr(
+        "doc_id", "seq", "page_num", "greatest(__before - 1, 0) AS at", "n_chars")
+
+
 def page_text(block: DataFrame) -> DataFrame:
-    """All text of a page on every image of that page."""
+    """All text of a page on every image of that page, as one value each; ``page_text_spans`` and
+    ``image_text_references`` say the same without copies."""
     texts = block.filter(f"content <> ''").groupBy("doc_id", "page_num").agg(
         F.expr("array_join(transform(array_sort(collect_list(struct(seq, content))), x -> x.content), ' ') AS context"))
     images = block.filter("block_type = 'image'").select("doc_id", "page_num", "seq")

@@ -135,6 +135,15 @@ def append_unique_documents(spark, sf_dir):
     return D.append_unique(rule, add).selectExpr("rule_id", "array_join(docs, ',') AS docs")
 
 
+@query("append_unique_members", """WITH ru AS (SELECT s_suppkey AS rule_id, unnest([s_suppkey % 7, 3]) AS doc_id FROM supplier),
+ad AS (SELECT DISTINCT l_suppkey AS rule_id, l_partkey % 11 AS doc_id FROM lineitem)
+SELECT * FROM ru UNION ALL SELECT * FROM ad WHERE NOT EXISTS (FROM ru WHERE ru.rule_id = ad.rule_id AND ru.doc_id = ad.doc_id)""")
+def append_unique_members(spark, sf_dir):
+    member = seeded.read_table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS rule_id", "explode(array(s_suppkey % 7, 3L)) AS doc_id")
+    add = seeded.read_table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS rule_id", "l_partkey % 11 AS doc_id")
+    return D.append_members(member, add)
+
+
 @query("image_id_assignment", SQL + """SELECT doc_id, seq, concat('img_p', page_num, '_i', row_number() OVER (PARTITION BY doc_id, page_num
  ORDER BY seq) - 1) AS image_id FROM block WHERE block_type = 'image' AND starts_with(src, 'data:')""")
 def image_id_assignment(spark, sf_dir):

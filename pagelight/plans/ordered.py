@@ -277,6 +277,22 @@ def page_text_context(spark, sf_dir):
     return O.page_text(_corpus(spark, sf_dir).block)
 
 
+_SPANS = """, sp AS (SELECT doc_id, page_num, seq, content, block_type, coalesce(sum(CASE WHEN content <> '' THEN length(content) + 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_num
+ ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b,
+ greatest(coalesce(sum(CASE WHEN content <> '' THEN length(content) + 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_num), 0) - 1, 0)::BIGINT AS n FROM block)
+"""
+
+
+@query("page_text_spans", SQL + _SPANS + 'SELECT doc_id, page_num, seq, b AS start, b + length(content) AS "end", content FROM sp WHERE content <> \'\'')
+def page_text_spans(spark, sf_dir):
+    return O.page_text_spans(_corpus(spark, sf_dir).block)
+
+
+@query("image_text_references", SQL + _SPANS + "SELECT doc_id, seq, page_num, greatest(b - 1, 0) AS at, n AS n_chars FROM sp WHERE block_type = 'image'")
+def image_text_references(spark, sf_dir):
+    return O.image_text_references(_corpus(spark, sf_dir).block)
+
+
 @query("alt_text_quality", SQL + f""", {_NEAR}, ql AS (SELECT doc_id, seq, trim(alt) AS s, lower(trim(lead(t) OVER (PARTITION BY doc_id ORDER BY seq))) AS cx,
   block_type FROM ordered2)
 SELECT doc_id, seq, CASE WHEN regexp_matches(s, '(?i)^(?:image of|photo of|photograph of)\\b') THEN 'forbidden_prefix'

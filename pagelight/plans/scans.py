@@ -62,31 +62,16 @@ def checker_issue_score(spark, sf_dir):
     return S.scan_checker_issues(raw, seeded.read_table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id"))[1]
 
 
-@query("ocr_layout_scan", """WITH d AS (SELECT doc_id, replace(replace(replace(replace(text, chr(10), ' '), chr(9), ' '), '"', ''''), chr(92), '/') AS ftxt FROM documents),
-p AS (SELECT doc_id, 'paragraph' AS block_type, 0 AS ord, trim(substr(ftxt, 1, 12) || substr(ftxt, 21, 10)) AS content, '' AS headers, '' AS rows FROM d UNION ALL SELECT doc_id, 'paragraph', 1, trim(substr(ftxt, 41, 10)), '', '' FROM d),
-t AS (SELECT doc_id, 'table', 0, '', trim(substr(ftxt, 11, 5)) || '|' || trim(substr(ftxt, 16, 5)), trim(substr(ftxt, 31, 5)) FROM d WHERE doc_id % 2 = 0)
-SELECT * FROM p WHERE content <> '' UNION ALL SELECT * FROM t""")
-def ocr_layout_scan(spark, sf_dir):
-    clean = "replace(replace(replace(replace(text, '\\n', ' '), '\\t', ' '), '\"', '\\''), '\\\\', '/')"
-    docs = seeded.read_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{clean} AS full")
-    cell = '{{"segments":[{{"start":{},"end":{}}}]}}'
-    tables = ('[{"headerRows":[{"cells":[' + cell.format(0, 3) + ']},{"cells":[' + cell.format(10, 15) + "," + cell.format(15, 20) + ']}],"bodyRows":[{"cells":['
-              + cell.format(30, 35) + ']}]},{"headerRows":[],"bodyRows":[]}]')
-    paras = '[{"segments":[{"end":12},{"start":20,"end":30}],"confidence":0.9},{"segments":[{"start":40,"end":50}]},{"segments":[{"start":0,"end":0}]}]'
-    body = docs.selectExpr("doc_id", f"""concat('{{"text":"', full, '","pages":[{{"paragraphs":{paras},"tables":', CASE WHEN doc_id % 2 = 0 THEN '{tables}' ELSE '[]' END, '}}]}}') AS body""")
-    return S.scan_ocr(body).selectExpr("doc_id", "block_type", "ord", "content", "array_join(headers, '|') AS headers", "array_join(flatten(rows), '|') AS rows")
-
-
 def _cell(start: str, end: str) -> str:
     return f"named_struct('segments', array(named_struct('start', cast(least(n, {start}) AS int), 'end', cast(least(n, {end}) AS int))))"
 
 
-@query("ocr_layout_scan_whole", """WITH d AS (SELECT doc_id, replace(replace(text, chr(10), ' '), chr(9), ' ') AS ftxt FROM documents WHERE text IS NOT NULL),
+@query("ocr_layout_scan", """WITH d AS (SELECT doc_id, replace(replace(text, chr(10), ' '), chr(9), ' ') AS ftxt FROM documents WHERE text IS NOT NULL),
 p AS (SELECT doc_id, 'paragraph' AS block_type, k AS ord, trim(substr(ftxt, k * 200 + 1, 200)) AS content, '' AS headers, '' AS rows FROM (SELECT *, unnest(range(0, (length(ftxt) + 199) // 200)) AS k FROM d)),
 t AS (SELECT doc_id, 'table', 0, '', trim(substr(ftxt, 1, 15)) || '|' || trim(substr(ftxt, 16, 25)),
  array_to_string(list_transform(range(0, (greatest(length(ftxt) - 40, 0) + 99) // 100 * 2), lambda r: trim(substr(ftxt, 41 + 50 * r, 50))), '|') FROM d WHERE doc_id % 2 = 0)
 SELECT * FROM p WHERE content <> '' UNION ALL SELECT * FROM t""")
-def ocr_layout_scan_whole(spark, sf_dir):
+def ocr_layout_scan(spark, sf_dir):
     """Paragraphs of 200 characters in two segments and, of even documents, tables with rows of two cells: the last of each takes the rest."""
     docs = seeded.read_table(spark, sf_dir, "documents").selectExpr("doc_id", "replace(replace(text, '\\n', ' '), '\\t', ' ') AS full").filter(
         "full IS NOT NULL").selectExpr("*", "char_length(full) AS n")

@@ -97,27 +97,37 @@ _ROWS = f"array<struct<cells:array<{_LAYOUT}>>>"
 OCR_SCHEMA = f"text string, pages array<struct<paragraphs:array<{_LAYOUT}>,tables:array<struct<headerRows:{_ROWS},bodyRows:{_ROWS}>>>>"
 
 
+PIECE = 512  # characters
+
+
 def _slices(layout: str) -> str:
-    return (f"array_join(transform({layout}.segments, s -> substr(full, coalesce(s.start, 0) + 1, s.end - coalesce(s.start, 0))), '')")
+    """Text of the segments of a layout, from the pieces of the full text they lie in."""
+    first = "greatest(coalesce(s.start, 0), 0)"
+    held = f"slice(pieces, {first} div {PIECE} + 1, greatest((s.end - 1) div {PIECE} - {first} div {PIECE} + 1, 0))"
+    return f"array_join(transform({layout}.segments, s -> substr(array_join({held}, ''), {first} % {PIECE} + 1, s.end - {first})), '')"
 
 
 def scan_ocr(report: DataFrame) -> DataFrame:
-    """OCR layout -> blocks: text by slices of the full text, last header row wins, empty tables dropped."""
-    pages = report.withColumn("p", F.from_json("body", OCR_SCHEMA)).selectExpr("doc_id", "p.text AS full", "posexplode(p.pages) AS (page_num, page)")
-    paras = pages.selectExpr("doc_id", "full", "page_num", "posexplode(page.paragraphs) AS (ord, l)").selectExpr(
-        "doc_id", "page_num", "ord", "'paragraph' AS block_type", f"{q_strip(_slices('l'))} AS content",
-        "CASE WHEN size(l.vertices) >= 4 THEN l.vertices[0].x ELSE 0.0D END AS x1",
-        "CASE WHEN size(l.vertices) >= 4 THEN l.vertices[2].y ELSE 0.0D END AS y2",
-        "CAST(array() AS array<string>) AS headers", "CAST(array() AS array<array<string>>) AS rows").filter("content <> ''")
+    """OCR layout -> blocks: text by slices of the full text, last header row wins, empty tables dropped.
 
+    A report is parsed once and its text cut once into pieces of ``PIECE`` characters, so a segment costs the pieces it lies in
+    wherever it stands.  Blocks are built in the row of their page and leave it without the text.
+    """
     def grid(rows: str) -> str:
         return f"filter(transform(coalesce({rows}, array()), r -> transform(r.cells, c -> {q_strip(_slices('c'))})), r -> size(r) > 0)"
 
-    tables = pages.selectExpr("doc_id", "full", "page_num", "posexplode(page.tables) AS (ord, t)").selectExpr(
-        "doc_id", "page_num", "ord", "'table' AS block_type", "'' AS content", "0.0D AS x1", "0.0D AS y2",
-        f"coalesce(try_element_at({grid('t.headerRows')}, -1), array()) AS headers", f"{grid('t.bodyRows')} AS rows",
-    ).filter("size(headers) > 0 OR size(rows) > 0")
-    return paras.unionByName(tables)
+    none = "CAST(array() AS array<string>) AS headers, CAST(array() AS array<array<string>>) AS rows"
+    paras = f"""filter(transform(coalesce(page.paragraphs, array()), (l, i) -> struct(i AS ord, 'paragraph' AS block_type, {q_strip(_slices('l'))} AS content,
+        CASE WHEN size(l.vertices) >= 4 THEN l.vertices[0].x ELSE 0.0D END AS x1,
+        CASE WHEN size(l.vertices) >= 4 THEN l.vertices[2].y ELSE 0.0D END AS y2, {none})), b -> b.content <> '')"""
+    tables = f"""filter(transform(coalesce(page.tables, array()), (t, i) -> struct(i AS ord, 'table' AS block_type, '' AS content, 0.0D AS x1, 0.0D AS y2,
+        coalesce(try_element_at({grid('t.headerRows')}, -1), array()) AS headers, {grid('t.bodyRows')} AS rows)), b -> size(b.headers) > 0 OR size(b.rows) > 0)"""
+    # Generators keep the optimizer from repeating the parse and the cut wherever their results are used.
+    parsed = report.select("doc_id", F.explode(F.array(F.from_json("body", OCR_SCHEMA))).alias("p"))
+    cut = parsed.selectExpr("doc_id", f"inline(array(struct(p.pages AS pages, regexp_extract_all(p.text, '(?s).{{1,{PIECE}}}', 0) AS pieces)))")
+    pages = cut.selectExpr("doc_id", "pieces", "posexplode(pages) AS (page_num, page)")
+    return pages.selectExpr("doc_id", "page_num", f"inline(concat({paras}, {tables}))").select(
+        "doc_id", "page_num", "ord", "block_type", "content", "x1", "y2", "headers", "rows")
 
 
 def decode_envelopes(envelope: DataFrame) -> tuple[DataFrame, DataFrame]:
