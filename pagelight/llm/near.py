@@ -56,7 +56,7 @@ def _minimum_hashes(row: np.ndarray, value: np.ndarray, n: int, count: int) -> n
 
 
 def signatures(block: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """(doc_id, set1, set2, n_shingles, prefixes): a 128-bit sum over the shingle set, and a key of each tree's prefix."""
+    """(doc_id, print, set1, set2, n_shingles, prefixes): a 128-bit sum over the shingle set, and a key of each tree's prefix."""
     length = prefix_length(similarity, recall)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,12 +81,16 @@ def signatures(block: DataFrame, similarity: float, recall: float) -> DataFrame:
             sums, sizes, keys = np.concatenate(sums).view(np.int64), np.concatenate(sizes), np.concatenate(keys).view(np.int64)
             offsets = pa.array(np.arange(len(keys) + 1) * TREES, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [words.column(batch, "doc_id"), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(sizes, pa.int64()),
+                [words.column(batch, "doc_id"), words.column(batch, "print"), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(sizes, pa.int64()),
                  pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
-                names=["doc_id", "set1", "set2", "n_shingles", "prefixes"])
+                names=["doc_id", "print", "set1", "set2", "n_shingles", "prefixes"])
 
-    return block.select("doc_id", "content").mapInArrow(
-        sign, "doc_id long, set1 long, set2 long, n_shingles long, prefixes array<long>")
+    return _printed(block).mapInArrow(sign, "doc_id long, print long, set1 long, set2 long, n_shingles long, prefixes array<long>")
+
+
+def _printed(block: DataFrame) -> DataFrame:
+    """The texts with a hash that tells those of one doc_id apart."""
+    return block.select("doc_id", "content", F.xxhash64("content").alias("print"))
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,19 +144,20 @@ def _compare(members: list[np.ndarray], left: np.ndarray, right: np.ndarray, sim
 
 def _verifier(similarity: float):
     def verify(part: pd.DataFrame) -> pd.DataFrame:
-        """Links between the two sides of one tile, cluster by cluster; ``head`` is the smallest class joined to."""
-        part = part.sort_values(["cluster", "side", "class_id"], kind="stable")
+        """Links between the two sides of one tile, cluster by cluster; ``head`` is the smallest key joined to."""
+        # A row that repeats stands for its class once.
+        part = part.drop_duplicates(["cluster", "side", "key"]).sort_values(["cluster", "side", "key"], kind="stable")
         out = []
         for _, rows in part.groupby("cluster", sort=False):
             members = [np.frombuffer(b, U64) for b in rows["content"]]
             across = rows["tile_a"].iloc[0] != rows["tile_b"].iloc[0]
-            side, ids = rows["side"].to_numpy(), rows["class_id"].to_numpy()
+            side, ids = rows["side"].to_numpy(), rows["key"].to_numpy()
             left = side == 0
             links, root = _compare(members, left, side == 1 if across else left, similarity)
             first: dict[int, int] = {}
             for r, c in zip(root, ids):
                 first[r] = min(c, first.get(r, c))
-            out.append(pd.DataFrame({"class_id": ids, "links": links, "head": [first[r] for r in root],
+            out.append(pd.DataFrame({"key": ids, "links": links, "head": [first[r] for r in root],
                                      "tiles": rows["tiles"].to_numpy()}))
         return pd.concat(out)
 
@@ -175,37 +180,40 @@ def near_duplicates(block: DataFrame, similarity: float = SIMILARITY, recall: fl
     """
     signed = cut(signatures(block, similarity, recall))
     some = signed.filter("n_shingles > 0")
-    # The prefixes of a class are those of any of its members.
+    # The prefixes of a class are those of any of its members; a doc_id may name several classes, a key names one.
     classes = cut(some.groupBy("set1", "set2").agg(
-        F.min("doc_id").alias("class_id"), F.min("n_shingles").alias("n_shingles"), F.any_value("prefixes").alias("prefixes")))
-    entry = classes.select("class_id", F.explode("prefixes").alias("prefix"))
-    shared = entry.groupBy("prefix").agg(F.min("class_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    clusters = components(entry.join(shared, "prefix").select(F.col("class_id").alias("a"), "b"))
+        F.min("doc_id").alias("class_id"), F.min_by("print", "doc_id").alias("print"), F.min("n_shingles").alias("n_shingles"),
+        F.any_value("prefixes").alias("prefixes")).withColumn("key", F.xxhash64("set1", "set2")))
+    entry = classes.filter("class_id IS NOT NULL").select("key", F.explode("prefixes").alias("prefix"))
+    shared = entry.groupBy("prefix").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    clusters = components(entry.join(shared, "prefix").select(F.col("key").alias("a"), "b"))
     clustered = cut(classes.drop("prefixes").join(
-        clusters.select(F.col("id").alias("class_id"), F.col("root").alias("cluster")), "class_id"))
+        clusters.select(F.col("id").alias("key"), F.col("root").alias("cluster")), "key"))
     sizes = clustered.groupBy("cluster").agg(
         F.ceil(F.sum("n_shingles") / F.lit(TILE_SHINGLES)).cast("int").alias("tiles"), F.sum("n_shingles").alias("total"))
     shards = max(1, -(-(sizes.agg(F.sum("total")).first()[0] or 0) // TILE_SHINGLES))
     planned = clustered.join(sizes.drop("total"), "cluster").select(
-        F.col("class_id").alias("doc_id"), "cluster", "tiles",
-        F.pmod(F.xxhash64("class_id", F.lit(9)), F.col("tiles")).cast("int").alias("tile"))
-    sets = block.select("doc_id", "content").join(planned, "doc_id").mapInArrow(
-        _shingle_sets, "doc_id long, content binary, cluster long, tiles int, tile int")
+        F.col("class_id").alias("doc_id"), "print", "key", "cluster", "tiles",
+        F.pmod(F.xxhash64("key", F.lit(9)), F.col("tiles")).cast("int").alias("tile"))
+    sets = _printed(block).join(planned, ["doc_id", "print"]).drop("doc_id", "print").mapInArrow(
+        _shingle_sets, "content binary, key long, cluster long, tiles int, tile int")
     # Clusters of one tile share tasks; the tiles of larger ones meet in pairs.
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    placed = sets.select(F.col("doc_id").alias("class_id"), "content", "cluster", "tiles", "tile", other).select(
-        "class_id", "content", "cluster", "tiles", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"),
+    placed = sets.select("key", "content", "cluster", "tiles", "tile", other).select(
+        "key", "content", "cluster", "tiles", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"),
         F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"),
         F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("cluster"), F.lit(shards))).otherwise(F.col("cluster")).alias("task"),
     )
     verified = cut(placed.groupBy("task", "tile_a", "tile_b").applyInPandas(
-        _verifier(similarity), "class_id long, links long, head long, tiles int"))
-    counted = verified.groupBy("class_id").agg(F.sum("links").alias("n_links"), F.min("head").alias("head"))
-    joined = components(verified.filter("tiles > 1").select(F.col("class_id").alias("a"), F.col("head").alias("b")))
-    linked = counted.join(joined.withColumnRenamed("id", "class_id"), "class_id", "left").select(
-        "class_id", "n_links", F.coalesce("root", "head").alias("group_id"))
-    named = classes.select("set1", "set2", "class_id").join(linked, "class_id", "left")
+        _verifier(similarity), "key long, links long, head long, tiles int"))
+    counted = verified.groupBy("key").agg(F.sum("links").alias("n_links"), F.min("head").alias("head"))
+    joined = components(verified.filter("tiles > 1").select(F.col("key").alias("a"), F.col("head").alias("b")))
+    linked = cut(counted.join(joined.withColumnRenamed("id", "key"), "key", "left").select("key", "n_links", F.coalesce("root", "head").alias("root")).join(
+        classes.select("key", "class_id"), "key"))
+    group = linked.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    named = classes.select("set1", "set2", "key", "class_id").join(
+        linked.join(group, "root").select("key", "n_links", "group_id"), "key", "left").drop("key")
     # Content without shingles finds no class.
-    return signed.drop("prefixes").join(named, ["set1", "set2"], "left").select(
+    return signed.drop("prefixes", "print").join(named, ["set1", "set2"], "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("group_id", "class_id", "doc_id").alias("group_id"), "n_shingles")

@@ -73,6 +73,25 @@ def test_near_duplicates(block, rows):
     assert sorted(map(tuple, got), key=key) == sorted(brute_jaccard(rows), key=key)
 
 
+def test_near_duplicates_of_repeated_rows_and_shared_ids(spark):
+    rng = random.Random(9)
+    a = text(rng, 100)
+    b = " ".join([*split(a)[:-1], "changed"])
+    rows = [(1, a), (1, a), (2, b), (2, b), (1, text(rng, 50)), (2, a), (3, a.replace(" ", "  ")), (None, b), (3, None), (3, b)]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, content string")).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute_jaccard(rows), key=key)
+    assert {r.n_links for r in got} == {0, 1}
+
+
+def test_near_duplicates_of_a_chain_of_templates(spark):
+    """Texts that share a template link into long chains without being copies."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i * 4 : i * 4 + 120])) for i in range(60)] + [(100 + i, " ".join([*words[:60], *split(text(rng, 60))])) for i in range(40)]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, content string")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_jaccard(rows))
+
+
 def test_near_duplicates_in_tiles(spark, monkeypatch):
     """A group that is cut in many tiles, with every member's links and one group id."""
     monkeypatch.setattr(near, "TILE_SHINGLES", 1500)
