@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_layout_reads_whole_texts(spark):
-    name = "ocr_layout_scan_whole"
+    name = "ocr_layout_scan"
     _, _, problem = compare(spark, connect(SF), SF, entry.queries()[name], entry.oracle_sql()[name])
     assert problem is None, problem
     found = {}
