@@ -16,16 +16,26 @@ from pagelight.llm.queries import as_blocks, earlier_half, golden
 from pagelight.llm.storage import shared_folder
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less those whose doc_id is in ``ids``; a null doc_id is not equal to another and stays."""
-    gone = ids.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of id and text, so that stages decide on rows: a null id is no exception, a shared id no bond."""
+    return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+
+
+def keyed_blocks(docs: DataFrame) -> DataFrame:
+    """The text blocks of keyed ``docs``, the key for an id."""
+    return as_blocks(docs.withColumn("doc_id", F.col("__key")))
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Keyed ``docs`` less those whose key is in ``keys`` as doc_id."""
+    gone = keys.select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("__key") == F.col("__gone"), "left_anti").drop("__key")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: those without a letter and those of no known language go."""
-    docs = docs.filter(language.has_letters(F.col("text")))
-    block = as_blocks(docs)
+    docs = keyed(docs.filter(language.has_letters(F.col("text"))))
+    block = keyed_blocks(docs)
     return without(docs, language.identify(block, language.fit(block)).filter("rejected"))
 
 
@@ -44,13 +54,18 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id."""
-    return without(docs, near.near_duplicates(as_blocks(docs)).filter("doc_id <> group_id"))
+    """Of each group of near duplicates the document with the smallest doc_id, a null one last."""
+    docs = keyed(docs)
+    group = near.near_duplicates(keyed_blocks(docs)).select(F.col("doc_id").alias("__key"), "group_id").distinct()
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__key").alias("key"))
+    first = docs.select("__key", place.alias("place")).join(group, "__key").groupBy("group_id").agg(F.min("place").alias("first"))
+    return docs.join(first.select(F.col("first.key").alias("__stays")), F.col("__key") == F.col("__stays"), "left_semi").drop("__key")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test passage."""
-    return without(docs, decontaminate.contained_passages(as_blocks(docs), golden(spark, sf_dir)))
+    docs = keyed(docs)
+    return without(docs, decontaminate.contained_passages(keyed_blocks(docs), golden(spark, sf_dir)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
