@@ -22,7 +22,6 @@ from pagelight.llm.words import NOT_ALNUM, SPACE, U64, Texts
 
 FLAGGED, APPROVED = "flagged", "approved"
 SAMPLE_ROWS = 24_000  # bound of the labelled rows a model is fitted on, in expectation
-MINED_WORDS = 4096  # bound of the mined lexicon
 MINED_SUPPORT, MINED_PRECISION = 3, 0.7
 STEMS = (5, 7)  # bytes
 NEAR = 3  # words between a lexicon word and a second person
@@ -157,7 +156,7 @@ def features(texts: Texts, mined: Mined) -> np.ndarray:
     disguised = (totals[0, token.end] - totals[0, token.start] >= 2) & (
         (totals[1, np.maximum(inner[1], inner[0])] - totals[1, inner[0]] > 0) | np.isin(data[token.start], list(b"@$!013457")))
     plain = np.zeros(len(token.start), bool)
-    for k in np.flatnonzero(disguised & (token.end - token.start <= 40)):
+    for k in np.flatnonzero(disguised):
         plain[k] = _undisguised(data[token.start[k] : token.end[k]].tobytes())
     letters = np.maximum(_count(letter, offsets), 1)
     hits, owns = _count(hit, w.first), _count(own, w.first)
@@ -300,8 +299,8 @@ def _mined_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fit(block: DataFrame, review: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Model of ``review`` (doc_id, status: flagged or approved) over ``block`` (doc_id, content).
 
-    About ``sample_rows`` reviewed rows, chosen by a hash of doc_id, are used; of the mined words at most
-    ``MINED_WORDS``.  Other states and null are left out.  Without rows of both kinds the score is the flagged
+    About ``sample_rows`` reviewed rows, chosen by a hash of doc_id, are used, which bounds the
+    words mined from them too.  Other states and null are left out.  Without rows of both kinds the score is the flagged
     share, 0 without any row.
     """
     known = review.select("doc_id", (F.col("status") == FLAGGED).alias("flagged")).filter(F.col("status").isin(FLAGGED, APPROVED))
@@ -318,7 +317,7 @@ def fit(block: DataFrame, review: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     enough = [(F.col(f"flagged{h}") >= MINED_SUPPORT) & (F.col(f"flagged{h}") >= MINED_PRECISION * F.col(f"all{h}")) for h in (0, 1)]
     both = (flagged >= MINED_SUPPORT) & (flagged >= MINED_PRECISION * (F.col("all1") + F.col("all0")))
     mined = counts.groupBy("key").agg(*[F.sum(c).alias(c) for c in COUNTS]).filter(both | enough[0] | enough[1]).orderBy(
-        flagged.desc(), "key").limit(MINED_WORDS).collect()
+        flagged.desc(), "key").collect()
     across = [_lexicon(mined, (1,)), _lexicon(mined, (0,))]  # for the rows of half 0 and 1
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +344,7 @@ def toxicity(block: DataFrame, model: ToxicityModel) -> DataFrame:
     Whole content counts; null and empty content gets the score of a text without any mark.  Repeated rows
     repeat their score.  An empty block gives no rows.  Further columns of ``block`` are ignored.
     """
-    shared = block.sparkSession.sparkContext.broadcast(model)  # bounded by MINED_WORDS and TREES
+    shared = block.sparkSession.sparkContext.broadcast(model)  # bounded by sample_rows and TREES
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

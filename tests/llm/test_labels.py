@@ -301,3 +301,11 @@ def test_common_lines_of_long_pages():
         assert len(found) == len(set(found)) == best[-1][-1] and all(any(a[i] == y for y in rest) for i in found)
     long = list(range(50_000))
     assert pages.common_lines(long, long[::2] + [-1]) == long[::2]
+
+
+@pytest.mark.parametrize("text, secret", [
+    ("Api-Key: k9x8y7z6w5", "k9x8y7z6w5"), ("PassWord = hunter22x", "hunter22x"), ("Authorization: Bearer abc12345def", "abc12345def"),
+    ("API KEY=zz81828384", "zz81828384"), ("İ İ PASSwd: secret99", "secret99")])
+def test_cues_in_any_case(text, secret):
+    spans = [text[a:b] for kind, a, b in personal.find_spans(text, personal._automaton()) if kind == "account"]
+    assert spans == [secret]
