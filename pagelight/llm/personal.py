@@ -37,7 +37,7 @@ CUES = {
     "account": ("account", "acct", "customer no", "konto", "cuenta", "compte"),
     "iban": ("iban",),
     "swift": ("swift",),
-    "secret": ("token", "secret", "password", "passwd", "api_key", "apikey"),
+    "secret": ("token", "secret", "password", "passwd", "api_key", "api-key", "api key", "apikey", "bearer"),
 }
 # Between a cue and its identifier: a word, a separator and a quote, with any run of blanks.  Runs are not given back.
 _WORD = r"(?i:numbers?|nummer|n[uú]mero|num[eé]ro|code|no\.?|nr\.?|n[°º]|id|key)"
@@ -49,6 +49,15 @@ BIC = re.compile(rf"{GAP}([A-Z]{{6}}[A-Z0-9]{{2}}(?:[A-Z0-9]{{3}})?)(?![A-Za-z0-
 SECRET = re.compile(r"[\"']?\s*+[:=]\s*+[\"']?([^\s\"'`<>,;&]+)")
 
 
+_ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+def _folded(text: str) -> str:
+    """``text`` with cues in lower case and every place where it was."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else text.translate(_ASCII_LOWER)
+
+
 def _automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for digit in "0123456789":
@@ -58,8 +67,7 @@ def _automaton() -> ahocorasick.Automaton:
     out.add_word("://", "scheme")
     for kind, cues in CUES.items():
         for cue in cues:
-            for form in {cue, cue.capitalize(), cue.upper()}:
-                out.add_word(form, kind)
+            out.add_word(cue, kind)
     out.make_automaton()
     return out
 
@@ -120,7 +128,7 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, i
     def add(kind: str, start: int, end: int) -> None:
         found.setdefault(kind, []).append((start, end))
 
-    for at, anchor in automaton.iter(text):
+    for at, anchor in automaton.iter(_folded(text)):
         if anchor == "digit":
             # The first digit of a run: all matches of the run are found at once.
             if at >= done["ip"]:
