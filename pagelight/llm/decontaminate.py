@@ -29,7 +29,8 @@ FILTER_BITS = 1 << 22
 
 
 def _prepared(content: Column) -> Column:
-    return F.lower(F.coalesce(content, F.lit("")))
+    """In lower case, with a space for everything beyond ASCII that is no letter, mark or digit, such as quotes, dashes and no-break spaces."""
+    return F.lower(F.regexp_replace(F.coalesce(content, F.lit("")), r"[^\x00-\x7F\p{L}\p{M}\p{N}]+", " "))
 
 
 def _windows(texts: words.Texts, size: int, exact: bool) -> tuple[words.Words, np.ndarray, np.ndarray]:

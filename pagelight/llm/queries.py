@@ -96,7 +96,7 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_decontamination", r"""
 WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
-w AS (SELECT kind, id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words FROM t),
+w AS (SELECT kind, id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS words FROM t),
 i AS (SELECT id, least(5, len(words)) AS width, words FROM w WHERE kind = 'i' AND len(words) > 0),
 s AS (SELECT DISTINCT id AS item_id, array_to_string(list_slice(words, k, k + width - 1), ' ') AS shingle, width
       FROM (SELECT *, unnest(range(1, len(words) - width + 2)) AS k FROM i)),

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -185,17 +186,31 @@ def test_repeated_passages_of_a_repeated_id(spark, block, rows):
     assert sorted(map(tuple, got), key=key) == sorted(brute_passages(given, 50), key=key)
 
 
+@pytest.mark.parametrize("form", ["\u201c{}\u201d", "{}\u2014end", "{}", "\u00ab{}\u00bb"])
+def test_passages_between_signs_that_are_no_words(spark, form):
+    passage = text(random.Random(2), 40)
+    given = form.format(passage.replace(" ", "\u00a0" if form == "{}" else " "))
+    block = spark.createDataFrame([(1, "before " + given + " after"), (2, "none of it")], "doc_id bigint, content string")
+    golden = spark.createDataFrame([(5, passage.replace("the", "th\u00e9"))], "item_id bigint, content string")
+    assert decontaminate.contained_passages(block, golden.limit(0)).count() == 0
+    golden = spark.createDataFrame([(5, "\u2018" + passage + "\u2019")], "item_id bigint, content string")
+    assert [(r.doc_id, r.item_id, r.containment) for r in decontaminate.contained_passages(block, golden).collect()] == [(1, 5, 1.0)]
+
+
 def brute_contained(rows, golden):
     def parts(t):
-        return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
+        return "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in (t or "").lower()).split(" ")
+
+    def parts_of(t):
+        return [w for w in parts(t) if w]
 
     want = set()
     for item, passage in golden:
-        w = parts(passage)
+        w = parts_of(passage)
         n = min(5, len(w))
         s = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
         for i, t, *_ in rows:
-            d = parts(t)
+            d = parts_of(t)
             held = {tuple(d[k : k + n]) for k in range(len(d) - n + 1)} & s
             if s and len(held) >= 0.8 * len(s):
                 want.add((i, item, len(s), len(held)))
