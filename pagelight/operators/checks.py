@@ -266,7 +266,9 @@ def doc_facts(corpus: Corpus, names: Iterable[str], flags: DataFrame | None = No
     zero = []
     together = len(names & set(ORDERED)) > 1
     if together:
-        facts = facts.join(block_facts(corpus.block, counters).select("doc_id", *sorted(counters), *ORDERED), "doc_id", "left")
+        # Null-safe for the same reason as inside of block_facts.
+        found = block_facts(corpus.block, counters).select(F.col("doc_id").alias("__doc"), *sorted(counters), *ORDERED)
+        facts = facts.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
         zero += [*sorted(counters), *ORDERED]
     elif counters:
         base = {_PER_PAGE[c][0] if c in _PER_PAGE else c for c in counters}
