@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelight.functions import scan
@@ -38,15 +38,21 @@ def _emit(df: DataFrame, checks: list[str]) -> DataFrame:
     return rows.filter("check_name IS NOT NULL").select(*CHECK)
 
 
-def multi_column_pages(block: DataFrame) -> DataFrame:
-    """Pages where some pair of blocks overlaps by at most half of the narrower one.
+BOX = "NOT (x1 = 0 AND x2 = 0) AND x2 > x1"
+#: What decides most pages: the least right edge and middle, the greatest left edge and middle.
+EXTREMES = {"least_right": "min(CASE WHEN {box} THEN x2 END)", "least_middle": "min(CASE WHEN {box} THEN (x1 + x2) / 2 END)",
+            "most_left": "max(CASE WHEN {box} THEN x1 END)", "most_middle": "max(CASE WHEN {box} THEN (x1 + x2) / 2 END)"}
+APART = "coalesce(least_right <= most_left, false)"
+UNDECIDED = f"NOT {APART} AND least_middle <= most_left AND least_right <= most_middle"
+
+
+def _column_scan(box: DataFrame) -> DataFrame:
+    """Pages (doc_id, page_num) of the boxes (doc_id, page_num, x1, x2) that hold a qualifying pair, by a sorted running minimum.
 
-    For a pair with a left of b the condition is mid(a) <= left(b) and right(a) <= mid(b).
     Sorting both kinds of points by the first coordinate and keeping the smallest right
     edge seen so far finds such a pair without comparing all pairs.
     """
-    boxes = block.filter("NOT (x1 = 0 AND x2 = 0) AND x2 > x1")
-    events = boxes.selectExpr(
+    events = box.selectExpr(
         "doc_id", "page_num",
         "inline(array(named_struct('at', (x1 + x2) / 2, 'kind', 0, 'value', x2), "
         "named_struct('at', x1, 'kind', 1, 'value', (x1 + x2) / 2)))",
@@ -62,8 +68,44 @@ def multi_column_pages(block: DataFrame) -> DataFrame:
     return seen.filter("kind = 1 AND least_right <= value").select("doc_id", "page_num").distinct()
 
 
-def g1(corpus: Corpus) -> DataFrame:
-    """Pages and text of a document."""
+def multi_column_pages(block: DataFrame) -> DataFrame:
+    """Pages where some pair of blocks overlaps by at most half of the narrower one.
+
+    For a pair with a left of b the condition is mid(a) <= left(b) and right(a) <= mid(b).  Boxes that lie apart
+    settle a page by its extremes, and so does a page whose extremes allow no pair.  Only pages where every box
+    crosses a common line and some are far enough aside are scanned.
+    """
+    box = block.filter(BOX).select("doc_id", "page_num", "x1", "x2")
+    page = box.groupBy("doc_id", "page_num").agg(*[F.expr(f"{e.format(box='true')} AS {n}") for n, e in EXTREMES.items()])
+    open_page = page.filter(UNDECIDED).select("doc_id", "page_num")
+    return page.filter(APART).select("doc_id", "page_num").union(_column_scan(_semi(box, open_page)))
+
+
+def _semi(box: DataFrame, page: DataFrame) -> DataFrame:
+    """The boxes of some pages; null page numbers are a page too."""
+    return box.alias("b").join(
+        page.alias("p"), F.col("b.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("b.page_num").eqNullSafe(F.col("p.page_num")), "left_semi")
+
+
+_G1 = (
+    _either("G1", "has_pages", "n_page = 0", HARD),
+    _either("G1", "non_empty_pages", "n_empty > 0", SOFT, "n_empty", "n_page > 0"),
+    _either("G1", "has_text_content", "n_text = 0", HARD, "n_block", "n_block > 0"),
+    _only("G1", "text_coverage", "n_page > 0 AND n_text_page / n_page < 0.1", SOFT, "n_text_page"),
+    _either("G1", "multi_column_bbox", "n_column_page > 0", SOFT_MODERATE, "n_column_page"),
+)
+_PAGE_ORDER = _either("G2", "page_order", "n_back > 0", SOFT, "n_back")
+_G2 = (
+    _either("G2", "unique_block_ids", "n_repeat > 0", HARD, "n_repeat"),
+    _either("G2", "valid_block_types", "n_type > 0", HARD, "n_type"),
+    _only("G2", "non_empty_ids", "n_blank > 0", HARD, "n_blank"),
+)
+_TYPES = ", ".join(q(t) for t in BLOCK_TYPES)
+_BAD_TYPE = f"NOT coalesce(block_type IN ({_TYPES}), false)"
+
+
+def g1(corpus: Corpus, columns: bool = True) -> DataFrame:
+    """Pages and text of a document; without ``columns`` the search for several columns is left out."""
     per_page = corpus.block.groupBy("doc_id", "page_num").agg(
         F.expr("count(*) AS n_block"), F.expr(f"count_if(NOT {q_blank('content')}) AS n_text"))
     joined = corpus.page.select("doc_id", "page_num").join(per_page, ["doc_id", "page_num"], "left").fillna(
@@ -71,22 +113,17 @@ def g1(corpus: Corpus) -> DataFrame:
     pages = joined.groupBy("doc_id").agg(
         F.expr("count(*) AS n_page"), F.expr("count_if(n_block = 0) AS n_empty"), F.expr("sum(n_block) AS n_block"),
         F.expr("sum(n_text) AS n_text"), F.expr("count_if(n_text > 0) AS n_text_page"))
-    columns = multi_column_pages(corpus.block).groupBy("doc_id").agg(F.expr("count(*) AS n_column_page"))
-    facts = corpus.doc.select("doc_id").join(pages, "doc_id", "left").join(columns, "doc_id", "left").fillna(0)
-    return _emit(facts, [
-        _either("G1", "has_pages", "n_page = 0", HARD),
-        _either("G1", "non_empty_pages", "n_empty > 0", SOFT, "n_empty", "n_page > 0"),
-        _either("G1", "has_text_content", "n_text = 0", HARD, "n_block", "n_block > 0"),
-        _only("G1", "text_coverage", "n_page > 0 AND n_text_page / n_page < 0.1", SOFT, "n_text_page"),
-        _either("G1", "multi_column_bbox", "n_column_page > 0", SOFT_MODERATE, "n_column_page"),
-    ])
+    facts = corpus.doc.select("doc_id").join(pages, "doc_id", "left")
+    if columns:
+        aside = multi_column_pages(corpus.block).groupBy("doc_id").agg(F.expr("count(*) AS n_column_page"))
+        facts = facts.join(aside, "doc_id", "left")
+    return _emit(facts.fillna(0), [*_G1] if columns else [*_G1[:-1]])
 
 
 def g2(corpus: Corpus) -> DataFrame:
     """Identifiers, types and page order."""
-    types = ", ".join(q(t) for t in BLOCK_TYPES)
     ids = corpus.block.groupBy("doc_id", F.expr("coalesce(block_id, '') AS block_id")).agg(
-        F.expr("count(*) AS uses"), F.expr(f"count_if(NOT coalesce(block_type IN ({types}), false)) AS bad_type"))
+        F.expr("count(*) AS uses"), F.expr(f"count_if({_BAD_TYPE}) AS bad_type"))
     per_doc = ids.groupBy("doc_id").agg(
         F.expr("sum(uses - 1) AS n_repeat"), F.expr("sum(bad_type) AS n_type"),
         F.expr("sum(CASE WHEN block_id = '' THEN uses ELSE 0 END) AS n_blank"))
@@ -95,19 +132,57 @@ def g2(corpus: Corpus) -> DataFrame:
         {"before": scan.previous(F.col("page_num"))},
     ).groupBy("doc_id").agg(F.expr("count_if(page_num < before) AS n_back"))
     facts = corpus.doc.select("doc_id").join(per_doc, "doc_id", "left").join(pages, "doc_id", "left").fillna(0)
-    return _emit(facts, [
-        _either("G2", "unique_block_ids", "n_repeat > 0", HARD, "n_repeat"),
-        _either("G2", "page_order", "n_back > 0", SOFT, "n_back"),
-        _either("G2", "valid_block_types", "n_type > 0", HARD, "n_type"),
-        _only("G2", "non_empty_ids", "n_blank > 0", HARD, "n_blank"),
-    ])
+    return _emit(facts, [_G2[0], _PAGE_ORDER, *_G2[1:]])
+
+
+def structure_facts(corpus: Corpus) -> DataFrame:
+    """One wide row per document with all that the gates ask about its pages and blocks, from one read of the blocks.
+
+    Narrow rows are dealt out by document and segment, as in the audit; pages and repeated ids are counted inside of
+    a segment and summed per page, then per document.  Ids of documents with several segments are compared once
+    more, and boxes of pages that their extremes leave undecided are scanned; both read the same exchange.
+    A document without pages or blocks has zeros.
+    """
+    rows = corpus.block.selectExpr(
+        "doc_id", "page_num", "coalesce(block_id, '') AS block_id", f"NOT {q_blank('content')} AS filled", f"{_BAD_TYPE} AS bad_type",
+        f"CASE WHEN {BOX} THEN x1 END AS x1", f"CASE WHEN {BOX} THEN x2 END AS x2", "seq",
+    ).withColumn("segment", scan.segment_of(F.col("seq"))).drop("seq").repartition("doc_id", "segment")
+    # Reading every column keeps column pruning from splitting the shared exchange in two.
+    whole = F.xxhash64(*rows.columns).isNotNull()
+    same_id = Window.partitionBy("doc_id", "segment", "block_id").orderBy("page_num")
+    sums = {
+        "n_page": "0L", "n_block": "count(page_num)", "n_text": "count_if(filled AND page_num IS NOT NULL)", "n_repeat": "count_if(use > 1)",
+        "n_type": "count_if(bad_type)", "n_blank": "count_if(block_id = '')"}
+    extremes = {n: e.format(box="true") for n, e in EXTREMES.items()}
+    within = rows.withColumn("use", F.row_number().over(same_id)).groupBy("doc_id", "segment", "page_num").agg(
+        *[F.expr(f"{e} AS {n}") for n, e in {**sums, **extremes}.items()]).drop("segment")
+    listed = corpus.page.selectExpr("doc_id", "page_num", "1L AS n_page")
+    page = within.unionByName(listed, allowMissingColumns=True).groupBy("doc_id", "page_num").agg(
+        *[F.expr(f"coalesce(sum({n}), 0L) AS {n}") for n in sums], *[F.expr(f"{e[:3]}({n}) AS {n}") for n, e in extremes.items()])
+    scanned = _column_scan(_semi(rows.filter(whole & F.expr("x1 IS NOT NULL")).select("doc_id", "page_num", "x1", "x2"),
+                                 page.filter(UNDECIDED).select("doc_id", "page_num")))
+    ids = rows.withColumn("full", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "segment")) >= scan.SEGMENT_ROWS).filter(
+        whole & F.expr("full OR segment > 0")).select("doc_id", "segment", "block_id").distinct()
+    again = ids.groupBy("doc_id", "block_id").agg(F.expr("count(*) - 1 AS n_repeat")).filter("n_repeat > 0")
+    parts = page.selectExpr(
+        "doc_id", "n_page", "CASE WHEN n_block = 0 THEN n_page ELSE 0L END AS n_empty", "n_page * n_block AS n_block", "n_page * n_text AS n_text",
+        "CASE WHEN n_text > 0 THEN n_page ELSE 0L END AS n_text_page", f"CAST({APART} AS BIGINT) AS n_column_page", "n_repeat", "n_type", "n_blank",
+    ).unionByName(scanned.selectExpr("doc_id", "1L AS n_column_page"), allowMissingColumns=True).unionByName(
+        again.select("doc_id", "n_repeat"), allowMissingColumns=True)
+    facts = parts.groupBy("doc_id").agg(*[F.sum(n).alias(n) for n in parts.columns if n != "doc_id"])
+    return corpus.doc.select("doc_id").join(facts, "doc_id", "left").fillna(0)
+
+
+def structure_checks(corpus: Corpus) -> DataFrame:
+    """The checks of the first two gates but the page order, unpivoted from ``structure_facts``."""
+    return _emit(structure_facts(corpus), [*_G1, *_G2])
 
 
 def page_order_checks(page: DataFrame) -> DataFrame:
     """Page numbers must not fall along the list position ``pos``."""
     seen = scan.running(page, ["doc_id"], ["pos"], {"before": scan.previous(F.col("page_num"))})
     return _emit(seen.groupBy("doc_id").agg(F.expr("count_if(page_num < before) AS n_back")),
-                 [_either("G2", "page_order", "n_back > 0", SOFT, "n_back")])
+                 [_PAGE_ORDER])
 
 
 SHORT_LIMIT, SHORT_RUN = 60, 5
@@ -249,14 +324,17 @@ def publishable(check: DataFrame) -> DataFrame:
     """No open P0 or P1; an unreachable PDF/UA validator is forgiven when the checker passed."""
     exempt = f"gate_id = {q(PDFUA)} AND check_name IN ('verapdf_available', 'verapdf_validation')"
     passed = "gate_id = 'G4' AND check_name = 'adobe_checker_pass' AND status = 'pass'"
-    names = "array_join(array_sort(collect_set(CASE WHEN priority = '{}' AND status <> 'pass' {} THEN check_name END)), ', ')"
-    open_p1 = f"priority = 'P1' AND status <> 'pass'"
+    open_p1 = "priority = 'P1' AND status <> 'pass'"
+    # One set of the open checks, and the sentences' names from it.
+    names = "array_join(array_sort(array_distinct(transform(filter(open, x -> {}), x -> x.check_name))), ', ')"
     per_doc = check.groupBy("doc_id").agg(
         F.expr(f"bool_or({passed}) AS checked"), F.expr("count_if(priority = 'P0' AND status <> 'pass') AS p0"),
         F.expr(f"count_if({open_p1}) AS p1_all"), F.expr(f"count_if({open_p1} AND {exempt}) AS p1_exempt"),
-        F.expr(names.format("P0", "") + " AS p0_names"), F.expr(names.format("P1", "") + " AS p1_all_names"),
-        F.expr(names.format("P1", f"AND NOT ({exempt})") + " AS p1_names"),
-    ).withColumn("p1", F.expr("CASE WHEN checked THEN p1_all - p1_exempt ELSE p1_all END"))
+        F.expr("collect_set(CASE WHEN priority IN ('P0', 'P1') AND status <> 'pass' THEN "
+               f"struct(priority, {exempt} AS exempt, check_name) END) AS open"),
+    ).selectExpr(
+        "*", "CASE WHEN checked THEN p1_all - p1_exempt ELSE p1_all END AS p1", names.format("x.priority = 'P0'") + " AS p0_names",
+        names.format("x.priority = 'P1'") + " AS p1_all_names", names.format("x.priority = 'P1' AND NOT x.exempt") + " AS p1_names")
     return per_doc.selectExpr(
         "doc_id", "p0 = 0 AND p1 = 0 AS publishable",
         """CASE WHEN p0 > 0 THEN concat('Document blocked by ', p0, ' P0 issue(s): ', p0_names)
