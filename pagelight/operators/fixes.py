@@ -22,9 +22,9 @@ FILENAME_TITLE = r"(?U)^[\w\-]+\.\w{2,4}$"
 NUMERIC = r"^\s*[\d,.\-/:%$€£¥]+\s*$"
 
 
-def language_of(x: str) -> str:
-    """SQL struct (lang, detected) for the first 500 characters of a text."""
-    s = f"substr({x}, 1, {SAMPLE})"
+def language_of(x: str, limit: int = SAMPLE) -> str:
+    """SQL struct (lang, detected) for the first ``limit`` characters of a text."""
+    s = f"substr({x}, 1, {limit})"
     n = {k: f"regexp_count({s}, {q(p)})" for k, p in
          (("hira", HIRAGANA), ("kata", KATAKANA), ("hangul", HANGUL), ("han", HAN))}
 
@@ -40,29 +40,30 @@ def language_of(x: str) -> str:
  ELSE named_struct('lang', 'en', 'detected', false) END"""
 
 
-def text_sample(block: DataFrame) -> DataFrame:
+def text_sample(block: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """The opening text of each document, long enough for language detection.
 
-    Only blocks that start within the first 500 characters are gathered, so the
-    text of one document never meets in one group.
+    Only blocks that start within the first ``limit`` characters are gathered, so the
+    text of one document never meets in one group; no block is moved with more of its text than that.
     """
-    filled = block.filter("content <> ''").selectExpr("doc_id", "seq", "content", "length(content) + 1 AS n")
+    filled = block.filter("content <> ''").selectExpr("doc_id", "seq", f"substr(content, 1, {limit}) AS piece", "length(content) + 1 AS n")
     placed = scan.running(filled, ["doc_id"], ["seq"], {"before": scan.running_sum(F.col("n"), True)})
-    opening = placed.filter(F.col("before") < SAMPLE).selectExpr("doc_id", "seq", f"substr(content, 1, {SAMPLE}) AS piece")
-    return opening.groupBy("doc_id").agg(
+    return placed.filter(F.col("before") < limit).groupBy("doc_id").agg(
         F.expr("concat(array_join(transform(array_sort(collect_list(struct(seq, piece))), x -> x.piece), ' '), ' ') AS sample"))
 
 
 SAMPLE_TEXT = "coalesce(sample, '')"
 
 
-def fix_language(doc: DataFrame, block: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fill a blank document language from metadata, else from the text, else English."""
+def fix_language(doc: DataFrame, block: DataFrame, limit: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
+    """Fill a blank document language from metadata, else from the first ``limit`` characters of the text, else English."""
     meta = q_first("metadata['pdf_lang']", "metadata['lang']", "metadata['language']")
-    missing = doc.filter(q_blank("language")).join(text_sample(block), "doc_id", "left")
-    found = missing.selectExpr(
-        "doc_id", "language", f"nullif({q_strip(meta)}, '') AS from_meta",
-        f"{language_of(SAMPLE_TEXT)} AS guess")
+    missing = doc.filter(q_blank("language")).selectExpr("doc_id", "language", f"nullif({q_strip(meta)}, '') AS from_meta")
+    # Only documents that nothing else names a language for are read.
+    unnamed = missing.filter("from_meta IS NULL").select("doc_id")
+    sample = text_sample(block.select("doc_id", "seq", "content").join(unnamed, "doc_id", "left_semi"), limit)
+    found = missing.join(sample, "doc_id", "left").selectExpr(
+        "doc_id", "language", "from_meta", f"{language_of(SAMPLE_TEXT, limit)} AS guess")
     fix = found.selectExpr(
         "doc_id", "'3.1.1' AS criterion", "'language_tag' AS fix", "'' AS element_id",
         "coalesce(nullif(language, ''), '(none)') AS before", "coalesce(from_meta, guess.lang) AS after",
